@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import non_empty, stringify, utc_text
+from shelfmark.functions.text import let, non_empty, plain, stringify, utc_text
 
 # When a trigger occurs in the product text, its use cases apply.
 USE_CASE_RULES = [
@@ -51,20 +51,23 @@ def attribute_values(attributes: Column) -> Column:
 
 def use_cases(title: Column, category: Column, description: Column, attributes: Column) -> Column:
     """Inferred then explicit use cases, first-seen order, no repeats (P5)."""
+    values = F.array_join(attribute_values(attributes), " ")
     text = F.lower(F.concat(
-        stringify(title), F.lit(" "), stringify(category), F.lit(" "), stringify(description), F.lit(" "),
-        F.array_join(attribute_values(attributes), " "),
-    ))
+        plain(title), F.lit(" "), plain(category), F.lit(" "), plain(description), F.lit(" "), values))
     empty = F.array().cast("array<string>")
-    inferred = []
-    for triggers, additions in USE_CASE_RULES:
-        fires = F.lit(False)
-        for trigger in triggers:
-            fires = fires | F.contains(text, F.lit(trigger))
-        inferred.append(F.when(fires, F.array(*map(F.lit, additions))).otherwise(empty))
+
+    def inferred(t: Column) -> Column:
+        lists = []
+        for triggers, additions in USE_CASE_RULES:
+            fires = F.contains(t, F.lit(triggers[0]))
+            for trigger in triggers[1:]:
+                fires = fires | F.contains(t, F.lit(trigger))
+            lists.append(F.when(fires, F.array(*map(F.lit, additions))).otherwise(empty))
+        return F.concat(*lists)
+
     explicit = stringify(F.coalesce(*(non_empty(attribute(attributes, key)) for key in AUDIENCE_KEYS)))
-    named = F.filter(F.transform(F.split(explicit, ","), F.trim), lambda v: v != "")
-    return F.array_distinct(F.concat(*inferred, named))
+    named = F.filter(F.transform(F.split(explicit, ","), lambda x: F.trim(x)), lambda v: v != "")
+    return F.array_distinct(F.concat(let(text, inferred), named))
 
 
 def search_profile(df: DataFrame) -> Column:
@@ -80,8 +83,8 @@ def search_profile(df: DataFrame) -> Column:
         F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>"))
         if "attributes" in df.columns else F.create_map().cast("map<string,string>")
     )
-    title = stringify(F.coalesce(non_empty(column("title")), column("name")))
-    brand, category, description = (stringify(column(c)) for c in ("brand", "category", "description"))
+    title = plain(F.coalesce(non_empty(column("title")), column("name")))
+    brand, category, description = (plain(column(c)) for c in ("brand", "category", "description"))
 
     def either(name: str) -> Column:
         return stringify(F.coalesce(non_empty(attribute(attributes, name)), column(name)))
@@ -97,9 +100,10 @@ def search_profile(df: DataFrame) -> Column:
         ("Tags", either("tags")),
         ("Attributes", F.array_join(attribute_values(attributes), ", ")),
     ]
-    return F.concat_ws(" ", *(
-        F.when(value != "", F.concat(F.lit(f"{label}: "), value, F.lit("."))) for label, value in sentences
-    ))
+    def sentence(label: str, value: Column) -> Column:
+        return let(value, lambda v: F.when(v != "", F.concat(F.lit(f"{label}: "), v, F.lit("."))))
+
+    return F.concat_ws(" ", *(sentence(label, value) for label, value in sentences))
 
 
 def index_documents(products: DataFrame, as_of: Column, source: str = "sample_jsonl") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,14 +71,29 @@ def non_empty(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once however often it is used.
+
+    Plain composition would copy the whole expression for every use.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def plain(value: Column) -> Column:
+    """Trimmed text, '' for null."""
+    return F.coalesce(F.trim(value), F.lit(""))
+
+
 def stringify(value: Column) -> Column:
     """Trimmed text; null is '' and a JSON array is joined with ', ' (P3)."""
-    items = F.filter(
-        F.transform(F.from_json(value, "array<string>"), lambda x: F.trim(F.coalesce(x, F.lit("None")))),
-        lambda x: x != "",
-    )
-    is_list = F.trim(value).startswith("[") & items.isNotNull()
-    return F.coalesce(F.when(is_list, F.array_join(items, ", ")).otherwise(F.trim(value)), F.lit(""))
+    def one(text: Column) -> Column:
+        items = F.filter(
+            F.transform(F.from_json(text, "array<string>"), lambda x: F.trim(F.coalesce(x, F.lit("None")))),
+            lambda x: x != "",
+        )
+        return F.when(text.startswith("["), F.coalesce(F.array_join(items, ", "), text)).otherwise(text)
+
+    return let(plain(value), one)
 
 
 def utc_text(ts: Column) -> Column:

@@ -145,8 +145,8 @@ def replay(
     if "attributes" in catalog.columns:
         new["attributes"] = (
             F.when(F.col("_attrs").isNotNull(), F.col("_attrs.v")).otherwise(F.col("attributes")) if replace_attributes
-            else _overlay(F.col("attributes"), F.col("_merged")))
-    new["source_versions"] = _overlay(F.col("source_versions"), F.col("_versions"))
+            else overlay(F.col("attributes"), F.col("_merged")))
+    new["source_versions"] = overlay(F.col("source_versions"), F.col("_versions"))
     if "updated_at" in catalog.columns:
         new["updated_at"] = F.coalesce("_event_time", "updated_at")
     if "indexed_at" in catalog.columns:
@@ -160,7 +160,7 @@ def replay(
     return out
 
 
-def _overlay(old: Column, new: Column) -> Column:
+def overlay(old: Column, new: Column) -> Column:
     """Keys of ``new`` replace those of ``old``."""
     base = F.coalesce(old, F.create_map().cast(PAYLOAD))
     kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(new, k))

@@ -20,42 +20,41 @@ def allowed_edits(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
 
-def _piece(length: Column, edits: int, i: int) -> tuple[Column, Column]:
+def _piece(length: Column, edits: Column, i: Column) -> tuple[Column, Column]:
     """0-based start and length of piece ``i`` of a word cut into edits+1."""
-    n = edits + 1
-    start = F.floor(length * i / n).cast("int")
-    end = F.floor(length * (i + 1) / n).cast("int")
+    start = F.floor(length * i / (edits + 1)).cast("int")
+    end = F.floor(length * (i + 1) / (edits + 1)).cast("int")
     return start, end - start
 
 
-def _vocabulary_keys(term: Column) -> Column:
-    length = F.length(term)
-    cells = []
-    for edits in (1, 2):
-        for i in range(edits + 1):
-            start, size = _piece(length, edits, i)
-            cells.append(F.struct(
-                F.lit(edits).alias("edits"), length.alias("length"), F.lit(i).alias("piece"),
-                F.substring(term, start + 1, size).alias("text")))
-    return F.array(*cells)
-
-
-def _query_keys(term: Column) -> Column:
-    """Substrings of the query term that may equal a vocabulary word's piece."""
-    cells = []
-    length = F.length(term)
-    for edits in (1, 2):
-        for delta in range(-edits, edits + 1):
-            other = length + delta
-            for i in range(edits + 1):
-                start, size = _piece(other, edits, i)
-                for shift in range(-edits, edits + 1):
-                    at = start + shift
-                    inside = (other > 0) & (at >= 0) & (at + size <= length) & (allowed_edits(term) == edits)
-                    cells.append(F.when(inside, F.struct(
-                        F.lit(edits).alias("edits"), other.alias("length"), F.lit(i).alias("piece"),
-                        F.substring(term, at + 1, size).alias("text"))))
-    return F.array_distinct(F.array_compact(F.array(*cells)))
+KEY = ["field", "edits", "length", "piece", "text"]
+
+
+def _vocabulary_keys(vocabulary: DataFrame) -> DataFrame:
+    """Every word's pieces, cut for one and for two edits."""
+    cut = vocabulary.withColumn("length", F.length("term")).select(
+        "*", F.explode(F.array(F.lit(1), F.lit(2))).alias("edits")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("piece"))
+    start, size = _piece(F.col("length"), F.col("edits"), F.col("piece"))
+    return cut.withColumn("text", F.substring("term", start + 1, size))
+
+
+def _query_keys(wanted: DataFrame) -> DataFrame:
+    """Substrings of the query terms that may equal a vocabulary word's piece:
+    for every possible word length, piece and shift."""
+    edits = F.col("edits")
+    spread = (
+        wanted.withColumn("edits", allowed_edits(F.col("clause"))).where("edits > 0")
+        .select("*", F.explode(F.sequence(-edits, edits)).alias("longer"))
+        .withColumn("length", F.length("clause") + F.col("longer")).where("length > 0")
+        .select("*", F.explode(F.sequence(F.lit(0), edits)).alias("piece"))
+        .select("*", F.explode(F.sequence(-edits, edits)).alias("shift"))
+    )
+    start, size = _piece(F.col("length"), edits, F.col("piece"))
+    placed = spread.withColumns({"at": start + F.col("shift"), "size": size})
+    inside = (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.length("clause"))
+    return placed.where(inside).select(
+        "clause", *KEY[:-1], F.substring("clause", F.col("at") + 1, F.col("size")).alias("text")).distinct()
 
 
 def expand(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -66,13 +65,9 @@ def expand(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     exact = wanted.join(
         vocabulary.withColumnRenamed("term", "clause"), ["field", "clause"]
     ).select("field", "clause", F.col("clause").alias("term"), "df", F.lit(0).alias("distance"))
-    asked = scale.settle(
-        wanted.where(allowed_edits(F.col("clause")) > 0)
-        .select("field", "clause", F.explode(_query_keys(F.col("clause"))).alias("k"))
-        .select("field", "clause", "k.*"))
-    words = vocabulary.select("field", "term", "df", F.inline(_vocabulary_keys(F.col("term"))))
+    asked = scale.settle(_query_keys(wanted))
     near = (
-        scale.join_settled(words, asked, ["field", "edits", "length", "piece", "text"], salt_by="term")
+        scale.join_settled(_vocabulary_keys(vocabulary), asked, KEY, salt_by="term")
         .where(F.col("clause") != F.col("term"))
         .withColumn("distance", F.levenshtein("clause", "term", 2))
         .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("edits")))

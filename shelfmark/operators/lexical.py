@@ -104,14 +104,17 @@ def postings(
 ) -> DataFrame:
     """Term counts per document and field (T1), hash-partitioned by document.
 
-    ``terms`` restricts the result to the (field, term) pairs that are asked for.
+    ``terms`` (field, term, tid) restricts the result to the asked pairs, which
+    from then on go by their number.
     """
     wanted = dict.fromkeys([id_col, *carry, *kinds, *(("category", "brand", "availability") if match_all else ())])
-    rows = _field_rows(docs.select(*wanted).repartition(id_col), kinds, [id_col, *carry], match_all)
+    rows = _field_rows(scale.by_key(docs.select(*wanted), id_col), kinds, [id_col, *carry], match_all)
     found = rows.select(id_col, *carry, "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    name = ["field", "term"]
     if terms is not None:
-        found = scale.join_settled(found, terms, ["field", "term"], "left_semi", salt_by=id_col)
-    return found.groupBy(id_col, *carry, "field", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        found = scale.join_settled(found, terms, name, salt_by=id_col)
+        name = ["tid"]
+    return found.groupBy(id_col, *carry, "dl", *name).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_statistics(docs: DataFrame, kinds: dict[str, str], terms: scale.Settled | None = None) -> DataFrame:
@@ -120,7 +123,7 @@ def term_statistics(docs: DataFrame, kinds: dict[str, str], terms: scale.Settled
     The empty term stands for the field itself: its ``df`` is the number of
     documents that have the field and its ``total`` the summed length.
     """
-    rows = _field_rows(docs.select(*dict.fromkeys(kinds)), kinds, []).where(F.size("terms") > 0)
+    rows = _field_rows(scale.spread(docs.select(*dict.fromkeys(kinds))), kinds, []).where(F.size("terms") > 0)
     spread = rows.select(
         "field", F.size("terms").alias("dl"),
         F.explode(F.concat(F.array(F.lit("")), F.array_distinct("terms"))).alias("term"),
@@ -175,12 +178,52 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Settled query side: weighted terms, and the distinct pairs they need."""
+    """The settled query side.
+
+    Asked terms, query slots (strategy, query, field) and clauses are numbered
+    so that the per-document work runs on integers.
+    """
 
     weights: scale.Settled
-    terms: scale.Settled
     carry: tuple[str, ...]
     match_all: bool
+    fuzzy: bool
+
+    @property
+    def terms(self) -> scale.Settled:
+        return self._part("field", "term", "tid")
+
+    @property
+    def scoring(self) -> scale.Settled:
+        return replace(self.weights, df=self.weights.df.select("tid", "slot", "cid", "kind", "w", "avgdl"))
+
+    @property
+    def slots(self) -> scale.Settled:
+        filters = [c for c in FILTERS if c in self.weights.df.columns]
+        return self._part("slot", "strategy", "qid", "field", "needed", *filters)
+
+    def _part(self, *columns: str) -> scale.Settled:
+        # No larger than the measured table it is taken from.
+        return replace(self.weights, df=self.weights.df.select(*columns).distinct())
+
+
+def _numbered(weights: DataFrame) -> scale.Settled:
+    """Settle the weights with a number for each term, slot and clause.
+
+    Numbers are hashes; that no two things share one is checked, and another
+    seed is taken should it ever happen.
+    """
+    groups = {"tid": ("field", "term"), "slot": ("strategy", "qid", "field"), "cid": ("field", "clause")}
+    for seed in range(8):
+        numbers = {name: F.xxhash64(F.lit(seed), *parts) for name, parts in groups.items()}
+        settled = scale.settle(weights.withColumns(numbers))
+        cells = F.array(*(
+            F.struct(F.lit(name).alias("kind"), F.col(name).alias("number"), F.to_json(F.struct(*parts)).alias("thing"))
+            for name, parts in groups.items()))
+        shared = settled.df.select(F.inline(cells)).distinct().groupBy("kind", "number").count().where("count > 1")
+        if shared.isEmpty():
+            return settled
+    raise RuntimeError("term numbers keep clashing")
 
 
 def _match_all_weights(queries: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
@@ -204,36 +247,14 @@ def prepare(docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy])
     kinds = {name: s.kinds[name] for s in strategies for name in s.boosts}
     queries = queries.withColumns({
         c: normalise(F.col(c)) for c in ("f_category", "f_brand") if c in queries.columns})
+    filters = [c for c in FILTERS if c in queries.columns]
     wanted = scale.settle(clauses(queries, strategies))
     any_fuzzy = any(s.fuzzy for s in strategies)
     if any_fuzzy:
-        # Expansion looks at the whole vocabulary, so its statistics are kept.
-        asked = None
+        weighted = _fuzzy_weights(docs, kinds, wanted)
     else:
-        heads = [F.struct(F.lit(f).alias("field"), F.lit("").alias("term")) for f in kinds]
-        pairs = wanted.df.select("field", F.col("clause").alias("term"))
-        heads_df = queries.sparkSession.range(1).select(F.inline(F.array(*heads)))
-        asked = scale.settle(pairs.unionByName(heads_df).distinct())
-    stats = scale.settle(term_statistics(docs, kinds, asked)).df
-    heads = stats.where(F.col("term") == "").select(
-        "field", F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
-    vocabulary = stats.where(F.col("term") != "").select("field", "term", "df")
-
-    exact = wanted.df.where(~F.col("fuzzy")).withColumn("term", F.col("clause")).join(
-        vocabulary, ["field", "term"]).withColumns({"weight": F.lit(1.0), "distance": F.lit(0)})
-    weighted = exact
-    if any_fuzzy:
-        fuzzy_clauses = wanted.df.where("fuzzy")
-        near = fuzzy.expand(fuzzy_clauses.select("field", "clause").distinct(), vocabulary)
-        # Expansions share the largest document frequency among them, so that a
-        # rare misspelling does not outrank the word itself.
-        peak = near.groupBy("field", "clause").agg(F.max("df").alias("peak"))
-        blended = near.join(peak, ["field", "clause"]).withColumn("df", F.col("peak")).drop("peak")
-        weighted = exact.unionByName(fuzzy_clauses.join(blended, ["field", "clause"]))
-    filters = [c for c in FILTERS if c in queries.columns]
-    weights = weighted.join(F.broadcast(heads), "field").withColumn(
-        "idf", idf(F.col("df"), F.col("n"))
-    ).select(
+        weighted = _exact_weights(docs, kinds, wanted)
+    weights = weighted.withColumn("idf", idf(F.col("df"), F.col("n"))).select(
         "strategy", "qid", *filters, "field", "kind", "clause", "term", "needed",
         (F.col("qtf") * F.col("weight") * F.col("idf") * F.col("boost")).alias("w"),
         "avgdl", "df", "idf", "boost", "distance",
@@ -242,29 +263,63 @@ def prepare(docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy])
     match_all = not blank.isEmpty()
     if match_all:
         weights = weights.unionByName(_match_all_weights(queries, strategies))
-    weights = scale.settle(weights)
-    terms = scale.settle(weights.df.select("field", "term").distinct())
     carry: list[str] = []
     if any(s.boosted for s in strategies):
         carry += ["popularity_score", "updated_at"]
     if filters:
         carry += ["_category", "_brand", "_availability", "_price"]
-    return Prepared(weights, terms, tuple(carry), match_all)
+    return Prepared(_numbered(weights), tuple(carry), match_all, any_fuzzy)
+
+
+def _exact_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled) -> DataFrame:
+    """Clauses with the statistics of their own term, counting asked terms only."""
+    heads = [F.struct(F.lit(f).alias("field"), F.lit("").alias("term")) for f in kinds]
+    pairs = wanted.df.select("field", F.col("clause").alias("term")).unionByName(
+        wanted.df.sparkSession.range(1).select(F.inline(F.array(*heads)))).distinct()
+    stats = term_statistics(docs, kinds, replace(wanted, df=pairs))
+    # Only asked terms are left, so a field's rows are few.
+    in_field = Window.partitionBy("field")
+    is_head = F.col("term") == ""
+    vocabulary = stats.withColumns({
+        "n": F.max(F.when(is_head, F.col("df"))).over(in_field),
+        "avgdl": F.max(F.when(is_head, F.col("total") / F.col("df"))).over(in_field),
+    }).where(~is_head).drop("total")
+    return scale.join_settled(
+        vocabulary, replace(wanted, df=wanted.df.withColumn("term", F.col("clause"))), ["field", "term"],
+    ).withColumns({"weight": F.lit(1.0), "distance": F.lit(0)})
+
+
+def _fuzzy_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled) -> DataFrame:
+    """Clauses joined with every vocabulary term within their edit distance.
+
+    Expansions share the largest document frequency among them, so that a rare
+    misspelling does not outrank the word itself.
+    """
+    stats = scale.settle(term_statistics(docs, kinds)).df
+    heads = stats.where(F.col("term") == "").select(
+        "field", F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    vocabulary = stats.where(F.col("term") != "").select("field", "term", "df")
+    exact = wanted.df.where(~F.col("fuzzy")).withColumn("term", F.col("clause")).join(
+        vocabulary, ["field", "term"]).withColumns({"weight": F.lit(1.0), "distance": F.lit(0)})
+    clauses_fuzzy = wanted.df.where("fuzzy")
+    near = fuzzy.expand(clauses_fuzzy.select("field", "clause").distinct(), vocabulary)
+    peak = near.groupBy("field", "clause").agg(F.max("df").alias("peak"))
+    blended = near.join(peak, ["field", "clause"]).withColumn("df", F.col("peak")).drop("peak")
+    both = exact.unionByName(clauses_fuzzy.join(blended, ["field", "clause"]))
+    # One row per searched field.
+    return both.join(F.broadcast(heads), "field")
 
 
 def contributions(docs: DataFrame, prepared: Prepared, kinds: dict[str, str], id_col: str = "product_id") -> DataFrame:
-    """Score of every matching (query, document, field, term)."""
-    filters = [c for c in FILTERS if c in prepared.weights.df.columns]
+    """Score of every matching (slot, clause, document, term)."""
     source = docs
-    if filters:
+    if any(c.startswith("_") for c in prepared.carry):
         source = docs.withColumns({
             "_category": normalise(F.col("category")), "_brand": normalise(F.col("brand")),
             "_availability": F.col("availability"), "_price": F.col("price"),
         })
     found = postings(source, kinds, id_col, prepared.carry, prepared.terms, prepared.match_all)
-    joined = scale.join_settled(found, prepared.weights, ["field", "term"], salt_by=id_col)
-    if filters:
-        joined = joined.where(_passes(filters)).drop("_category", "_brand", "_availability", "_price", *filters)
+    joined = scale.join_settled(found, prepared.scoring, ["tid"], salt_by=id_col)
     tf_part = F.when(F.col("kind") == "keyword", F.lit(1.0)).otherwise(
         saturation(F.col("tf"), F.col("dl"), F.col("avgdl")))
     return joined.withColumn("contribution", F.col("w") * tf_part)
@@ -285,17 +340,20 @@ def _passes(filters: Sequence[str]) -> Column:
     return verdict
 
 
-def field_scores(matches: DataFrame, id_col: str = "product_id", carry: Sequence[str] = ()) -> DataFrame:
+def field_scores(matches: DataFrame, prepared: Prepared, id_col: str = "product_id") -> DataFrame:
     """Score per field, for fields where enough terms match."""
-    carry = [c for c in carry if c in matches.columns]
-    per_clause = matches.groupBy("strategy", "qid", id_col, *carry, "field", "needed", "clause").agg(
-        F.sum("contribution").alias("part"))
-    return (
-        per_clause.groupBy("strategy", "qid", id_col, *carry, "field", "needed")
-        .agg(F.sum("part").alias("field_score"), F.count(F.lit(1)).alias("matched"))
-        .where(F.col("matched") >= F.col("needed"))
-        .drop("needed", "matched")
-    )
+    keys = ["slot", id_col, *prepared.carry]
+    if prepared.fuzzy:
+        # Several words of a document may answer to one clause.
+        parts = matches.groupBy(*keys, "cid").agg(F.sum("contribution").alias("contribution"))
+    else:
+        parts = matches
+    summed = parts.groupBy(*keys).agg(F.sum("contribution").alias("field_score"), F.count(F.lit(1)).alias("matched"))
+    rows = scale.join_settled(summed, prepared.slots, ["slot"], salt_by=id_col).where(F.col("matched") >= F.col("needed"))
+    filters = [c for c in FILTERS if c in rows.columns]
+    if filters:
+        rows = rows.where(_passes(filters))
+    return rows.drop("slot", "needed", "matched", "_category", "_brand", "_availability", "_price", *filters)
 
 
 def popularity_boost(popularity: Column, factor: float) -> Column:
@@ -337,7 +395,7 @@ def score(
     """Final score of every matching (strategy, query, document)."""
     kinds = {name: s.kinds[name] for s in strategies for name in s.boosts}
     carry = [c for c in prepared.carry if not c.startswith("_")]
-    fields = field_scores(contributions(docs, prepared, kinds, id_col), id_col, carry)
+    fields = field_scores(contributions(docs, prepared, kinds, id_col), prepared, id_col)
     best = fields.groupBy("strategy", "qid", id_col, *carry).agg(F.max("field_score").alias("score"))
     if any(s.boosted for s in strategies):
         if as_of is None:
@@ -382,7 +440,10 @@ def explain(
     kinds = {name: s.kinds[name] for s in strategies for name in s.boosts}
     # Collapse to the hits first, then keep all of a hit's rows together.
     kept = scale.join_settled(docs, ids, [id_col], "left_semi")
-    parts = scale.join_settled(contributions(kept, prepared, kinds, id_col), hits, ["strategy", "qid", id_col])
+    details = replace(prepared.weights, df=prepared.weights.df.select(
+        "slot", "tid", "cid", "strategy", "qid", "field", "clause", "term", "needed", "df", "idf", "boost"))
+    parts = scale.join_settled(contributions(kept, prepared, kinds, id_col), details, ["slot", "tid", "cid"], salt_by=id_col)
+    parts = scale.join_settled(parts, hits, ["strategy", "qid", id_col])
     in_field = Window.partitionBy("strategy", "qid", id_col, "field")
     in_hit = Window.partitionBy("strategy", "qid", id_col)
     total = F.when(F.size(F.collect_set("clause").over(in_field)) >= F.col("needed"),

@@ -55,7 +55,7 @@ def evaluate_configs(
     base = tunable(strategy)
     plain = [base.with_boosts({f: 1.0 for f in base.boosts})]
     prepared = lexical.prepare(catalog, queries, plain)
-    fields = lexical.field_scores(lexical.contributions(catalog, prepared, base.kinds_used))
+    fields = lexical.field_scores(lexical.contributions(catalog, prepared, base.kinds_used), prepared)
     weights = configs.select("key", F.explode("boosts").alias("field", "boost"))
     scored = (
         fields.join(F.broadcast(weights), "field")

@@ -31,9 +31,8 @@ def hash_components(texts: DataFrame, id_col: str, text_col: str, dims: int = DI
     one task after the single exchange on the id.
     """
     pieces = space_split(F.col("text"))
-    words = texts.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col), F.col(text_col).alias("text")
-    ).repartition(id_col).select(
+    named = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"))
+    words = scale.by_key(named, id_col).select(
         id_col, F.explode(F.when(F.size(pieces) == 0, F.array(F.lower("text"))).otherwise(pieces)).alias("token"))
     counted = words.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
     hashed = counted.withColumn("hex", F.sha2(F.col("token").cast("binary"), 256))
@@ -124,7 +123,7 @@ def knn(
         rows = queries.toPandas()
         shared = corpus.sparkSession.sparkContext.broadcast(
             (rows[qid_col].to_numpy(), _unit_rows(rows[vector]) if len(rows) else None))
-        part = corpus.mapInPandas(_scan(shared, k, id_col, qid_col, vector), out)
+        part = scale.spread(corpus).mapInPandas(_scan(shared, k, id_col, qid_col, vector), out)
     else:
         part = _grid(corpus, queries, k, id_col, qid_col, vector, blocks, out)
     order = Window.partitionBy(qid_col).orderBy(F.desc("score"), F.asc(id_col))

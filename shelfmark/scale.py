@@ -85,3 +85,27 @@ def join_settled(
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     copies = small.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+# Below this many estimated bytes per core a table is spread before heavy work.
+SPREAD_BYTES = 16 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small table.
+
+    A table of a few megabytes may come as one unsplittable file, which would
+    keep one task busy and the others idle.  Larger tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by a key ahead of steps that multiply the rows.
+
+    The number of partitions is fixed: judged by its input alone such a stage
+    looks small and would be merged into too few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
