@@ -183,22 +183,28 @@ def metric_sql(ranking: str, names: str, tag: str = "") -> str:
         f"sum(CASE WHEN rank <= {k} AND coalesce(grade, 0) > 0 THEN 1 ELSE 0 END) AS hits_{k}, "
         f"sum(CASE WHEN rank <= {k} THEN (pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1) ELSE 0 END) AS dcg_{k}" for k in ks)
     out = ", ".join(
-        f"""CASE WHEN returned > 0 THEN hits_{k} / CAST(least({k}, returned) AS DOUBLE) ELSE 0.0 END AS precision_at_{k},
-        coalesce(hits_{k}, 0) / {float(k)} AS precision_k_{k},
-        CASE WHEN relevant > 0 THEN coalesce(hits_{k}, 0) / CAST(relevant AS DOUBLE) ELSE 0.0 END AS recall_at_{k},
-        CASE WHEN first <= {k} THEN 1.0 / first ELSE 0.0 END AS mrr_at_{k},
-        CASE WHEN ideal_{k} > 0 THEN coalesce(dcg_{k}, 0) / ideal_{k} ELSE 0.0 END AS ndcg_at_{k}""" for k in ks)
+        f"""round({expr}, 12) AS {name}_{k}""" for k in ks for name, expr in (
+            ("precision_at", f"CASE WHEN returned > 0 THEN hits_{k} / CAST(least({k}, returned) AS DOUBLE) ELSE 0.0 END"),
+            ("precision_k", f"coalesce(hits_{k}, 0) / {float(k)}"),
+            ("recall_at", f"CASE WHEN relevant > 0 THEN coalesce(hits_{k}, 0) / CAST(relevant AS DOUBLE) ELSE 0.0 END"),
+            ("mrr_at", f"CASE WHEN first <= {k} THEN 1.0 / first ELSE 0.0 END"),
+            ("ndcg_at", f"CASE WHEN ideal_{k} > 0 THEN coalesce(dcg_{k}, 0) / ideal_{k} ELSE 0.0 END")))
     return f"""
 ideal{tag} AS (SELECT query, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) AS relevant, {gains} FROM (
     SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC) AS place FROM judgments) GROUP BY query),
 found{tag} AS (SELECT r.strategy, r.qid AS query, count(*) AS returned, min(CASE WHEN j.grade > 0 THEN rank END) AS first,
     list(r.product_id ORDER BY rank) AS ids, {found}
   FROM {ranking} r LEFT JOIN judgments j ON r.qid = j.query AND r.product_id = j.product_id GROUP BY r.strategy, r.qid),
-rows{tag} AS (SELECT n.strategy, i.query, coalesce(ids, []) AS ids, coalesce(1.0 / first, 0.0) AS mrr, {out}
+rows{tag} AS (SELECT n.strategy, i.query, coalesce(ids, []) AS ids, round(coalesce(1.0 / first, 0.0), 12) AS mrr, {out}
   FROM ideal{tag} i CROSS JOIN (SELECT unnest({names}) AS strategy) n
     LEFT JOIN found{tag} f ON i.query = f.query AND n.strategy = f.strategy)"""
 
 
+def r9(expression: str) -> str:
+    """The library rounds to 12 digits, the comparison to 9."""
+    return f"round(round({expression}, 12), 9) + 0.0"
+
+
 _DELTA = ("ndcg_at_10", "mrr", "precision_at_10")
 RERANK_ROWS = f"""{RERANK}, {DOC_JUDGED.strip()}, {metric_sql('ranking', "['match']", '_b').strip()},
 {metric_sql('reranked', "['match']", '_a').strip()}"""
@@ -211,7 +217,7 @@ def _rerank_rows(spark, d):
 
 
 @query(f"""{RERANK_ROWS} SELECT b.strategy, b.query, {', '.join(
-    f'round(b.{m}, 9) AS before_{m}, round(a.{m}, 9) AS after_{m}, round(a.{m} - b.{m}, 9) + 0.0 AS delta_{m}' for m in _DELTA)}
+    f'{r9("b." + m)} AS before_{m}, {r9("a." + m)} AS after_{m}, {r9(f"a.{m} - b.{m}")} AS delta_{m}' for m in _DELTA)}
 FROM rows_b b JOIN rows_a a ON b.strategy = a.strategy AND b.query = a.query""")
 def rerank_report(spark, d):
     rows = _rerank_rows(spark, d)
@@ -220,7 +226,7 @@ def rerank_report(spark, d):
 
 
 @query(f"""{RERANK_ROWS}, times AS (SELECT text, length(text) AS ms FROM benchmark)
-SELECT round(avg(a.ndcg_at_10 - b.ndcg_at_10), 9) + 0.0 AS mean_delta,
+SELECT {r9("avg(a.ndcg_at_10 - b.ndcg_at_10)")} AS mean_delta,
   (SELECT quantile_cont(CAST(ms AS DOUBLE), 0.95) FROM times) AS p95_before_ms,
   (SELECT quantile_cont(CAST(ms AS DOUBLE) * 1.5, 0.95) FROM times) AS p95_after_ms,
   avg(a.ndcg_at_10 - b.ndcg_at_10) > 0 AS warning
@@ -239,7 +245,7 @@ def rerank_summary(spark, d):
 
 _STRATS = [st.strategy(n) for n in st.EVALUATED]
 EVAL = f"{CAT}{rs.ranking(_STRATS, 10)}, {v.JUDGMENTS.strip()}, {metric_sql('ranking', repr(list(st.EVALUATED))).strip()}"
-REPORT = ", ".join(f"round({m}, 9) AS {m}" for m in metrics.REPORT_METRICS)
+REPORT = ", ".join(f"{r9(m)} AS {m}" for m in metrics.REPORT_METRICS)
 
 
 def _rankings(spark, d):
@@ -263,7 +269,7 @@ def evaluation_rows(spark, d):
 
 @query(f"""{EVAL}, means AS (SELECT strategy, count(*) AS n, {', '.join(f'avg({m}) AS {m}' for m in metrics.REPORT_METRICS)} FROM rows GROUP BY strategy)
 SELECT m.strategy, 'ok' AS status, CAST(m.n AS BIGINT) AS evaluated_queries, CAST(0 AS BIGINT) AS pending_queries,
-  {', '.join(f'round(m.{m}, 9) AS {m}, round(m.{m} - b.{m}, 9) + 0.0 AS delta_{m}' for m in metrics.REPORT_METRICS)}
+  {', '.join(f'{r9("m." + m)} AS {m}, {r9(f"round(m.{m}, 12) - round(b.{m}, 12)")} AS delta_{m}' for m in metrics.REPORT_METRICS)}
 FROM means m, (SELECT * FROM means WHERE strategy = 'baseline_bm25') b""")
 def evaluation_summary(spark, d):
     out = metrics.summary(_rows(spark, d), "baseline_bm25")
@@ -283,7 +289,7 @@ def winners(spark, d):
 
 
 MULTI_K = " UNION ALL ".join(
-    f"SELECT strategy, '{m}' AS metric, {k} AS k, round(avg({c}), 9) AS value FROM rows GROUP BY strategy"
+    f"SELECT strategy, '{m}' AS metric, {k} AS k, {r9(f'avg({c})')} AS value FROM rows GROUP BY strategy"
     for k in (1, 3, 5, 10)
     for m, c in (("precision", f"precision_k_{k}"), ("recall", f"recall_at_{k}"), ("mrr", f"mrr_at_{k}"), ("ndcg", f"ndcg_at_{k}")))
 
@@ -293,8 +299,8 @@ def metrics_at_k(spark, d):
     return rounded(metrics.metrics_at(_rankings(spark, d), v.judgments(spark, d), st.EVALUATED), ["value"])
 
 
-@query(f"""{EVAL} SELECT strategy, round(avg(precision_at_10), 9) AS precision_at_10, round(avg(mrr), 9) AS mrr,
-  round(avg(ndcg_at_10), 9) AS ndcg_at_10 FROM rows GROUP BY strategy""")
+@query(f"""{EVAL} SELECT strategy, {r9("avg(precision_at_10)")} AS precision_at_10, {r9("avg(mrr)")} AS mrr,
+  {r9("avg(ndcg_at_10)")} AS ndcg_at_10 FROM rows GROUP BY strategy""")
 def compare_strategies(spark, d):
     out = metrics.compare(_rankings(spark, d), v.judgments(spark, d), st.EVALUATED)
     return rounded(out, ["precision_at_10", "mrr", "ndcg_at_10"])
@@ -375,8 +381,8 @@ def quality_gate(spark, d):
     return rounded(gate.quality_gate(relevance, times, bounds), ["value"], 6)
 
 
-@query(f"""{EVAL}, at AS ({MULTI_K})
-SELECT strategy, metric, k, value, bound, value >= bound AS passed FROM at JOIN (
+@query(f"""{EVAL}, at_k AS ({MULTI_K})
+SELECT strategy, metric, k, value, bound, value >= bound AS passed FROM at_k JOIN (
   SELECT 'enriched_profile' AS s, 'precision' AS m, 5 AS n, CAST(0.6 AS DOUBLE) AS bound UNION ALL SELECT 'enriched_profile', 'mrr', 10, 0.75
   UNION ALL SELECT 'baseline_bm25', 'ndcg', 10, 0.1 UNION ALL SELECT 'boosted_bm25', 'ndcg', 10, 0.1)
 ON strategy = s AND metric = m AND k = n""")
@@ -414,7 +420,7 @@ tuned AS (SELECT "key" AS strategy, qid, product_id, round(max(field_score * wei
   FROM fields JOIN configs USING (field) GROUP BY ALL),
 ranking AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, qid ORDER BY score DESC, product_id) AS rank FROM tuned) WHERE rank <= 10),
 {v.JUDGMENTS.strip()}, {metric_sql('ranking', '(SELECT list(DISTINCT "key") FROM configs)').strip()},
-means AS (SELECT strategy AS "key", {', '.join(f'avg({m}) AS {m}' for m in metrics.REPORT_METRICS)} FROM rows GROUP BY strategy)"""
+means AS (SELECT strategy AS "key", {', '.join(f'round(avg({m}), 12) AS {m}' for m in metrics.REPORT_METRICS)} FROM rows GROUP BY strategy)"""
 
 
 def _tuned(spark, d):
@@ -425,7 +431,7 @@ def _tuned(spark, d):
         "strategy", F.lit(-1).alias("candidate_no"), tune.config_key(F.col("strategy"), F.col("boosts")).alias("key"), "boosts")
     configs = candidates.select("strategy", "candidate_no", "key", "boosts").unionByName(origin)
     judged = v.judgments(spark, d)
-    measured = tune.evaluate_configs(v.catalog(spark, d), v.catalog_queries(spark, d).select("qid", "query"), judged, _TUNED, configs)
+    measured = tune.evaluate_configs(v.catalog(spark, d), v.catalog_queries(spark, d).select("qid", "query"), judged, _TUNED, configs, judged_by="qid")
     return configs, measured
 
 
@@ -435,10 +441,10 @@ def tune_evaluate(spark, d):
 
 
 @query(f"""{TUNE}, base AS (SELECT precision_at_5 AS b FROM means WHERE "key" = '{_key(st.BASELINE_BOOSTS)}')
-SELECT DISTINCT c.candidate_no, "key", round(precision_at_5, 9) AS precision_at_5, round(round(precision_at_5, 9) - round(b, 9), 9) + 0.0 AS delta,
-  precision_at_5 >= 0.4 AND mrr_at_10 >= 0.3 AS gate_passed, precision_at_5 >= 0.4 AND mrr_at_10 >= 0.3 AND round(precision_at_5, 9) > round(b, 9) AS kept,
+SELECT DISTINCT c.candidate_no, "key", {r9("precision_at_5")} AS precision_at_5, {r9("precision_at_5 - b")} AS delta,
+  precision_at_5 >= 0.4 AND mrr_at_10 >= 0.3 AS gate_passed, precision_at_5 >= 0.4 AND mrr_at_10 >= 0.3 AND precision_at_5 > b AS kept,
   CASE WHEN NOT (precision_at_5 >= 0.4 AND mrr_at_10 >= 0.3) THEN 'rejected: below gate'
-    WHEN round(precision_at_5, 9) <= round(b, 9) THEN 'rejected: does not improve precision_at_5'
+    WHEN precision_at_5 <= b THEN 'rejected: does not improve precision_at_5'
     ELSE 'kept: passes gate and improves precision_at_5' END AS reason
 FROM means JOIN configs c USING ("key"), base WHERE c.candidate_no >= 0""")
 def tune_decisions(spark, d):
@@ -486,7 +492,7 @@ _DEFAULTS = {"title": "t.title", "category": "t.category", "availability": "'in_
 
 
 @query(f"""{REPLAY}, done AS (SELECT * FROM outcomes WHERE outcome = 'updated'),
-last AS (SELECT product_id, arg_max(event_time, seq) AS at, {', '.join(
+last AS (SELECT product_id, arg_max(event_time, seq) AS changed_at, {', '.join(
     f'arg_max({value}, seq) FILTER ({test}) AS {name}' for name, (test, value) in _LAST.items())} FROM done GROUP BY product_id),
 attrs AS (SELECT product_id, name, arg_max(val, seq) AS val FROM (
     SELECT product_id, 'a' || (k % 5) AS name, 'v' || seq AS val, seq FROM done WHERE kind = 'attributes_updated'
@@ -497,8 +503,8 @@ vers AS (SELECT product_id, source_system AS name, CAST(max(k) AS VARCHAR) AS va
   UNION ALL SELECT product_id, 'seed', '2001-10-01T00:00:00Z' FROM target),
 ver_text AS (SELECT product_id, string_agg(name || '=' || val, ';' ORDER BY name) AS source_versions FROM vers GROUP BY product_id)
 SELECT t.product_id, {', '.join(f'coalesce(l.{name}, {_DEFAULTS[name]}) AS {name}' for name in _LAST)}, attributes, source_versions,
-  strftime(coalesce(date_trunc('second', at), TIMESTAMP '{v.AS_OF}'), '%Y-%m-%dT%H:%M:%SZ') AS updated_at,
-  CASE WHEN at IS NULL THEN '2001-10-01T00:00:00Z' ELSE '2024-06-01T00:00:00Z' END AS indexed_at
+  strftime(coalesce(date_trunc('second', changed_at), TIMESTAMP '{v.AS_OF}'), '%Y-%m-%dT%H:%M:%SZ') AS updated_at,
+  CASE WHEN changed_at IS NULL THEN '2001-10-01T00:00:00Z' ELSE '2024-06-01T00:00:00Z' END AS indexed_at
 FROM target t LEFT JOIN last l ON t.product_id = l.product_id JOIN attr_text x ON t.product_id = x.product_id
   JOIN ver_text y ON t.product_id = y.product_id""")
 def replayed_catalog(spark, d):

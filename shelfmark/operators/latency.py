@@ -29,6 +29,9 @@ def percentiles(
     then counted one by one, repeats collapsed before the shuffle.  A poor
     sketch would make a zone larger, never the answer wrong.
     """
+    if not keys:
+        whole = percentiles(samples.withColumn("_all", F.lit(0)), ["_all"], value, ranks)
+        return whole.drop("_all")
     keys = list(keys)
     data = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     inner = [p for p in ranks if 0 < p < 100]

@@ -45,12 +45,14 @@ def propose(base: DataFrame, tried: DataFrame | None = None) -> DataFrame:
 
 def evaluate_configs(
     catalog: DataFrame, queries: DataFrame, judgments: DataFrame, strategy: str, configs: DataFrame, size: int = 10,
+    judged_by: str = "query",
 ) -> DataFrame:
     """Mean metrics of every configuration.
 
     Field scores do not depend on the boosts: the corpus is scored once with
     boosts of 1 and the configurations only weigh the fields afterwards.
-    ``queries`` is (qid, query), ``configs`` is (key, boosts).
+    ``queries`` is (qid, query), ``configs`` is (key, boosts).  ``judged_by``
+    names the column of ``queries`` that the judgments' ``query`` refers to.
     """
     base = tunable(strategy)
     plain = [base.with_boosts({f: 1.0 for f in base.boosts})]
@@ -63,7 +65,7 @@ def evaluate_configs(
         .agg(F.round(F.max(F.col("field_score") * F.col("boost")), 6).alias("score"))
     )
     ranked = lexical.top_k(scored, size, keys=("key", "qid"))
-    named = ranked.join(queries, "qid").select(F.col("key").alias("strategy"), "query", "product_id", "rank")
+    named = ranked.join(queries, "qid").select(F.col("key").alias("strategy"), F.col(judged_by).alias("query"), "product_id", "rank")
     keys = configs.select(F.collect_set("key")).scalar()
     rows = metrics.evaluation_rows(named, judgments, keys)
     return rows.groupBy(F.col("strategy").alias("key")).agg(*(
