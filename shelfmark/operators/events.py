@@ -113,22 +113,27 @@ def replay(
     """The catalog after the accepted changes.
 
     Every changed column keeps the last accepted value by arrival; attributes
-    merge key by key unless ``replace_attributes``.  Values are picked with
-    ``max_by``, which combines before the shuffle, so a hot product costs one
-    row per task.
+    merge key by key unless ``replace_attributes``.  Latest values combine
+    before the shuffle, so a hot product costs one row per task.
     """
     accepted = partial_columns(judged.where(F.col("outcome") == "updated"))
     plain = [c for c in CHANGED if c != "attributes" and c in catalog.columns]
-    last = accepted.groupBy("product_id").agg(
-        F.max_by("event_time", "seq").alias("_event_time"),
-        *(F.max_by(f"set_{c}", F.when(F.col(f"set_{c}").isNotNull(), F.col("seq"))).alias(f"set_{c}") for c in plain),
-        *([F.max_by("set_attributes", F.when(F.col("set_attributes").isNotNull(), F.col("seq"))).alias("_attrs")]
-          if replace_attributes else []),
-    )
-    versions = accepted.groupBy("product_id", "source_system").agg(
-        F.max("source_version").cast("string").alias("v")
-    ).groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("source_system", "v"))).alias("_versions"))
-    changes = last.join(versions, "product_id")
+    # First per source, then per product: gives the versions and the last values
+    # in one pass.  A struct led by ``seq`` is greatest for the latest change.
+    def latest(name: str) -> Column:
+        return F.max(F.col(name)).alias(name)
+
+    per_source = accepted.groupBy("product_id", "source_system").agg(
+        F.max("source_version").cast("string").alias("version"),
+        F.max(F.struct("seq", "event_time")).alias("_time"),
+        *(F.max(F.when(F.col(f"set_{c}").isNotNull(), F.struct("seq", f"set_{c}.v"))).alias(f"set_{c}") for c in plain))
+    changes = per_source.groupBy("product_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("source_system", "version"))).alias("_versions"),
+        F.max("_time")["event_time"].alias("_event_time"), *(latest(f"set_{c}") for c in plain))
+    if "attributes" in catalog.columns and replace_attributes:
+        whole = accepted.where(F.col("set_attributes").isNotNull()).groupBy("product_id").agg(
+            F.max_by("set_attributes", "seq").alias("_attrs"))
+        changes = changes.join(whole, "product_id", "left")
     if "attributes" in catalog.columns and not replace_attributes:
         merged = accepted.where(F.col("set_attributes").isNotNull()).select(
             "product_id", "seq", F.explode("set_attributes.v").alias("key", "value")

@@ -58,20 +58,21 @@ def _query_keys(wanted: DataFrame) -> DataFrame:
 
 
 def expand(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(field, clause) × vocabulary (field, term, df) within the allowed edits.
+    """(field, clause) × vocabulary (field, term, df, ...) within the allowed edits.
 
     Adds ``distance`` and ``weight`` = 1 - distance / length of the shorter one.
     """
+    facts = [c for c in vocabulary.columns if c not in ("field", "term")]
     exact = wanted.join(
         vocabulary.withColumnRenamed("term", "clause"), ["field", "clause"]
-    ).select("field", "clause", F.col("clause").alias("term"), "df", F.lit(0).alias("distance"))
+    ).select("field", "clause", F.col("clause").alias("term"), *facts, F.lit(0).alias("distance"))
     asked = scale.settle(_query_keys(wanted))
     near = (
         scale.join_settled(_vocabulary_keys(vocabulary), asked, KEY, salt_by="term")
         .where(F.col("clause") != F.col("term"))
         .withColumn("distance", F.levenshtein("clause", "term", 2))
         .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("edits")))
-        .select("field", "clause", "term", "df", "distance")
+        .select("field", "clause", "term", *facts, "distance")
         .distinct()
     )
     shorter = F.least(F.length("clause"), F.length("term"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark import scale
+
 # Half-width, as a share of the rows, of the bracket put around a percentile.
 BRACKET = 0.0005
 SKETCH_ACCURACY = 20000
@@ -36,13 +39,14 @@ def percentiles(
     data = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     inner = [p for p in ranks if 0 < p < 100]
     shares = sorted({min(1.0, max(0.0, p / 100 + d)) for p in inner for d in (-BRACKET, BRACKET)}) or [0.5]
-    sketch = data.groupBy(*keys).agg(
+    settled = scale.settle(data.groupBy(*keys).agg(
         F.percentile_approx("v", [float(s) for s in shares], SKETCH_ACCURACY).alias("cuts"),
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
+    sketch = settled.df
     zone = sum(
         (F.when(F.col("v") > F.col("cuts")[i], 1).otherwise(0) for i in range(len(shares))), F.lit(0))
-    # One row per key; the planner broadcasts it when its size allows.
-    zoned = data.join(sketch.select(*keys, "cuts"), keys).select(*keys, "v", zone.alias("zone"))
+    cuts = replace(settled, df=sketch.select(*keys, "cuts"))
+    zoned = scale.join_settled(data, cuts, keys, salt_by="v").select(*keys, "v", zone.alias("zone"))
     counts = zoned.groupBy(*keys, "zone").agg(F.count(F.lit(1)).alias("rows"))
     by_zone = Window.partitionBy(*keys).orderBy("zone")
     before = counts.withColumn("before", F.sum("rows").over(by_zone) - F.col("rows"))
@@ -59,8 +63,9 @@ def percentiles(
     target = places.join(before, keys).where(
         (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("rows")))
 
-    zones = target.select(*keys, "zone").distinct()
-    distinct = zoned.join(zones, [*keys, "zone"], "left_semi").groupBy(*keys, "zone", "v").agg(
+    # At most two zones per wanted percentile and key: no larger than the sketch.
+    zones = replace(settled, df=target.select(*keys, "zone").distinct())
+    distinct = scale.join_settled(zoned, zones, [*keys, "zone"], "left_semi", salt_by="v").groupBy(*keys, "zone", "v").agg(
         F.count(F.lit(1)).alias("repeats"))
     running = F.sum("repeats").over(Window.partitionBy(*keys, "zone").orderBy("v"))
     ordered = distinct.withColumn("last", running).withColumn("first", F.col("last") - F.col("repeats"))

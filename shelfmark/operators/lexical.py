@@ -162,7 +162,7 @@ def clauses(queries: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
     )
     return cells.select(
         "strategy", "qid", *filters, "field", "kind", "boost", "fuzzy", "terms",
-        needed.alias("needed"), F.explode(distinct).alias("clause"),
+        needed.alias("needed"), F.posexplode(distinct).alias("clause_no", "clause"),
     ).withColumn(
         "qtf", F.size("terms") - F.size(F.array_remove("terms", F.col("clause")))
     ).drop("terms")
@@ -188,6 +188,8 @@ class Prepared:
     carry: tuple[str, ...]
     match_all: bool
     fuzzy: bool
+    # Clauses of the longest query; up to 63 fit into the bits of one number.
+    longest: int = 0
 
     @property
     def terms(self) -> scale.Settled:
@@ -195,7 +197,7 @@ class Prepared:
 
     @property
     def scoring(self) -> scale.Settled:
-        return replace(self.weights, df=self.weights.df.select("tid", "slot", "cid", "kind", "w", "avgdl"))
+        return replace(self.weights, df=self.weights.df.select("tid", "slot", "cid", "clause_no", "kind", "w", "avgdl"))
 
     @property
     def slots(self) -> scale.Settled:
@@ -236,7 +238,7 @@ def _match_all_weights(queries: DataFrame, strategies: Sequence[Strategy]) -> Da
     key = F.concat_ws("\x1f", part("f_category"), part("f_brand"), part("f_availability"))
     return queries.where(F.coalesce(F.trim("query"), F.lit("")) == "").select(
         names.alias("strategy"), "qid", *filters, F.lit(ANY).alias("field"), F.lit("keyword").alias("kind"),
-        key.alias("clause"), key.alias("term"), F.lit(1).alias("needed"), F.lit(1.0).alias("w"),
+        key.alias("clause"), F.lit(0).alias("clause_no"), key.alias("term"), F.lit(1).alias("needed"), F.lit(1.0).alias("w"),
         F.lit(1.0).alias("avgdl"), F.lit(0).cast("bigint").alias("df"), F.lit(1.0).alias("idf"),
         F.lit(1.0).alias("boost"), F.lit(0).alias("distance"),
     )
@@ -255,7 +257,7 @@ def prepare(docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy])
     else:
         weighted = _exact_weights(docs, kinds, wanted)
     weights = weighted.withColumn("idf", idf(F.col("df"), F.col("n"))).select(
-        "strategy", "qid", *filters, "field", "kind", "clause", "term", "needed",
+        "strategy", "qid", *filters, "field", "kind", "clause", "clause_no", "term", "needed",
         (F.col("qtf") * F.col("weight") * F.col("idf") * F.col("boost")).alias("w"),
         "avgdl", "df", "idf", "boost", "distance",
     )
@@ -268,7 +270,8 @@ def prepare(docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy])
         carry += ["popularity_score", "updated_at"]
     if filters:
         carry += ["_category", "_brand", "_availability", "_price"]
-    return Prepared(_numbered(weights), tuple(carry), match_all, any_fuzzy)
+    longest = wanted.df.agg(F.coalesce(F.max("clause_no"), F.lit(0)) + 1).head()[0] if any_fuzzy else 0
+    return Prepared(_numbered(weights), tuple(carry), match_all, any_fuzzy, longest)
 
 
 def _exact_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled) -> DataFrame:
@@ -277,13 +280,16 @@ def _exact_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled
     pairs = wanted.df.select("field", F.col("clause").alias("term")).unionByName(
         wanted.df.sparkSession.range(1).select(F.inline(F.array(*heads)))).distinct()
     stats = term_statistics(docs, kinds, replace(wanted, df=pairs))
-    # Only asked terms are left, so a field's rows are few.
-    in_field = Window.partitionBy("field")
     is_head = F.col("term") == ""
-    vocabulary = stats.withColumns({
-        "n": F.max(F.when(is_head, F.col("df"))).over(in_field),
-        "avgdl": F.max(F.when(is_head, F.col("total") / F.col("df"))).over(in_field),
-    }).where(~is_head).drop("total")
+    if wanted.fits():
+        # Few terms are asked, so a field's rows are few and one window does.
+        in_field = Window.partitionBy("field")
+        vocabulary = stats.withColumns({
+            "n": F.max(F.when(is_head, F.col("df"))).over(in_field),
+            "avgdl": F.max(F.when(is_head, F.col("total") / F.col("df"))).over(in_field),
+        }).where(~is_head).drop("total")
+    else:
+        vocabulary = _with_heads(scale.settle(stats).df)
     return scale.join_settled(
         vocabulary, replace(wanted, df=wanted.df.withColumn("term", F.col("clause"))), ["field", "term"],
     ).withColumns({"weight": F.lit(1.0), "distance": F.lit(0)})
@@ -295,19 +301,22 @@ def _fuzzy_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled
     Expansions share the largest document frequency among them, so that a rare
     misspelling does not outrank the word itself.
     """
-    stats = scale.settle(term_statistics(docs, kinds)).df
-    heads = stats.where(F.col("term") == "").select(
-        "field", F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
-    vocabulary = stats.where(F.col("term") != "").select("field", "term", "df")
+    vocabulary = _with_heads(scale.settle(term_statistics(docs, kinds)).df)
     exact = wanted.df.where(~F.col("fuzzy")).withColumn("term", F.col("clause")).join(
         vocabulary, ["field", "term"]).withColumns({"weight": F.lit(1.0), "distance": F.lit(0)})
     clauses_fuzzy = wanted.df.where("fuzzy")
     near = fuzzy.expand(clauses_fuzzy.select("field", "clause").distinct(), vocabulary)
     peak = near.groupBy("field", "clause").agg(F.max("df").alias("peak"))
     blended = near.join(peak, ["field", "clause"]).withColumn("df", F.col("peak")).drop("peak")
-    both = exact.unionByName(clauses_fuzzy.join(blended, ["field", "clause"]))
+    return exact.unionByName(clauses_fuzzy.join(blended, ["field", "clause"]))
+
+
+def _with_heads(stats: DataFrame) -> DataFrame:
+    """Term rows with their field's document count and mean length."""
+    heads = stats.where(F.col("term") == "").select(
+        "field", F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
     # One row per searched field.
-    return both.join(F.broadcast(heads), "field")
+    return stats.where(F.col("term") != "").drop("total").join(F.broadcast(heads), "field")
 
 
 def contributions(docs: DataFrame, prepared: Prepared, kinds: dict[str, str], id_col: str = "product_id") -> DataFrame:
@@ -343,12 +352,16 @@ def _passes(filters: Sequence[str]) -> Column:
 def field_scores(matches: DataFrame, prepared: Prepared, id_col: str = "product_id") -> DataFrame:
     """Score per field, for fields where enough terms match."""
     keys = ["slot", id_col, *prepared.carry]
-    if prepared.fuzzy:
-        # Several words of a document may answer to one clause.
-        parts = matches.groupBy(*keys, "cid").agg(F.sum("contribution").alias("contribution"))
+    # Several words of a document may answer to one clause of a fuzzy query.
+    if not prepared.fuzzy:
+        parts, matched = matches, F.count(F.lit(1))
+    elif prepared.longest <= 63:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("clause_no"))
+        parts, matched = matches.withColumn("bit", bit), F.bit_count(F.bit_or("bit"))
     else:
-        parts = matches
-    summed = parts.groupBy(*keys).agg(F.sum("contribution").alias("field_score"), F.count(F.lit(1)).alias("matched"))
+        parts = matches.groupBy(*keys, "cid").agg(F.sum("contribution").alias("contribution"))
+        matched = F.count(F.lit(1))
+    summed = parts.groupBy(*keys).agg(F.sum("contribution").alias("field_score"), matched.alias("matched"))
     rows = scale.join_settled(summed, prepared.slots, ["slot"], salt_by=id_col).where(F.col("matched") >= F.col("needed"))
     filters = [c for c in FILTERS if c in rows.columns]
     if filters:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Results depend on the first two; the rest are plan-quality defaults which a
@@ -18,16 +16,16 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Settled tables are removed once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def get_session(app: str = "shelfmark", master: str | None = None, **conf: str) -> SparkSession:
     """Build (or reuse) a session; keyword arguments are extra Spark settings."""
     builder = SparkSession.builder.appName(app)
-    if master or "SPARK_REMOTE" not in os.environ:
-        builder = builder.master(master) if master else builder
+    if master:
+        builder = builder.master(master)
     for key, value in {**DEFAULTS, **REQUIRED, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
