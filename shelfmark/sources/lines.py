@@ -11,11 +11,11 @@ from shelfmark.functions.text import non_empty
 from shelfmark.operators import validate
 from shelfmark.operators.datasets import last_judgment
 
-PRODUCT_SCHEMA = T.StructType.fromDDL(
+PRODUCT_SCHEMA = (
     "product_id string, title string, description string, brand string, category string, "
     "attributes map<string,string>, price double, currency string, availability string, "
     "popularity_score double, seller_id string, updated_at string")
-EVENT_SCHEMA = T.StructType.fromDDL(
+EVENT_SCHEMA = (
     "event_id string, product_id string, source_system string, event_type string, event_time string, "
     "payload string, source_version bigint")
 JUDGMENT_SCHEMA = "query string, product_id string, label string, grade int, relevance int"
@@ -39,8 +39,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("value", "^﻿", "").alias("value"))
 
 
-def _parse(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    names = F.array(*(F.lit(f.name) for f in schema.fields))
+def _parse(lines: DataFrame, schema: str) -> DataFrame:
+    names = F.array(*(F.lit(name) for name in T.StructType.fromDDL(schema).fieldNames()))
     found = F.coalesce(F.json_object_keys("value"), F.array(F.lit("not a JSON object")))
     return lines.select(
         "path", "line_no", F.from_json("value", schema).alias("row"), F.array_except(found, names).alias("extra_fields")
