@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark import scale
 
 # Half-width, as a share of the rows, of the bracket put around a percentile.
-BRACKET = 0.0005
+BRACKET = 0.0001
 SKETCH_ACCURACY = 20000
 
 

@@ -244,8 +244,15 @@ def _match_all_weights(queries: DataFrame, strategies: Sequence[Strategy]) -> Da
     )
 
 
-def prepare(docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy]) -> Prepared:
-    """First stage: statistics of the asked terms and the weighted query terms."""
+def prepare(
+    docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy], partial_fields: bool = False,
+) -> Prepared:
+    """First stage: statistics of the asked terms and the weighted query terms.
+
+    A field whose vocabulary lacks too many of a query's terms cannot match, so
+    its remaining terms, often the frequent ones, are not looked up at all;
+    ``partial_fields`` keeps them for an explanation.
+    """
     kinds = {name: s.kinds[name] for s in strategies for name in s.boosts}
     queries = queries.withColumns({
         c: normalise(F.col(c)) for c in ("f_category", "f_brand") if c in queries.columns})
@@ -261,6 +268,10 @@ def prepare(docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy])
         (F.col("qtf") * F.col("weight") * F.col("idf") * F.col("boost")).alias("w"),
         "avgdl", "df", "idf", "boost", "distance",
     )
+    if not partial_fields:
+        in_slot = Window.partitionBy("strategy", "qid", "field")
+        present = F.size(F.collect_set("clause").over(in_slot))
+        weights = weights.withColumn("_present", present).where(F.col("_present") >= F.col("needed")).drop("_present")
     blank = queries.where(F.coalesce(F.trim("query"), F.lit("")) == "")
     match_all = not blank.isEmpty()
     if match_all:
@@ -445,7 +456,7 @@ def explain(
     id_col: str = "product_id",
 ) -> DataFrame:
     """What each term of each field adds to the text score of the top hits."""
-    prepared = prepare(docs, queries, strategies)
+    prepared = prepare(docs, queries, strategies, partial_fields=True)
     hits = scale.settle(
         top_k(score(docs, prepared, strategies, as_of, id_col), size, id_col=id_col)
         .select("strategy", "qid", F.col(id_col), "rank"))

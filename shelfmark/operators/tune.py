@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark import scale
 from shelfmark.operators import lexical, metrics
 from shelfmark.plans.strategies import tunable
 
@@ -58,9 +59,9 @@ def evaluate_configs(
     plain = [base.with_boosts({f: 1.0 for f in base.boosts})]
     prepared = lexical.prepare(catalog, queries, plain)
     fields = lexical.field_scores(lexical.contributions(catalog, prepared, base.kinds_used), prepared)
-    weights = configs.select("key", F.explode("boosts").alias("field", "boost"))
+    weights = scale.settle(configs.select("key", F.explode("boosts").alias("field", "boost")))
     scored = (
-        fields.join(F.broadcast(weights), "field")
+        scale.join_settled(fields, weights, ["field"], salt_by="product_id")
         .groupBy("key", "qid", "product_id")
         .agg(F.round(F.max(F.col("field_score") * F.col("boost")), 6).alias("score"))
     )

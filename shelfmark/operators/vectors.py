@@ -113,7 +113,7 @@ def knn(
     """
     bound = QUERY_BLOCK_BYTES if block_bytes is None else block_bytes
     corpus = corpus.where(F.col(vector).isNotNull()).select(id_col, vector)
-    queries = queries.where(F.col(vector).isNotNull()).select(qid_col, vector)
+    queries = scale.settle(queries.where(F.col(vector).isNotNull()).select(qid_col, vector)).df
     id_type, qid_type = corpus.schema[id_col].dataType, queries.schema[qid_col].dataType
     out = T.StructType([
         T.StructField(qid_col, qid_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])

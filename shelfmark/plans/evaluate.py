@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark import scale
 from shelfmark.operators import latency, metrics, rerank
 from shelfmark.operators.metrics import DIGITS
 
@@ -49,6 +50,8 @@ def rerank_report(
 def rerank_summary(rows: DataFrame, k: int = 10) -> DataFrame:
     """Mean nDCG change, 95th percentile times, and a warning when quality and
     time both rose (R8).  ``rows`` adds first_stage_latency_ms and total_latency_ms."""
+    rows = scale.settle(rows.select(
+        f"delta_ndcg_at_{k}", "first_stage_latency_ms", "total_latency_ms")).df
     mean = rows.agg(F.round(F.avg(f"delta_ndcg_at_{k}"), DIGITS).alias("mean_delta"))
 
     def p95(column: str) -> DataFrame:

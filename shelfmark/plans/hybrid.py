@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark import scale
 from shelfmark.functions.enrich import embedding_text
 from shelfmark.operators import lexical, vectors
 from shelfmark.operators.vectors import DIMS, Embedder, hash_embedding
@@ -43,6 +42,6 @@ def hybrid(
     words = lexical.rank(catalog, queries, [chosen], depth, as_of).drop("strategy")
     stored = vectors.has_embeddings(catalog)
     corpus = catalog.select("product_id", "embedding") if stored else catalog_vectors(catalog, embed)
-    asked = scale.settle(embed(queries.select("qid", "query"), "qid", "query")).df
+    asked = embed(queries.select("qid", "query"), "qid", "query")
     near = vectors.knn(corpus, asked, depth)
     return vectors.rrf([words, near], size, window=None if window is None else depth)

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark import scale
+
 RETRYABLE = (429, 503)
 
 
 def upsert(current: DataFrame, incoming: DataFrame, id_col: str = "product_id", seq: str = "seq") -> DataFrame:
     """Full rows replaced by id; of repeated ids the highest ``seq`` wins.
 
-    Writing the same rows again changes nothing.
+    Writing the same rows again changes nothing.  The incoming side is reduced
+    and measured first: while it is small the current table is not moved.
     """
     columns = [c for c in current.columns if c != id_col]
-    row = F.struct(*columns)
-    both = current.select(id_col, row.alias("row"), F.lit(-1).cast("bigint").alias("_seq")).unionByName(
-        incoming.select(id_col, row.alias("row"), F.col(seq).cast("bigint").alias("_seq")))
-    return both.groupBy(id_col).agg(F.max_by("row", "_seq").alias("row")).select(id_col, "row.*").select(*current.columns)
+    latest = scale.settle(
+        incoming.groupBy(id_col).agg(F.max_by(F.struct(*columns), seq).alias("row")).select(id_col, "row.*"))
+    replaced = replace(latest, df=latest.df.select(id_col))
+    kept = scale.join_settled(current, replaced, [id_col], "left_anti")
+    return kept.unionByName(latest.df.select(*current.columns))
 
 
 def upsert_summary(incoming: DataFrame, checked_errors: str = "errors") -> DataFrame:
