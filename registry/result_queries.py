@@ -68,7 +68,7 @@ SELECT * FROM (
   FROM dots d JOIN lengths q ON d.label = q.label JOIN norms c ON d.vec_id = c.vec_id) WHERE rank <= 10""")
 def knn_topk(spark, d):
     corpus = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("product_id"), "embedding")
-    return vectors.knn(corpus, centres(spark, d), 10).select(
+    return vectors.knn(scale.spread(corpus), centres(spark, d), 10).select(
         "qid", "product_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 

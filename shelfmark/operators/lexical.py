@@ -180,8 +180,10 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
 class Prepared:
     """The settled query side.
 
-    Asked terms, query slots (strategy, query, field) and clauses are numbered
-    so that the per-document work runs on integers.
+    Asked terms, query slots (query, field, fuzzy or not) and clauses are
+    numbered so that the per-document work runs on integers.  Strategies that
+    match a field alike share its slot: they differ in boost and in how many
+    terms they need, which is applied to the finished sum.
     """
 
     weights: scale.Settled
@@ -197,12 +199,13 @@ class Prepared:
 
     @property
     def scoring(self) -> scale.Settled:
-        return replace(self.weights, df=self.weights.df.select("tid", "slot", "cid", "clause_no", "kind", "w", "avgdl"))
+        rows = self.weights.df.select("tid", "slot", "cid", "clause_no", "kind", "w", "avgdl")
+        return replace(self.weights, df=rows.dropDuplicates(["tid", "slot", "cid"]))
 
     @property
     def slots(self) -> scale.Settled:
         filters = [c for c in FILTERS if c in self.weights.df.columns]
-        return self._part("slot", "strategy", "qid", "field", "needed", *filters)
+        return self._part("slot", "strategy", "qid", "field", "needed", "boost", *filters)
 
     def _part(self, *columns: str) -> scale.Settled:
         # No larger than the measured table it is taken from.
@@ -215,7 +218,7 @@ def _numbered(weights: DataFrame) -> scale.Settled:
     Numbers are hashes; that no two things share one is checked, and another
     seed is taken should it ever happen.
     """
-    groups = {"tid": ("field", "term"), "slot": ("strategy", "qid", "field"), "cid": ("field", "clause")}
+    groups = {"tid": ("field", "term"), "slot": ("qid", "field", "fuzzy"), "cid": ("field", "clause")}
     for seed in range(8):
         numbers = {name: F.xxhash64(F.lit(seed), *parts) for name, parts in groups.items()}
         settled = scale.settle(weights.withColumns(numbers))
@@ -238,7 +241,7 @@ def _match_all_weights(queries: DataFrame, strategies: Sequence[Strategy]) -> Da
     key = F.concat_ws("\x1f", part("f_category"), part("f_brand"), part("f_availability"))
     return queries.where(F.coalesce(F.trim("query"), F.lit("")) == "").select(
         names.alias("strategy"), "qid", *filters, F.lit(ANY).alias("field"), F.lit("keyword").alias("kind"),
-        key.alias("clause"), F.lit(0).alias("clause_no"), key.alias("term"), F.lit(1).alias("needed"), F.lit(1.0).alias("w"),
+        F.lit(False).alias("fuzzy"), key.alias("clause"), F.lit(0).alias("clause_no"), key.alias("term"), F.lit(1).alias("needed"), F.lit(1.0).alias("w"),
         F.lit(1.0).alias("avgdl"), F.lit(0).cast("bigint").alias("df"), F.lit(1.0).alias("idf"),
         F.lit(1.0).alias("boost"), F.lit(0).alias("distance"),
     )
@@ -264,8 +267,8 @@ def prepare(
     else:
         weighted = _exact_weights(docs, kinds, wanted)
     weights = weighted.withColumn("idf", idf(F.col("df"), F.col("n"))).select(
-        "strategy", "qid", *filters, "field", "kind", "clause", "clause_no", "term", "needed",
-        (F.col("qtf") * F.col("weight") * F.col("idf") * F.col("boost")).alias("w"),
+        "strategy", "qid", *filters, "field", "kind", "fuzzy", "clause", "clause_no", "term", "needed",
+        (F.col("qtf") * F.col("weight") * F.col("idf")).alias("w"),
         "avgdl", "df", "idf", "boost", "distance",
     )
     if not partial_fields:
@@ -373,11 +376,12 @@ def field_scores(matches: DataFrame, prepared: Prepared, id_col: str = "product_
         parts = matches.groupBy(*keys, "cid").agg(F.sum("contribution").alias("contribution"))
         matched = F.count(F.lit(1))
     summed = parts.groupBy(*keys).agg(F.sum("contribution").alias("field_score"), matched.alias("matched"))
-    rows = scale.join_settled(summed, prepared.slots, ["slot"], salt_by=id_col).where(F.col("matched") >= F.col("needed"))
+    rows = scale.join_settled(summed, prepared.slots, ["slot"], salt_by=id_col).where(
+        F.col("matched") >= F.col("needed")).withColumn("field_score", F.col("field_score") * F.col("boost"))
     filters = [c for c in FILTERS if c in rows.columns]
     if filters:
         rows = rows.where(_passes(filters))
-    return rows.drop("slot", "needed", "matched", "_category", "_brand", "_availability", "_price", *filters)
+    return rows.drop("slot", "needed", "boost", "matched", "_category", "_brand", "_availability", "_price", *filters)
 
 
 def popularity_boost(popularity: Column, factor: float) -> Column:
@@ -467,7 +471,8 @@ def explain(
     details = replace(prepared.weights, df=prepared.weights.df.select(
         "slot", "tid", "cid", "strategy", "qid", "field", "clause", "term", "needed", "df", "idf", "boost"))
     parts = scale.join_settled(contributions(kept, prepared, kinds, id_col), details, ["slot", "tid", "cid"], salt_by=id_col)
-    parts = scale.join_settled(parts, hits, ["strategy", "qid", id_col])
+    parts = scale.join_settled(parts, hits, ["strategy", "qid", id_col]).withColumn(
+        "contribution", F.col("contribution") * F.col("boost"))
     in_field = Window.partitionBy("strategy", "qid", id_col, "field")
     in_hit = Window.partitionBy("strategy", "qid", id_col)
     total = F.when(F.size(F.collect_set("clause").over(in_field)) >= F.col("needed"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark import scale
-from shelfmark.functions.text import space_split
+from shelfmark.functions.text import let, space_split
 
 DIMS = 384
 # A block of query vectors that every task may hold.
@@ -37,15 +37,12 @@ def hash_components(texts: DataFrame, id_col: str, text_col: str, dims: int = DI
     counted = words.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
     hashed = counted.withColumn("hex", F.sha2(F.col("token").cast("binary"), 256))
 
-    def number(at: int, length: int) -> Column:
-        return F.conv(F.substring("hex", at, length), 16, 10).cast("int")
-
-    chunks = F.array(*(
-        F.struct(
-            (number(1 + 4 * i, 4) % dims).alias("dim"),
-            F.when(number(1 + 4 * i, 2) % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("step"),
-        ) for i in range(16)))
-    summed = hashed.select(id_col, F.inline(chunks)).groupBy(id_col, "dim").agg(F.sum("step").alias("raw"))
+    numbers = F.array(*(F.conv(F.substring("hex", 1 + 4 * i, 4), 16, 10).cast("int") for i in range(16)))
+    first_byte = F.floor(F.col("number") / 256)
+    steps = hashed.select(id_col, "n", F.explode(numbers).alias("number")).select(
+        id_col, (F.col("number") % dims).alias("dim"),
+        F.when(first_byte % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("step"))
+    summed = steps.groupBy(id_col, "dim").agg(F.sum("step").alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)).cast("double"))
     return summed.withColumn("length", length).select(
         id_col, "dim", F.when(F.col("length") == 0, 0.0).otherwise(F.col("raw") / F.col("length")).alias("value"))
@@ -54,12 +51,13 @@ def hash_components(texts: DataFrame, id_col: str, text_col: str, dims: int = DI
 def hash_embedding(texts: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
     """Dense hash vectors: (id, embedding array<double>)."""
     cells = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at(F.col("cells"), d), F.lit(0.0)))
-    return (
-        hash_components(texts, id_col, text_col, dims)
-        .groupBy(id_col).agg(cells.alias("cells")).select(id_col, dense.alias("embedding"))
-    )
+
+    def dense(filled: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at(filled, d), F.lit(0.0)))
+
+    # Bound once: otherwise the map would be built anew for every dimension.
+    return hash_components(texts, id_col, text_col, dims).groupBy(id_col).agg(let(cells, dense).alias("embedding"))
 
 
 def column_embedder(encode: Callable[[Column], Column]) -> Embedder:
@@ -123,7 +121,7 @@ def knn(
         rows = queries.toPandas()
         shared = corpus.sparkSession.sparkContext.broadcast(
             (rows[qid_col].to_numpy(), _unit_rows(rows[vector]) if len(rows) else None))
-        part = scale.spread(corpus).mapInPandas(_scan(shared, k, id_col, qid_col, vector), out)
+        part = corpus.mapInPandas(_scan(shared, k, id_col, qid_col, vector), out)
     else:
         part = _grid(corpus, queries, k, id_col, qid_col, vector, blocks, out)
     order = Window.partitionBy(qid_col).orderBy(F.desc("score"), F.asc(id_col))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark import scale
 from shelfmark.functions.enrich import embedding_text
 from shelfmark.operators import lexical, vectors
 from shelfmark.operators.vectors import DIMS, Embedder, hash_embedding
@@ -18,6 +19,9 @@ def catalog_vectors(catalog: DataFrame, embed: Embedder = hash_embedding, dims:
         "product_id",
         embedding_text(F.col("title"), F.col("brand"), F.col("category"), F.col("description")).alias("text"))
     made = embed(texts, "product_id", "text")
+    if embed is hash_embedding:
+        # Has its length by construction.
+        return made
     wrong = F.raise_error(F.format_string(f"Expected {dims} dimensions, got %d", F.size("embedding"))).cast("boolean")
     return made.where(F.when(F.size("embedding") == dims, F.lit(True)).otherwise(wrong))
 
@@ -41,7 +45,7 @@ def hybrid(
     chosen = strategy("boosted_lexical" if boosted and window is None else "baseline_lexical")
     words = lexical.rank(catalog, queries, [chosen], depth, as_of).drop("strategy")
     stored = vectors.has_embeddings(catalog)
-    corpus = catalog.select("product_id", "embedding") if stored else catalog_vectors(catalog, embed)
+    corpus = scale.spread(catalog.select("product_id", "embedding")) if stored else catalog_vectors(catalog, embed)
     asked = embed(queries.select("qid", "query"), "qid", "query")
     near = vectors.knn(corpus, asked, depth)
     return vectors.rrf([words, near], size, window=None if window is None else depth)
