@@ -44,8 +44,11 @@ def rerank_window(
     if window < 1:
         raise ValueError("window_size must be positive")
     inside = F.col("rank") <= window
-    fresh = reranker(token_set(F.col(query)), token_set(F.col(text)), F.col("score"))
-    scored = rows.withColumn("rerank_score", F.when(inside, fresh).otherwise(F.col("score")))
+    # Tokens as columns of their own, so that each text is cut once.
+    cut = rows.withColumns({
+        "_asked": F.when(inside, token_set(F.col(query))), "_held": F.when(inside, token_set(F.col(text)))})
+    fresh = reranker(F.col("_asked"), F.col("_held"), F.col("score"))
+    scored = cut.withColumn("rerank_score", F.when(inside, fresh).otherwise(F.col("score")))
     order = Window.partitionBy(*keys).orderBy(
         F.asc(F.when(inside, 0).otherwise(1)),
         F.desc(F.when(inside, F.round("rerank_score", 9))), F.asc("rank"))
