@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
-    """The words between ASCII white space; an empty array for a null text."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    """The words between ASCII white space; an empty array for a null text.
+
+    The other five separators become spaces first: splitting at one plain character
+    is much faster than at a pattern.
+    """
+    flat = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\x0b\f\r", F.coalesce(text, F.lit("")))
+    return F.array_remove(F.split(flat, " "), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -17,8 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import SPACE, let, rows_of, with_text, words
+from shelfmark.llm.common import let, rows_of, with_text, words
 
+WORD = r"[^\x20\x09-\x0D]"
 #: Line patterns (Java).  A line that ends openly and has no sentence mark inside is a heading or fragment.
 SENTENCE_MARK = r"[.!?:;…。！？؟।][\"'”’»)\]]*(?:[\x20\x09-\x0D]|$)"
 SYMBOL = r"[#*$%&|<>]"
@@ -33,48 +34,53 @@ BOILERPLATE = (
 
 def base_figures(text: Column) -> dict[str, Column]:
     """Figures of whole texts that need no word array."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     return {
         "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
     }
 
 
-def repeat_words(words_col: str) -> Column:
+def window_hashes(words_col: str) -> Column:
+    """A 64-bit hash of every three-word window, in order."""
+    return F.expr(f"""
+        CASE WHEN size({words_col}) < 4 THEN CAST(array() AS ARRAY<BIGINT>) ELSE slice(transform(
+            arrays_zip({words_col}, slice({words_col}, 2, size({words_col})), slice({words_col}, 3, size({words_col}))),
+            x -> xxhash64(x)), 1, size({words_col}) - 2) END""")
+
+
+def repeat_words(hashes: str) -> Column:
     """Words inside three-word windows that occur twice or more, the first one included.
 
-    Windows are sorted with their positions, so equal ones are neighbours.
+    Texts without any repeated window, most of them, end at the first line.  In the
+    others windows are sorted with their positions, so equal ones are neighbours.
     """
     return F.expr(f"""
-        CASE WHEN size({words_col}) < 4 THEN 0L ELSE element_at(transform(array(
-            sort_array(transform(sequence(0, size({words_col}) - 3), i ->
-                struct(concat_ws(' ', {words_col}[i], {words_col}[i + 1], {words_col}[i + 2]) AS w, i AS i)))),
+        CASE WHEN size(array_distinct({hashes})) = size({hashes}) THEN 0L ELSE element_at(transform(array(
+            sort_array(transform({hashes}, (h, i) -> struct(h, i)))),
             s -> element_at(transform(array(
-                transform(filter(s, (x, k) -> (k > 0 AND s[k - 1].w = x.w) OR (k + 1 < size(s) AND s[k + 1].w = x.w)), x -> x.i)),
+                transform(filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h)), x -> x.i)),
                 p -> CAST(size(array_distinct(flatten(array(p, transform(p, i -> i + 1), transform(p, i -> i + 2))))) AS BIGINT)), 1)), 1)
         END""")
 
 
 def boilerplate(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE]))
 
 
-def line_passes(line: Column) -> Column:
+def line_passes(line: Column, text: Column) -> Column:
     """Whether a line stays.  Blank lines stay: they carry no text to lose.
 
     Punctuation: a sentence mark inside or at the end, few bare symbols, no shouting.
     Navigation: fewer than one separator for three words.  Boilerplate: none of its
-    phrases.  ``marked``, ``loud`` and ``stock`` say of the whole text whether a rule can
-    fail at all, so that most lines meet one pattern only.
+    phrases.  ``text`` says of the whole text which rules can fail at all, so that most
+    lines meet one pattern only.
     """
-    return let(F.size(words(line)), lambda n: (n == 0) | (
-        line.rlike(SENTENCE_MARK)
-        & (~F.col("marked") | (
-            (F.regexp_count(line, F.lit(SYMBOL)) * 4 < n) & (F.regexp_count(line, F.lit(SEPARATOR)) * 3 < n)))
-        & (~F.col("loud") | (F.regexp_count(line, F.lit(SHOUT)) * 3 < n))
-        & (~F.col("stock") | ~boilerplate(line))
-    ))
+    odd = let(F.size(words(line)), lambda n: (
+        (F.regexp_count(line, F.lit(SYMBOL)) * 4 < n) & (F.regexp_count(line, F.lit(SEPARATOR)) * 3 < n)
+        & (F.regexp_count(line, F.lit(SHOUT)) * 3 < n)))
+    return ~line.rlike(WORD) | (
+        line.rlike(SENTENCE_MARK) & (~text["marked"] | odd) & (~text["stock"] | ~boilerplate(line)))
 
 
 def quality_rules(
@@ -87,16 +93,19 @@ def quality_rules(
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     read = rows_of(docs, id_col, text_col).select(
-        "row", "id", text.alias("text"), words(F.col("text")).alias("w"), *(c.alias(n) for n, c in base_figures(text).items()),
-        text.rlike(r"[#*$%&|<>»«•·]").alias("marked"), F.contains(text, F.lit("!!")).alias("loud"), boilerplate(text).alias("stock"))
+        "row", "id", text.alias("text"), words(F.col("text")).alias("w"), *(c.alias(n) for n, c in base_figures(text).items()))
+    read = read.select("*", window_hashes("w").alias("h"))
     measured = read.select(
         "row", "id", "text", "n_symbols", "n_dup_lines",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
-        repeat_words("w").alias("n_repeat_words"),
-        F.array_join(F.filter(F.split("text", "\n", -1), line_passes), "\n").alias("clean_text"))
+        repeat_words("h").alias("n_repeat_words"),
+        let(F.struct(
+            ((F.col("n_symbols") > 0) | F.rlike("text", F.lit(r"[»«•·]|!!"))).alias("marked"),
+            boilerplate(F.col("text")).alias("stock"), F.split("text", "\n", -1).alias("lines"),
+        ), lambda x: F.array_join(F.filter(x["lines"], lambda line: line_passes(line, x)), "\n")).alias("clean_text"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    left = F.length(F.regexp_replace("clean_text", SPACE, "")) * 100 >= min_kept_pct * F.col("word_chars")
+    left = F.length("clean_text") * 100 >= min_kept_pct * F.length("text")
     return measured.select(
         "row", "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text",
         failed.alias("base_failed"), (~failed & left).alias("kept"))
