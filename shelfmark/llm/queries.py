@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import table
+from shelfmark.llm.jaccard import jaccard_components
+from shelfmark.llm.line_dedup import dedup_lines
 from shelfmark.llm.quality import quality_rules
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", F.length("clean_text").cast("long").alias("kept_chars"),
+        F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op6_ngram_jaccard_join)}
 SQL: dict[str, str] = {}
