@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import table
+from shelfmark.llm.decontaminate import contaminated
+from shelfmark.llm.fst_tokens import token_counts
 from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.line_dedup import dedup_lines
+from shelfmark.llm.packing import pack
 from shelfmark.llm.quality import quality_rules
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
@@ -17,6 +23,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("clean_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select(
+        F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -27,5 +43,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_quality_rules, op6_ngram_jaccard_join)}
+def op10_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_hilbert_packing, op3_simhash_decontamination, op4_quality_rules, op6_ngram_jaccard_join, op10_fst_token_counts)}
 SQL: dict[str, str] = {}
