@@ -13,6 +13,7 @@ from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.line_dedup import dedup_lines
 from shelfmark.llm.packing import pack
 from shelfmark.llm.quality import quality_rules
+from shelfmark.llm.suffix_dedup import remove_repeats
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -43,10 +44,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept").withColumnRenamed("id", "doc_id")
+
+
 def op10_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_hilbert_packing, op3_simhash_decontamination, op4_quality_rules, op6_ngram_jaccard_join, op10_fst_token_counts)}
+    op1_line_dedup, op2_hilbert_packing, op3_simhash_decontamination, op4_quality_rules, op6_ngram_jaccard_join, op7_suffix_array_dedup, op10_fst_token_counts)}
 SQL: dict[str, str] = {}
