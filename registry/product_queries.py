@@ -132,12 +132,12 @@ def event_validation(spark, d):
 
 
 @query("""WITH raw AS (
-  SELECT conv_id, turn, CASE WHEN role = 'system' THEN '  ' ELSE ' ' || text || ' ' END AS query,
+  SELECT conv_id, turn, CASE WHEN role = 'system' THEN chr(9) || chr(10) ELSE ' ' || text || chr(160) || chr(9) END AS query,
     CASE role WHEN 'user' THEN 'boosted_bm25' WHEN 'assistant' THEN 'unknown' END AS strategy,
     CAST(turn * 20 AS INTEGER) AS size, CAST(conv_id % 7 AS DOUBLE) - 1 AS low, CAST(turn AS DOUBLE) AS high FROM conversations)
-SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, trim(query, ' ') AS query,
+SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, trim(query, ' ' || chr(9) || chr(10) || chr(160)) AS query,
   coalesce(strategy, 'enriched_profile') AS strategy,
-  array_to_string(list_filter([CASE WHEN trim(query, ' ') = '' THEN 'query' END,
+  array_to_string(list_filter([CASE WHEN trim(query, ' ' || chr(9) || chr(10) || chr(160)) = '' THEN 'query' END,
     CASE WHEN strategy = 'unknown' THEN 'strategy' END, CASE WHEN size < 1 OR size > 50 THEN 'size' END,
     CASE WHEN low < 0 THEN 'f_min_price' END, CASE WHEN low > high THEN 'price_range' END], lambda x: x IS NOT NULL), ',') AS errors
 FROM raw""")
@@ -145,7 +145,7 @@ def request_validation(spark, d):
     role = F.col("role")
     raw = v.table(spark, d, "conversations").select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
-        F.when(role == "system", "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" "))).alias("query"),
+        F.when(role == "system", "\t\n").otherwise(F.concat(F.lit(" "), "text", F.lit("\xa0\t"))).alias("query"),
         F.when(role == "user", "boosted_bm25").when(role == "assistant", "unknown").alias("strategy"),
         (F.col("turn") * 20).cast("int").alias("size"),
         (F.col("conv_id") % 7 - 1).cast("double").alias("f_min_price"), F.col("turn").cast("double").alias("f_max_price"))
@@ -155,13 +155,13 @@ def request_validation(spark, d):
 @query(f"""WITH {v.PRODUCTS.strip()},
 incoming AS (SELECT CAST(l_partkey AS VARCHAR) AS product_id, l_extendedprice AS price,
     row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) AS n
-  FROM lineitem WHERE l_returnflag = 'R'
+  FROM lineitem
   UNION ALL SELECT 'new-' || CAST(s_suppkey AS VARCHAR), s_acctbal, 1 FROM supplier)
 SELECT coalesce(i.product_id, p.product_id) AS product_id, coalesce(i.price, p.price) AS price
 FROM products p FULL OUTER JOIN (SELECT * FROM incoming WHERE n = 1) i ON p.product_id = i.product_id""")
 def upsert(spark, d):
     current = v.products(spark, d).select("product_id", "price")
-    lines = v.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(
+    lines = v.table(spark, d, "lineitem").select(
         F.col("l_partkey").cast("string").alias("product_id"), F.col("l_extendedprice").alias("price"),
         # Arrival order: order, line, and price for repeated lines.
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000
@@ -175,30 +175,38 @@ def upsert(spark, d):
 @query("""SELECT outcome, CAST(count(*) AS BIGINT) AS rows FROM (
   SELECT CASE WHEN o.o_orderstatus = 'F' THEN 'ok' WHEN o.o_orderstatus = 'O' AND o.o_totalprice > 250000 THEN 'retryable'
     ELSE 'failed' END AS outcome
-  FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey) GROUP BY outcome""")
+  FROM customer c LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus,
+    arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey)
+GROUP BY outcome""")
 def write_outcomes(spark, d):
     sent = v.table(spark, d, "customer").select(F.col("c_custkey").alias("product_id"))
     status = (
         F.when(F.col("o_orderstatus") == "F", 201)
         .when((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 250000), 429)
         .when(F.col("o_orderstatus") == "O", 400))
-    responses = v.table(spark, d, "orders").select(F.col("o_custkey").alias("product_id"), status.alias("status"))
+    # One response for each row that was sent: that of the customer's last order.
+    responses = v.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("product_id")).agg(F.max_by(status, "o_orderkey").alias("status"))
     return store.outcome_counts(sent, responses)
 
 
-_EMB = "SELECT CAST(vec_id AS VARCHAR) AS product_id, CAST(label AS VARCHAR) AS embedding FROM embeddings"
+# Every third vector is updated twice; the later update wins.
+_EMB = """SELECT CAST(vec_id AS VARCHAR) AS product_id, CAST(label AS VARCHAR) || CASE WHEN vec_id % 3 = 0 THEN ' again' ELSE '' END AS embedding
+  FROM embeddings"""
 
 
 @query(f"""SELECT p.product_id, e.embedding, FALSE AS failed FROM (SELECT CAST(p_partkey AS VARCHAR) AS product_id FROM part) p
   LEFT JOIN ({_EMB}) e ON p.product_id = e.product_id
 UNION ALL
-SELECT product_id, embedding, TRUE FROM ({_EMB}) WHERE product_id NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)""")
+SELECT product_id, embedding, TRUE FROM ({_EMB} UNION ALL
+  SELECT CAST(vec_id AS VARCHAR), CAST(label AS VARCHAR) FROM embeddings WHERE vec_id % 3 = 0)
+WHERE product_id NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)""")
 def partial_update(spark, d):
     catalog = v.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("product_id"))
     updates = v.table(spark, d, "embeddings").select(
-        F.col("vec_id").cast("string").alias("product_id"), F.col("label").cast("string").alias("embedding"))
-    done, failed = store.update_column(catalog, updates)
-    return done.withColumn("failed", F.lit(False)).unionByName(failed.withColumn("failed", F.lit(True)))
+        F.col("vec_id").cast("string").alias("product_id"), F.col("label").cast("string").alias("embedding"), F.lit(1).alias("seq"))
+    second = updates.where("product_id % 3 = 0").withColumns({"embedding": F.concat("embedding", F.lit(" again")), "seq": F.lit(2)})
+    done, failed = store.update_column(catalog, updates.unionByName(second))
+    return done.withColumn("failed", F.lit(False)).unionByName(failed.drop("seq").withColumn("failed", F.lit(True)))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS list_id, CAST(pos AS BIGINT) AS pos, CAST(p_partkey AS VARCHAR) AS product_id, p_name AS title

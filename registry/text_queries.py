@@ -75,7 +75,7 @@ FROM typos, df WHERE levenshtein(clause, term) <=
 def fuzzy_expand(spark, d):
     part = v.table(spark, d, "part").withColumnRenamed("p_name", "title")
     vocabulary = lexical.term_statistics(part, {"title": "text"}).where("term <> ''").select("field", "term", "df")
-    typed = F.concat(F.substring("title", 1, 1), F.substring("title", 3, 1000))
+    typed = F.concat(F.substring("title", 1, 1), F.expr("substring(title, 3)"))
     asked = part.select(F.lit("title").alias("field"), F.explode(lexical.tokens(typed)).alias("clause")).distinct()
     return fuzzy.expand(asked, vocabulary).select(
         "field", "clause", "term", "df", F.col("distance").cast("bigint").alias("distance"),

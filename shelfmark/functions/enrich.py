@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import let, non_empty, plain, stringify, utc_text
+from shelfmark.functions.text import let, non_empty, plain, stringify, strip, utc_text
 
 # When a trigger occurs in the product text, its use cases apply.
 USE_CASE_RULES = [
@@ -66,7 +66,7 @@ def use_cases(title: Column, category: Column, description: Column, attributes:
         return F.concat(*lists)
 
     explicit = stringify(F.coalesce(*(non_empty(attribute(attributes, key)) for key in AUDIENCE_KEYS)))
-    named = F.filter(F.transform(F.split(explicit, ","), lambda x: F.trim(x)), lambda v: v != "")
+    named = F.filter(F.transform(F.split(explicit, ","), strip), lambda v: v != "")
     return F.array_distinct(F.concat(let(text, inferred), named))
 
 

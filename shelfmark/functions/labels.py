@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import strip
+
 # Relevance grades of the labels, and the dataset's letter codes.
 GRADES = {"exact": 3, "substitute": 2, "complement": 1, "irrelevant": 0}
 CODES = {"e": 3, "s": 2, "c": 1, "i": 0}
@@ -22,4 +24,4 @@ def label_grade(label: Column) -> Column:
 
 def dataset_grade(label: Column) -> Column:
     """Grade of a letter code or a name in any case."""
-    return _lookup({**CODES, **GRADES}, F.lower(F.trim(label)))
+    return _lookup({**CODES, **GRADES}, F.lower(strip(label)))

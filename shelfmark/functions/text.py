@@ -79,16 +79,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+# White space that is stripped: every Unicode space and line break.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(value: Column | str) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(value, F.lit(SPACES))
+
+
 def plain(value: Column) -> Column:
-    """Trimmed text, '' for null."""
-    return F.coalesce(F.trim(value), F.lit(""))
+    """Stripped text, '' for null."""
+    return F.coalesce(strip(value), F.lit(""))
 
 
 def stringify(value: Column) -> Column:
     """Trimmed text; null is '' and a JSON array is joined with ', ' (P3)."""
     def one(text: Column) -> Column:
         items = F.filter(
-            F.transform(F.from_json(text, "array<string>"), lambda x: F.trim(F.coalesce(x, F.lit("None")))),
+            F.transform(F.from_json(text, "array<string>"), lambda x: strip(F.coalesce(x, F.lit("None")))),
             lambda x: x != "",
         )
         return F.when(text.startswith("["), F.coalesce(F.array_join(items, ", "), text)).otherwise(text)
@@ -105,4 +114,4 @@ def utc_text(ts: Column) -> Column:
 
 def parse_version(value: Column) -> Column:
     """Integer version, null when the text is not one."""
-    return F.when(F.trim(value).rlike(r"^[+-]?\d+$"), F.trim(value).try_cast("bigint"))
+    return F.when(strip(value).rlike(r"^[+-]?\d+$"), strip(value).try_cast("bigint"))

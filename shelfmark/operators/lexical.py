@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import scale
-from shelfmark.functions.text import non_empty, normalise, tokens
+from shelfmark.functions.text import non_empty, normalise, strip, tokens
 from shelfmark.operators import fuzzy
 
 # Robertson & Zaragoza 2009.
@@ -145,12 +145,12 @@ def clauses(queries: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
         for s in strategies for name, boost in sorted(s.boosts.items())
     ))
     filters = [c for c in FILTERS if c in queries.columns]
-    cells = queries.where(F.trim("query") != "").select(
+    cells = queries.where(strip("query") != "").select(
         "qid", F.col("query"), *filters, F.inline(plan)
     ).withColumn(
         "terms",
         F.when(F.col("kind") == "text", tokens(F.col("query")))
-        .otherwise(F.array_compact(F.array(non_empty(normalise(F.trim("query")))))),
+        .otherwise(F.array_compact(F.array(non_empty(normalise(strip("query")))))),
     )
     distinct = F.array_distinct("terms")
     n = F.size(distinct)
@@ -239,7 +239,7 @@ def _match_all_weights(queries: DataFrame, strategies: Sequence[Strategy]) -> Da
     names = F.explode(F.array(*(F.lit(s.name) for s in strategies)))
     filters = [c for c in FILTERS if c in queries.columns]
     key = F.concat_ws("\x1f", part("f_category"), part("f_brand"), part("f_availability"))
-    return queries.where(F.coalesce(F.trim("query"), F.lit("")) == "").select(
+    return queries.where(F.coalesce(strip("query"), F.lit("")) == "").select(
         names.alias("strategy"), "qid", *filters, F.lit(ANY).alias("field"), F.lit("keyword").alias("kind"),
         F.lit(False).alias("fuzzy"), key.alias("clause"), F.lit(0).alias("clause_no"), key.alias("term"), F.lit(1).alias("needed"), F.lit(1.0).alias("w"),
         F.lit(1.0).alias("avgdl"), F.lit(0).cast("bigint").alias("df"), F.lit(1.0).alias("idf"),
@@ -257,8 +257,9 @@ def prepare(
     ``partial_fields`` keeps them for an explanation.
     """
     kinds = {name: s.kinds[name] for s in strategies for name in s.boosts}
-    queries = queries.withColumns({
-        c: normalise(F.col(c)) for c in ("f_category", "f_brand") if c in queries.columns})
+    # A blank filter is one that was not given.
+    given = {c: F.when(strip(F.col(c)) != "", F.col(c)) for c in ("f_category", "f_brand", "f_availability") if c in queries.columns}
+    queries = queries.withColumns({c: v if c == "f_availability" else normalise(v) for c, v in given.items()})
     filters = [c for c in FILTERS if c in queries.columns]
     wanted = scale.settle(clauses(queries, strategies))
     any_fuzzy = any(s.fuzzy for s in strategies)
@@ -275,7 +276,7 @@ def prepare(
         in_slot = Window.partitionBy("strategy", "qid", "field")
         present = F.size(F.collect_set("clause").over(in_slot))
         weights = weights.withColumn("_present", present).where(F.col("_present") >= F.col("needed")).drop("_present")
-    blank = queries.where(F.coalesce(F.trim("query"), F.lit("")) == "")
+    blank = queries.where(F.coalesce(strip("query"), F.lit("")) == "")
     match_all = not blank.isEmpty()
     if match_all:
         weights = weights.unionByName(_match_all_weights(queries, strategies))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import strip
 from shelfmark.operators import events as ev
 from shelfmark.plans.strategies import DEFAULT_STRATEGY, EVALUATED, MAX_SIZE
 
@@ -38,7 +39,8 @@ def product_errors(df: DataFrame) -> DataFrame:
     """Adds ``errors`` for the product rules and normalises the row.
 
     ``updated_at`` is text on input and a timestamp on output; an optional
-    ``extra_fields`` column (array) lists input fields that are not allowed.
+    ``extra_fields`` column (array) lists input fields that are not allowed, and
+    ``wrong_types`` (array) those whose value has another type.
     """
     rules = {name: _filled(name) for name in ("product_id", "title", "brand", "category", "seller_id")}
     rules |= {
@@ -50,6 +52,8 @@ def product_errors(df: DataFrame) -> DataFrame:
     }
     if "extra_fields" in df.columns:
         rules["extra_fields"] = F.size(F.coalesce("extra_fields", F.array().cast("array<string>"))) == 0
+    if "wrong_types" in df.columns:
+        rules["wrong_types"] = F.size("wrong_types") == 0
     changed = {
         "currency": F.upper("currency"),
         "updated_at": zoned_timestamp(F.col("updated_at")),
@@ -96,7 +100,7 @@ def request_errors(requests: DataFrame) -> DataFrame:
     def has(name: str) -> bool:
         return name in requests.columns
 
-    df = requests.withColumn("query", F.trim("query"))
+    df = requests.withColumn("query", strip("query"))
     df = df.withColumn("strategy", F.coalesce("strategy", F.lit(DEFAULT_STRATEGY)) if has("strategy") else F.lit(DEFAULT_STRATEGY))
     df = df.withColumn("size", F.coalesce("size", F.lit(10)) if has("size") else F.lit(10))
     rules = {

@@ -33,7 +33,7 @@ MAX_SIZE = 50
 
 def strategy(name: str) -> Strategy:
     if name not in STRATEGIES:
-        raise ValueError(f"Unsupported strategy: {name!r}. Expected one of {tuple(STRATEGIES)}.")
+        raise ValueError(f"no strategy is called {name!r}; there are {', '.join(STRATEGIES)}")
     return STRATEGIES[name]
 
 

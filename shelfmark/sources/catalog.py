@@ -50,10 +50,16 @@ def outcome_counts(sent: DataFrame, responses: DataFrame, on: str = "product_id"
 
 
 def update_column(
-    catalog: DataFrame, updates: DataFrame, column: str = "embedding", id_col: str = "product_id",
+    catalog: DataFrame, updates: DataFrame, column: str = "embedding", id_col: str = "product_id", seq: str = "seq",
 ) -> tuple[DataFrame, DataFrame]:
-    """The catalog with one column replaced, and the updates of unknown ids."""
-    new = updates.select(id_col, F.struct(F.col(column).alias("v")).alias("_new"))
+    """The catalog with one column replaced, and the updates of unknown ids.
+
+    Of repeated ids the update with the highest ``seq`` wins; without such a column
+    the updates must not repeat an id in different versions.
+    """
+    value = F.struct(F.col(column).alias("v"))
+    newest = F.max_by(value, seq) if seq in updates.columns else F.first(value)
+    new = updates.groupBy(id_col).agg(newest.alias("_new"))
     joined = catalog.join(new, id_col, "left")
     old = F.col(column) if column in catalog.columns else F.lit(None)
     value = F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(old).alias(column)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.labels import dataset_grade
-from shelfmark.functions.text import non_empty
+from shelfmark.functions.text import non_empty, strip
 from shelfmark.operators import validate
 from shelfmark.operators.datasets import last_judgment
 
+# Numbers and attributes are read as their JSON text, so that a wrong type shows.
 PRODUCT_SCHEMA = (
     "product_id string, title string, description string, brand string, category string, "
-    "attributes map<string,string>, price double, currency string, availability string, "
-    "popularity_score double, seller_id string, updated_at string")
+    "attributes string, price string, currency string, availability string, "
+    "popularity_score string, seller_id string, updated_at string")
 EVENT_SCHEMA = (
     "event_id string, product_id string, source_system string, event_type string, event_time string, "
     "payload string, source_version bigint")
@@ -34,7 +35,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = raw.groupBy("path", "block").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("path", "block", "start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return raw.where(F.trim("value") != "").join(offsets, ["path", "block"]).select(
+    return raw.where(strip("value") != "").join(offsets, ["path", "block"]).select(
         "path", (F.col("before") + F.col("at") - F.col("start") + 1).alias("line_no"),
         F.regexp_replace("value", "^﻿", "").alias("value"))
 
@@ -58,7 +59,24 @@ def read_products(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     Strict fails on a bad line with its number; otherwise the ``errors`` column
     tells what is wrong with each line.
     """
-    return _checked(validate.product_errors(_parse(numbered_lines(spark, path), PRODUCT_SCHEMA)), strict, "product")
+    rows = _parse(numbered_lines(spark, path), PRODUCT_SCHEMA)
+    numbers = ("price", "popularity_score")
+    wrong = {c: F.col(c).isNotNull() & strip(c).try_cast("double").isNull() for c in numbers}
+    wrong["attributes"] = F.col("attributes").isNotNull() & ~strip("attributes").startswith("{")
+    typed = rows.withColumn("wrong_types", F.array_compact(F.array(*(F.when(bad, F.lit(c)) for c, bad in wrong.items()))))
+    typed = typed.withColumns({c: strip(c).try_cast("double") for c in numbers} | {"attributes": F.from_json("attributes", "map<string,string>")})
+    return _checked(validate.product_errors(typed), strict, "product")
+
+
+def arrival(lines: DataFrame) -> DataFrame:
+    """Lines with ``seq``, their number over all files in path order.
+
+    One row per file goes through a single task to add up line counts.
+    """
+    files = lines.groupBy("path").agg(F.max("line_no").alias("n"))
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = files.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    return lines.join(shifts, "path").withColumn("seq", F.col("shift") + F.col("line_no")).drop("shift")
 
 
 def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -67,19 +85,16 @@ def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     Files are taken in path order, lines in file order.
     """
     lines = numbered_lines(spark, path)
-    parsed = validate.event_errors(_parse(lines, EVENT_SCHEMA))
-    files = lines.groupBy("path").agg(F.max("line_no").alias("n"))
-    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = files.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    numbered = parsed.join(shifts, "path").withColumn("seq", F.col("shift") + F.col("line_no")).drop("shift")
-    return _checked(numbered, strict, "product event")
+    order = arrival(lines).select("path", "line_no", "seq")
+    parsed = validate.event_errors(_parse(lines, EVENT_SCHEMA)).join(order, ["path", "line_no"])
+    return _checked(parsed, strict, "product event")
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     """Judgments from JSONL lines with ``grade`` or ``label`` (S3)."""
-    rows = numbered_lines(spark, path).select(
-        F.col("line_no").alias("seq"), F.from_json("value", JUDGMENT_SCHEMA).alias("r")).select("seq", "r.*")
-    problem = F.raise_error(F.format_string("Unknown relevance label on line %d", F.col("seq"))).cast("int")
+    rows = arrival(numbered_lines(spark, path)).select(
+        "seq", "path", "line_no", F.from_json("value", JUDGMENT_SCHEMA).alias("r")).select("seq", "path", "line_no", "r.*")
+    problem = F.raise_error(F.format_string("No grade for the label in line %d of %s", F.col("line_no"), F.col("path"))).cast("int")
     grade = F.coalesce("grade", dataset_grade(F.col("label")), problem)
     return last_judgment(rows.withColumn("grade", grade))
 
@@ -91,19 +106,19 @@ def read_search_judgments(spark: SparkSession, path: str) -> DataFrame:
     the file's query order (text order for JSONL).
     """
     if path.lower().endswith(".jsonl"):
-        rows = numbered_lines(spark, path).select(
-            F.col("line_no").alias("seq"), F.from_json("value", JUDGMENT_SCHEMA).alias("r")).select(
-            "seq", F.trim("r.query").alias("query"), F.trim("r.product_id").alias("product_id"),
+        rows = arrival(numbered_lines(spark, path)).select(
+            "seq", "line_no", F.from_json("value", JUDGMENT_SCHEMA).alias("r")).select(
+            "seq", "line_no", strip("r.query").alias("query"), strip("r.product_id").alias("product_id"),
             F.coalesce("r.grade", "r.relevance", F.lit(0)).alias("grade"))
         bad = non_empty(F.col("query")).isNull() | non_empty(F.col("product_id")).isNull()
-        message = F.format_string("Judgment line %d must include query and product_id", F.col("seq"))
+        message = F.format_string("Line %d: a judgment needs a query and a product id", F.col("line_no"))
         return last_judgment(rows.where(_demand(~bad, message)))
     rows = spark.read.text(path, wholetext=True).select(
         F.posexplode(F.from_json("value", "array<struct<query:string,judgments:map<string,int>>>")).alias("at", "r")
-    ).select((F.col("at") + 1).alias("query_no"), F.trim("r.query").alias("query"), F.col("r.judgments").alias("judgments"))
-    named = _demand(non_empty(F.col("query")).isNotNull(), F.format_string("Judgment row %d is missing query", "query_no"))
+    ).select((F.col("at") + 1).alias("query_no"), strip("r.query").alias("query"), F.col("r.judgments").alias("judgments"))
+    named = _demand(non_empty(F.col("query")).isNotNull(), F.format_string("Entry %d of the judgments has no query", "query_no"))
     full = _demand(F.coalesce(F.size("judgments"), F.lit(0)) > 0,
-                   F.format_string("Judgment row %d must include non-empty judgments", "query_no"))
+                   F.format_string("Entry %d of the judgments grades no product", "query_no"))
     return rows.where(named & full).select("query_no", "query", F.explode("judgments").alias("product_id", "grade"))
 
 

@@ -176,7 +176,7 @@ def test_search_products_counts_and_defaults(spark, catalog):
 
 
 def test_unknown_strategy_and_empty_boosts():
-    with pytest.raises(ValueError, match="Unsupported strategy"):
+    with pytest.raises(ValueError, match="no strategy is called"):
         st.strategy("nope")
     with pytest.raises(ValueError):
         st.tunable("baseline_bm25", {})

@@ -107,3 +107,14 @@ def test_embedder_choice(rows):
         vectors.get_embedder("other")
     encode = vectors.get_embedder("model", lambda c: F.array(F.length(c).cast("double")))
     assert encode(rows("id int, t string", [(1, "abc")]), "id", "t").head()["embedding"] == [3.0]
+
+
+def test_all_white_space_is_stripped(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions.labels import dataset_grade
+    from shelfmark.functions.text import parse_version, stringify
+
+    df = spark.createDataFrame([("　desc\n\t",), ("E\n",), (" 7\r",)], "t string")
+    got = df.select(stringify(F.col("t")).alias("s"), dataset_grade(F.col("t")).alias("g"), parse_version(F.col("t")).alias("v")).collect()
+    assert got[0].s == "desc" and got[1].g == 3 and got[2].v == 7
