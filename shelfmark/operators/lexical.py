@@ -105,15 +105,17 @@ def postings(
     """Term counts per document and field (T1), hash-partitioned by document.
 
     ``terms`` (field, term, tid) restricts the result to the asked pairs, which
-    from then on go by their number.
+    from then on go by their number.  The restriction comes before the exchange:
+    numbers cross the network, texts stay where they are.
     """
     wanted = dict.fromkeys([id_col, *carry, *kinds, *(("category", "brand", "availability") if match_all else ())])
-    rows = _field_rows(scale.by_key(docs.select(*wanted), id_col), kinds, [id_col, *carry], match_all)
+    rows = _field_rows(docs.select(*wanted), kinds, [id_col, *carry], match_all)
     found = rows.select(id_col, *carry, "field", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     name = ["field", "term"]
     if terms is not None:
-        found = scale.join_settled(found, terms, name, salt_by=id_col)
+        found = scale.join_settled(found, terms, name, salt_by=id_col).select(id_col, *carry, "dl", "tid")
         name = ["tid"]
+    found = scale.by_key(found, id_col)
     return found.groupBy(id_col, *carry, "dl", *name).agg(F.count(F.lit(1)).alias("tf"))
 
 

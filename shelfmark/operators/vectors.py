@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark import scale
-from shelfmark.functions.text import let, space_split
+from shelfmark.functions.text import space_split
 
 DIMS = 384
 # A block of query vectors that every task may hold.
@@ -19,45 +21,63 @@ QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 # A block of corpus vectors in the grid that replaces the broadcast.
 CORPUS_BLOCK_BYTES = 256 * 1024 * 1024
 
+# Scores that a task holds at once (64 MB).
+TILE_SCORES = 8 * 1024 * 1024
+
 # (id, text) table -> (id, embedding) table.
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
+def _token_steps(token: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and signs of a token: sixteen two-byte numbers of its SHA-256, the parity of the first byte as sign."""
+    numbers = np.frombuffer(hashlib.sha256(token.encode()).digest(), ">u2").astype(np.int64)
+    return numbers % dims, np.where((numbers >> 8) % 2 == 0, 1, -1)
+
+
+def _hashed(pieces: pd.Series, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Touched dimensions and normalised values of every row; a token of the batch is hashed once."""
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for tokens in pieces:
+        at, step = [], []
+        for token, n in Counter(tokens).items():
+            if token not in known:
+                known[token] = _token_steps(token, dims)
+            where, sign = known[token]
+            at.append(where)
+            step.append(n * sign)
+        if not at:
+            yield np.zeros(0, np.int64), np.zeros(0)
+            continue
+        touched, place = np.unique(np.concatenate(at), return_inverse=True)
+        raw = np.bincount(place, weights=np.concatenate(step))
+        length = np.sqrt((raw * raw).sum())
+        yield touched, raw / length if length else raw
+
+
+def _pieces(text: Column) -> Column:
+    found = space_split(text)
+    return F.when(F.size(found) == 0, F.array(F.lower(text))).otherwise(found)
+
+
 def hash_components(texts: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
-    """Non-zero components (id, dim, value) of the normalised hash vector (V1).
+    """Touched components (id, dim, value) of the normalised hash vector (V1), row by row: texts are not moved."""
+    @F.pandas_udf("array<struct<dim:int,value:double>>")
+    def cells(pieces: pd.Series) -> pd.Series:
+        return pd.Series([[{"dim": int(d), "value": float(v)} for d, v in zip(*row, strict=True)] for row in _hashed(pieces, dims)])
 
-    Every token's SHA-256 gives sixteen two-byte numbers: the number picks a
-    dimension, the parity of its first byte the sign.  Rows of one text stay in
-    one task after the single exchange on the id.
-    """
-    pieces = space_split(F.col("text"))
-    named = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text"))
-    words = scale.by_key(named, id_col).select(
-        id_col, F.explode(F.when(F.size(pieces) == 0, F.array(F.lower("text"))).otherwise(pieces)).alias("token"))
-    counted = words.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
-    hashed = counted.withColumn("hex", F.sha2(F.col("token").cast("binary"), 256))
-
-    numbers = F.array(*(F.conv(F.substring("hex", 1 + 4 * i, 4), 16, 10).cast("int") for i in range(16)))
-    first_byte = F.floor(F.col("number") / 256)
-    steps = hashed.select(id_col, "n", F.explode(numbers).alias("number")).select(
-        id_col, (F.col("number") % dims).alias("dim"),
-        F.when(first_byte % 2 == 0, F.col("n")).otherwise(-F.col("n")).alias("step"))
-    summed = steps.groupBy(id_col, "dim").agg(F.sum("step").alias("raw"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)).cast("double"))
-    return summed.withColumn("length", length).select(
-        id_col, "dim", F.when(F.col("length") == 0, 0.0).otherwise(F.col("raw") / F.col("length")).alias("value"))
+    return texts.where(F.col(text_col).isNotNull()).select(id_col, F.inline(cells(_pieces(F.col(text_col)))))
 
 
 def hash_embedding(texts: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
     """Dense hash vectors: (id, embedding array<double>)."""
-    cells = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
-
-    def dense(filled: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at(filled, d), F.lit(0.0)))
+    @F.pandas_udf("array<double>")
+    def dense(pieces: pd.Series) -> pd.Series:
+        out = np.zeros((len(pieces), dims))
+        for i, (touched, values) in enumerate(_hashed(pieces, dims)):
+            out[i, touched] = values
+        return pd.Series(list(out))
 
-    # Bound once: otherwise the map would be built anew for every dimension.
-    return hash_components(texts, id_col, text_col, dims).groupBy(id_col).agg(let(cells, dense).alias("embedding"))
+    return texts.where(F.col(text_col).isNotNull()).select(id_col, dense(_pieces(F.col(text_col))).alias("embedding"))
 
 
 def column_embedder(encode: Callable[[Column], Column]) -> Embedder:
@@ -98,6 +118,15 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return rows[keep], names[keep], values[keep]
 
 
+def _nearest(queries: np.ndarray, corpus: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a corpus block for every query, in tiles of at most TILE_SCORES scores."""
+    step, parts = max(1, TILE_SCORES // max(1, len(ids))), []
+    for start in range(0, len(queries), step):
+        rows, names, values = _best(queries[start : start + step] @ corpus.T, ids, k)
+        parts.append((rows + start, names, values))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def knn(
     corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "product_id", qid_col: str = "qid",
     vector: str = "embedding", block_bytes: int | None = None,
@@ -138,7 +167,7 @@ def _scan(shared, k: int, id_col: str, qid_col: str, vector: str):
             if not len(batch):
                 continue
             ids = batch[id_col].to_numpy()
-            rows, names, values = _best(matrix @ _unit_rows(batch[vector]).T, ids, k)
+            rows, names, values = _nearest(matrix, _unit_rows(batch[vector]), ids, k)
             found = pd.DataFrame({"q": rows, id_col: names, "score": values})
             kept = found if kept is None else pd.concat([kept, found])
             kept = kept.sort_values(["q", "score", id_col], ascending=[True, False, True])
@@ -159,7 +188,7 @@ def _grid(corpus, queries, k, id_col, qid_col, vector, blocks, out) -> DataFrame
     def pair(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
             return pd.DataFrame({f.name: [] for f in out.fields})
-        rows, names, values = _best(_unit_rows(q[vector]) @ _unit_rows(c[vector]).T, c[id_col].to_numpy(), k)
+        rows, names, values = _nearest(_unit_rows(q[vector]), _unit_rows(c[vector]), c[id_col].to_numpy(), k)
         return pd.DataFrame({qid_col: q[qid_col].to_numpy()[rows], id_col: names, "score": values})
 
     return left.groupBy("_cell", "_block").cogroup(right.groupBy("_cell", "_block")).applyInPandas(pair, out)
