@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import pii, secrets
+from shelfmark.llm import pii, secrets, sql
 from shelfmark.llm.chat import chat_windows, read_back
 from shelfmark.llm.common import table
 from shelfmark.llm.decontaminate import contaminated
@@ -94,4 +94,7 @@ def op10_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_hilbert_packing, op3_simhash_decontamination, op4_quality_rules, op5_chat_windows,
     op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_pii, op9_secret_scan, op10_fst_token_counts)}
-SQL: dict[str, str] = {}
+#: Positions of matches, token ids, fingerprinted bytes and greedy windows are left to the tests' plain Python.
+SQL = {
+    "op1_line_dedup": sql.OP1, "op3_simhash_decontamination": sql.OP3, "op4_quality_rules": sql.OP4, "op6_ngram_jaccard_join": sql.OP6,
+}
