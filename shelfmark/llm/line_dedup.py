@@ -4,16 +4,17 @@ A line's leaf is its token count and its leading tokens, fields with digits
 generalised first.  In a leaf a template is the line itself, or the line with one
 of three segments of its remaining tokens generalised: lines of a leaf that differ
 inside one segment only share that template.  A template that recurs in
-``min_docs`` documents stays where it occurs first (smallest id) and is dropped
-from every other document.
+``min_docs`` documents stays in the first of them (smallest id) and is dropped from
+every other one.
 
-Each document emits each of its templates once, as two hashes of 96 bits in all;
-templates are counted with map-side partial sums, so a line found in a third of
-all documents is a few rows per task.  No group of lines is ever gathered.
+Templates are two hashes of 96 bits in all, counted with map-side partial sums, so
+a line found in a third of all documents is a few rows per task.  What may recur
+(several occurrences, several ids) is joined back and its documents are counted
+exactly.  No group of lines is ever gathered.
 
 Defined cases: a null text stays null, an empty one empty; blank lines stay;
-repeats inside one document stay; every row is a document, also when an id repeats,
-and equal rows (same id, same text) are cut alike.
+repeats inside one document stay; rows that share an id are one document (those
+without an id too), and each is cut by its own lines.
 """
 
 from __future__ import annotations
@@ -21,59 +22,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import let, rows_of, stored, with_text, words
+from shelfmark.llm.common import let, rows_of, stored, with_text
 
 #: A whole token that holds a digit (Java); the look-behind keeps it linear in the token's length.
 NUMERIC = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Lines that are not yet tokens with single spaces between, or that hold a digit.
+UNEVEN = r"[0-9\x09-\x0D]|\x20\x20|^\x20|\x20$"
 FIELD = "<*>"
 SEGMENTS = 3
 
 
-def tokens(line: Column) -> Column:
-    return words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, NUMERIC, FIELD)).otherwise(line))
+def even(line: Column) -> Column:
+    """The line's tokens with single spaces between, tokens with digits generalised."""
+    spaced = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
+    return F.when(line.rlike(UNEVEN), F.regexp_replace(spaced, NUMERIC, FIELD)).otherwise(line)
 
 
-def templates(line: Column, depth: int) -> Column:
-    """The leaf and template hashes of one line; none for a blank line."""
-
-    def keys(t: Column) -> Column:
-        n, rest = F.size(t), F.size(t) - depth
-        cut = [F.lit(depth) + F.floor(rest * j / SEGMENTS).cast("int") for j in range(SEGMENTS + 1)]
-        leaf = F.hash(n, F.concat_ws(" ", F.slice(t, 1, depth)))
-        key = lambda *parts: F.struct(leaf.alias("leaf"), F.xxhash64(*parts).alias("key"))
-        exact = key(F.lit(0), F.concat_ws(" ", t))
-        general = [
-            key(F.lit(j + 1), F.concat_ws(" ", F.slice(t, 1, cut[j])), F.concat_ws(" ", F.slice(t, cut[j + 1] + 1, n)))
-            for j in range(SEGMENTS)]
-        return (F.when(n == 0, F.array().cast("array<struct<leaf:int,key:bigint>>"))
-                .when(rest < SEGMENTS, F.array(exact)).otherwise(F.array(exact, *general)))
-
-    return let(tokens(line), keys)
+def templates(line: Column, n: Column, depth: int) -> list[Column]:
+    """Template hashes of an even line of ``n`` tokens: the line itself, and with each segment generalised."""
+    head = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
+    cut = [F.lit(depth) + F.floor((n - depth) * j / SEGMENTS).cast("int") for j in range(SEGMENTS + 1)]
+    return [F.xxhash64(F.lit(0), line), *(F.xxhash64(F.lit(j + 1), head(cut[j]), head(cut[j + 1] - n)) for j in range(SEGMENTS))]
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """One row per document, line and template: ``id``, ``body`` (a hash of the text), ``line``, ``leaf``, ``key``."""
     lines = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "t"))
-    found = lines.select("id", "body", "line", templates(F.col("t"), depth).alias("k"))
-    return found.select("id", "body", "line", F.explode("k").alias("k")).select("id", "body", "line", "k.leaf", "k.key")
-
-
-def recurring(docs: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int) -> DataFrame:
-    """Templates of ``min_docs`` documents or more, with the first of them."""
-    per_doc = docs.select(
-        F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body")).alias("doc"),
-        F.explode(F.array_distinct(F.flatten(F.transform(F.split(text_col, "\n", -1), lambda x: templates(x, depth))))).alias("k"))
-    return (per_doc.groupBy("k.leaf", "k.key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first"))
-            .where(F.col("n") >= min_docs).select("leaf", "key", "first"))
+    tokens = lines.select("id", "body", "line", even(F.col("t")).alias("t")).where("t != ''")
+    counted = tokens.select("*", (F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).alias("n"))
+    exact, *general = templates(F.col("t"), F.col("n"), depth)
+    keys = F.when(F.col("n") - depth < SEGMENTS, F.array(exact)).otherwise(F.array(exact, *general))
+    leaf = F.hash("n", F.substring_index("t", " ", depth))
+    return counted.select("id", "body", "line", leaf.alias("leaf"), F.explode(keys).alias("key"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
     """``id``, ``body`` and the numbers of the lines to drop, for the documents that have any."""
-    known = stored(recurring(docs, id_col, text_col, depth, min_docs), "templates")
-    hits = occurrences(docs, id_col, text_col, depth).join(known, ["leaf", "key"])
-    later = ~(F.struct("id", "body").eqNullSafe(F.col("first")))
-    return hits.where(later).groupBy("id", "body").agg(F.collect_set("line").alias("drop"))
+    lines = occurrences(docs, id_col, text_col, depth)
+    counts = lines.groupBy("leaf", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("named"))
+    several = (F.col("first") != F.col("last")) | ((F.col("named") > 0) & (F.col("named") < F.col("n")))
+    likely = stored(counts.where((F.col("n") >= min_docs) & several).select("leaf", "key", "first"), "likely-templates")
+    hits = stored(lines.join(likely, ["leaf", "key"]), "template-lines")
+    known = hits.select("leaf", "key", "id").distinct().groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    later = ~F.col("id").eqNullSafe(F.col("first"))
+    return hits.join(known, ["leaf", "key"], "left_semi").where(later).groupBy("id", "body").agg(F.collect_set("line").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
