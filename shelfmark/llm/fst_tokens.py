@@ -18,9 +18,9 @@ short or very long, cost the same per character.
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -96,7 +96,7 @@ def compose(maps: np.ndarray) -> np.ndarray:
 def boundaries(symbol: np.ndarray) -> np.ndarray:
     """Positions where pieces start."""
     step, starts = machine()
-    chunk = min(CHUNK, max(64, len(symbol) // 512))
+    chunk = min(CHUNK, max(64, len(symbol) // 1024))
     pad = -len(symbol) % chunk
     grid = np.ascontiguousarray(np.append(symbol, np.full(pad, S_RESET, np.uint8)).reshape(-1, chunk).T)
     flat, begin = step.ravel(), starts.ravel()
@@ -122,29 +122,43 @@ def emit(grid: np.ndarray, state: np.ndarray, flat: np.ndarray, begin: np.ndarra
     return out.T.ravel()
 
 
+@cache
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Lexicon(dict):
-    """Pieces to their token ids as little-endian 16-bit bytes, asked of the tokenizer once per piece."""
+    """Pieces to their token ids as little-endian 16-bit bytes, asked of the tokenizer's model once per piece."""
 
     def __init__(self, path: str, bound: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.model, self.bound = Tokenizer.from_file(path), bound
-        self.special = {str(t.content): i for i, t in self.model.get_added_tokens_decoder().items()}
-        if self.model.get_vocab_size() > 1 << 16:
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.bound, self.letters = tokenizer.model.tokenize, bound, byte_letters()
+        self.special = {str(t.content): i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids above 65,535 need wider emissions")
 
     def emitted(self, ids: list[int]):
-        return np.array(ids, np.uint16).tobytes()
+        return array("H", ids).tobytes()
 
-    def grow(self, found: list[str]) -> None:
-        """Learn the pieces among ``found`` that are new."""
-        new = list(set(found).difference(self))
-        if len(self) + len(new) > self.bound:
+    def learn(self, piece: str):
+        if len(self) >= self.bound:
             self.clear()
-            new = list(set(found))
-        for piece, encoding in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = self.emitted(encoding.ids)
+        found = self[piece] = self.emitted([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        return found
+
+    def look(self, found: list[str]) -> list:
+        """What each piece emits."""
+        out = list(map(self.get, found))
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = self.get(found[i]) or self.learn(found[i])
+        return out
 
 
 class Counts(Lexicon):
@@ -157,7 +171,6 @@ class Counts(Lexicon):
 @cache
 def lexicon_of(kind: type[Lexicon], path: str) -> Lexicon:
     """One lexicon per worker process, kept from task to task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
     return kind(path)
 
 
@@ -186,8 +199,7 @@ def count_tokens(texts: list[str], lexicon: Counts) -> list[int]:
     """Number of tokens of every text."""
     stretches, between = split_special(texts, lexicon.special)
     found, each = pieces(stretches)
-    lexicon.grow(found)
-    sums = np.append(0, np.cumsum(np.fromiter(map(lexicon.__getitem__, found), np.int64, len(found))))
+    sums = np.append(0, np.cumsum(np.array(lexicon.look(found), np.int64)))
     last = np.cumsum(each)
     per_stretch = sums[last] - sums[last - each]
     out, k = [], 0
@@ -201,8 +213,7 @@ def encode(texts: list[str], lexicon: Lexicon) -> list[bytes]:
     """Token ids of every text, as little-endian 16-bit bytes."""
     stretches, between = split_special(texts, lexicon.special)
     found, each = pieces(stretches)
-    lexicon.grow(found)
-    emitted, out, k, at = list(map(lexicon.__getitem__, found)), [], 0, 0
+    emitted, each, out, k, at = lexicon.look(found), each.tolist(), [], 0, 0
     for ids in between:
         parts = []
         for i in range(len(ids) + 1):
@@ -214,7 +225,7 @@ def encode(texts: list[str], lexicon: Lexicon) -> list[bytes]:
     return out
 
 
-def slices(texts: list[str | None], chars: int = 2_000_000):
+def slices(texts: list[str | None], chars: int = 500_000):
     """Runs of a batch's texts with a bounded number of characters (a longer text is a run of its own)."""
     first, held = 0, 0
     for i, text in enumerate(texts):
