@@ -6,10 +6,12 @@ sketch of bounded size), where relations between sets save most of the work:
 1. Equal sets are one class from the start.
 2. Every class is compared with one leader of the index lists it stands in, the one
    with which it shares most of its prefix.  Similar classes form a group around
-   their leader, at a known exact distance.
+   their leader, at a known exact distance.  More rounds, with other leaders, join
+   what is still apart; lists whose classes are all in one component are left behind.
 3. Index lists hold one block per group, with the range of its sizes and positions.
-   Blocks of one component, and blocks whose ranges exclude enough overlap, are
-   skipped.  For the remaining pairs of groups the leaders are compared exactly.
+   Blocks of one component, blocks whose ranges exclude enough overlap, and pairs of
+   groups that meet in too few lists for their sizes are skipped.  For the remaining
+   pairs of groups the leaders are compared exactly.
 4. A member's answers derive from its leader's: a pair of members is looked at only
    if the leaders' distance, less the members' distances to them, leaves room for
    similarity (Jaccard distance is a metric), and then compared exactly.
@@ -39,6 +41,10 @@ from shelfmark.llm.shingles import WordHashes, shingle_set
 
 #: Counters of the sketch, and pieces in which it is added up.
 COUNTERS, CHUNKS = 1 << 20, 16
+#: Bits of the filter that keeps most shingles of one set only out of the second pass, in words of 64.
+FILTER_WORDS = 1 << 18
+#: Rounds in which classes meet leaders, at most.
+ROUNDS = 3
 #: Rows of (id, hash) up to which the documents to compare are named by a broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Members compared with one copy of their leader's text.
@@ -111,6 +117,16 @@ def rarity(summary: DataFrame) -> np.ndarray:
     return np.where(counts <= 2 * usual + 8, 0, np.log2(np.maximum(counts, 1) / usual) + 1).astype(np.uint8)
 
 
+def filter_words(lists: DataFrame) -> np.ndarray:
+    """One bit for every value of a token's lowest bits that occurs: a table of fixed size that loses none."""
+    bit = F.pmod("token", F.lit(64 * FILTER_WORDS))
+    words = lists.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # FILTER_WORDS rows at most
+    found = np.zeros(FILTER_WORDS, np.int64)
+    found[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return found.view(np.uint64)
+
+
 def postings(docs: DataFrame, text_col: str, levels: np.ndarray, size: int, percent: int) -> DataFrame:
     """The prefix of every set: ``token``, ``fp``, ``n``, ``pos``."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
@@ -138,6 +154,19 @@ def postings(docs: DataFrame, text_col: str, levels: np.ndarray, size: int, perc
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token bigint, fp bigint, n int, pos int")
 
 
+def passing(prefixes: DataFrame, lists: DataFrame) -> DataFrame:
+    """The postings whose token may be in ``lists``: most others are gone before the join moves anything."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(filter_words(lists))
+
+    def run(parts):
+        bits = shared.value
+        for part in parts:
+            low = np.asarray(part.column(0)).view(np.uint64) % np.uint64(64 * FILTER_WORDS)
+            yield part.filter(pa.array((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0))
+
+    return prefixes.mapInArrow(run, prefixes.schema)
+
+
 def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Exact intersections: ``pairs`` (a, b: structs of fp and n) with ``inter`` added.
 
@@ -189,27 +218,42 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     summary = stored(summaries(docs, id_col, text_col, size), "sets")
     members = summary.where("chunk IS NULL").select("id", "body", node.alias("node"))
     classes = members.groupBy("node").agg(F.min(F.struct("id", "body")).alias("rep"))
-    prefixes = postings(docs, text_col, rarity(summary), size, percent)
-    lists = (prefixes.groupBy("token").agg(F.min(node).alias("first"), F.max(node).alias("last"))
-             .where(F.col("first") != F.col("last")).select("token", "first"))
-    index = stored(prefixes.join(stored(lists, "lists"), "token").select("token", node.alias("node"), "pos", "first").distinct(), "index")
+    prefixes = stored(postings(docs, text_col, rarity(summary), size, percent), "prefixes")
+    lists = stored(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "lists")
+    index = passing(prefixes, lists).join(lists, "token").groupBy("token", "fp", "n", "pos").agg(F.lit(1).alias("one")).select("token", node.alias("node"), "pos")
 
-    # One leader for each class: the first of its lists it shares most of its prefix with.
     fits = lambda x, y: (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
-    best = (index.where((F.col("node") != F.col("first")) & fits(F.col("node"), F.col("first")))
-            .groupBy("node", "first").agg(F.count(F.lit(1)).alias("k"))
-            .groupBy("node").agg(F.max(F.struct("k", "first")).alias("top"))
-            .select(F.col("node").alias("a"), F.col("top.first").alias("b")))
+    enough = lambda x, y: (F.ceil((x + y) * percent / (100 + percent) - 1e-9))
+    # Lists that two classes, the sizes of which lie between these bounds, share at least if they are similar.
+    meetings = lambda lo_x, hi_x, lo_y, hi_y: (F.greatest(F.lit(1), enough(lo_x, lo_y) - F.ceil(F.greatest(hi_x, hi_y) * percent / 100 - 1e-9) + 1))
     similar = lambda df: df.where(100 * F.col("inter") >= percent * union_size(F.col("a"), F.col("b")))
-    stars = stored(similar(compared(best, classes, docs, id_col, text_col, size)), "stars")
-    roots = components(stars.select("a", "b"))
+
+    # One leader for each class and round: the top of those of its lists it shares most of its prefix with.
+    stars = links = roots = None
+    for turn in range(ROUNDS):
+        at = index.select("token", "node", "pos")
+        at = at.withColumn("root", F.col("node")) if roots is None else at.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        at = stored(at, "index")
+        top = at.groupBy("token").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node.fp", F.lit(turn)).alias("h"), "node", "root")).alias("top"))
+        index = stored(at.join(top.where("lo != hi").select("token", "top"), "token"), "mixed-lists")
+        met = index.where("root != top.root").groupBy("node", F.col("top.node").alias("top")).agg(F.count(F.lit(1)).alias("k"))
+        likely = fits(F.col("node"), F.col("top")) & (F.col("k") >= meetings(F.col("node.n"), F.col("node.n"), F.col("top.n"), F.col("top.n")))
+        best = met.where(likely).groupBy("node").agg(F.max(F.struct("k", "top")).alias("best")).select(F.col("node").alias("a"), F.col("best.top").alias("b"))
+        found = stored(similar(compared(best, classes, docs, id_col, text_col, size)), "links")
+        stars = found if stars is None else stars
+        links = found if links is None else links.unionByName(found)
+        roots = components(links.select("a", "b"))
+        if found.isEmpty():
+            break
     leaders = stars.select(F.col("b").alias("node"), F.col("b").alias("leader"), F.lit(0.0).alias("far"))
     followers = stars.join(leaders.select(F.col("node").alias("a")).distinct(), "a", "left_anti").select(
         F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("inter") / union_size(F.col("a"), F.col("b"))).alias("far"))
-    group = stored(leaders.distinct().unionByName(followers).join(roots, "node"), "groups")
+    group = roots.join(leaders.distinct().unionByName(followers), "node", "left")
+    group = stored(group.select("node", "root", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far")), "groups")
 
     # Blocks of the index lists: one per list and group.
-    placed = stored(index.join(group, "node", "left").select(
+    placed = stored(index.select("token", "node", "pos").join(group, "node", "left").select(
         "token", "node", (F.col("node.n") - F.col("pos")).alias("rest"), F.coalesce("leader", "node").alias("leader"),
         F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far")), "placed")
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
@@ -220,27 +264,35 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     x, y = side(blocks, "x"), side(blocks, "y")
     met = x.join(y, "token").where(
         (F.col("leader_x") < F.col("leader_y")) & (F.col("root_x") != F.col("root_y"))
-        & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x"))
-        & (F.least("rest_x", "rest_y") * (100 + percent) >= percent * (F.col("least_x") + F.col("least_y"))))
+        & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x")))
     met = stored(met.groupBy(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")).agg(
-        F.max("far_x").alias("far_a"), F.max("far_y").alias("far_b")), "met")
+        F.max("far_x").alias("far_a"), F.max("far_y").alias("far_b"), F.count(F.lit(1)).alias("k"), F.max(F.least("rest_x", "rest_y")).alias("rest"), F.min("least_x").alias("lo_a"), F.max("most_x").alias("hi_a"),
+        F.min("least_y").alias("lo_b"), F.max("most_y").alias("hi_b"))
+        .where((F.col("k") >= meetings(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")))
+               & (F.col("rest") * (100 + percent) >= percent * (F.col("lo_a") + F.col("lo_b")))).select("a", "b", "far_a", "far_b"), "met")
     between = compared(met.select("a", "b"), classes, docs, id_col, text_col, size)
 
-    # Members of two groups whose leaders' distance leaves room.
+    # Members of two groups, still in different components, whose leaders' distance leaves room.
     limit = 1 - percent / 100
-    room = between.join(met, ["a", "b"]).withColumn("apart", 1 - F.col("inter") / union_size(F.col("a"), F.col("b"))).where(
+    links = links.unionByName(similar(between))
+    roots = components(links.select("a", "b"))
+    root_of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    apart = between.join(met, ["a", "b"]).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    room = apart.withColumn("apart", 1 - F.col("inter") / union_size(F.col("a"), F.col("b"))).where(
         (F.col("far_a") + F.col("far_b") > 0) & (F.col("apart") <= limit + F.col("far_a") + F.col("far_b") + 1e-9))
     room = stored(room.select(F.col("a").alias("leader_x"), F.col("b").alias("leader_y"), "apart"), "room")
     wide = placed.join(room.select(F.explode(F.array("leader_x", "leader_y")).alias("leader")).distinct(), "leader", "left_semi")
     p, q = side(wide, "x"), side(wide, "y")
     pairs = (p.join(room, "leader_x").join(q, ["token", "leader_y"])
              .where(fits(F.col("node_x"), F.col("node_y"))
-                    & (F.least("rest_x", "rest_y") * (100 + percent) >= percent * (F.col("node_x.n") + F.col("node_y.n")))
                     & (F.col("apart") <= limit + F.col("far_x") + F.col("far_y") + 1e-9)
                     & ((F.col("node_x") != F.col("leader_x")) | (F.col("node_y") != F.col("leader_y"))))
-             .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+             .groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.least("rest_x", "rest_y")).alias("rest"))
+             .where((F.col("k") >= meetings(F.col("a.n"), F.col("a.n"), F.col("b.n"), F.col("b.n")))
+                    & (F.col("rest") * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))).select("a", "b"))
     rest = compared(pairs, classes, docs, id_col, text_col, size)
-    return stars.unionByName(similar(between)).unionByName(similar(rest)), members
+    return links.unionByName(similar(rest)), members
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
