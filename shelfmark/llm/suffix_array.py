@@ -19,7 +19,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         packed = packed * base
         packed[: n - got] += first[got:] + 1
         got += 1
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     group = np.concatenate([[0], np.flatnonzero(packed[order][1:] != packed[order][:-1]) + 1]) if n else np.zeros(0, np.int64)
     rank = np.empty(n, np.int64)
     sizes = np.diff(np.append(group, n))
@@ -29,7 +29,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         at = order[open_slots]
         after = np.where(at + got < n, rank[np.minimum(at + got, n - 1)] + 1, 0)
         own = rank[at]
-        by = np.lexsort((after, own))
+        by = np.argsort(own * (n + 1) + after)
         at, own, after = at[by], own[by], after[by]
         order[open_slots] = at
         fresh = np.append(True, (own[1:] != own[:-1]) | (after[1:] != after[:-1]))

@@ -22,6 +22,8 @@ keep everything; equal rows are documents of their own and so repeat each other.
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +75,7 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(text: bytes, length: int, rolling: Rolling):
-    """(first start, number of starts, anchor hash, fragment hash) of every run of a text."""
+    """(first start, number of starts, anchor hash, fragment hash, anchor's place in the fragment) of every run of a text."""
     stretch, mask = (1 << STRETCH_BITS) - length, np.uint64((1 << STRETCH_BITS) - 1)
     for base in range(0, len(text) - length + 1, stretch):
         piece = text[base : base + stretch + length - 1]
@@ -82,8 +84,9 @@ def runs(text: bytes, length: int, rolling: Rolling):
         least = window_minima((grams & ~mask) | at, length - GRAM + 1) & mask
         first = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
         count = np.diff(np.append(first, len(least)))
-        for a, m, anchor in zip(first.tolist(), count.tolist(), grams[least[first].astype(np.int64)].view(np.int64).tolist(), strict=True):
-            yield base + a, m, anchor, xxhash.xxh3_64_intdigest(piece[a : a + m - 1 + length]) - (1 << 63)
+        least = least[first].astype(np.int64)
+        for a, m, anchor, p in zip(first.tolist(), count.tolist(), grams[least].view(np.int64).tolist(), (least - first).tolist(), strict=True):
+            yield base + a, m, anchor, xxhash.xxh3_64_intdigest(piece[a : a + m - 1 + length]) - (1 << 63), p
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -106,47 +109,72 @@ def all_runs(docs: DataFrame, length: int) -> DataFrame:
                 take, columns = pa.array(of), list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(take), part.column(1).take(take), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()),
-                    pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["id", "body", "a", "m", "anchor", "hash"])
+                    pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int32())], ["id", "body", "a", "m", "anchor", "hash", "p"])
 
-    return docs.mapInArrow(run, f"id {id_type}, body bigint, a int, m int, anchor bigint, hash bigint")
+    return docs.mapInArrow(run, f"id {id_type}, body bigint, a int, m int, anchor bigint, hash bigint, p int")
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted runs (``id``, ``body``, ``a``, ``m``, ``anchor``, ``hash``, ``shard``, ``shards``)."""
-    lists = wanted.groupBy(F.col("id").alias("w_id"), F.col("body").alias("w_body")).agg(F.collect_list(F.struct("a", "m", "anchor", "hash", "shard", "shards")).alias("runs"))
+    """The bytes of the wanted runs (``id``, ``body``, ``a``, ``m``, ``p``, ``anchor``, ``hash``, ``shard``, ``shards``)."""
+    lists = wanted.groupBy(F.col("id").alias("w_id"), F.col("body").alias("w_body")).agg(F.collect_list(F.struct("a", "m", "p", "anchor", "hash", "shard", "shards")).alias("runs"))
     joined = docs.join(lists, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("body") == F.col("w_body"))).select("text", "runs")
 
     def run(parts):
         for part in parts:
             for text, wanted_runs in zip(utf8(part.column(0)), part.column(1).to_pylist(), strict=True):
-                rows = [(r["anchor"], r["hash"], r["shard"], r["shards"], r["m"], text[r["a"] : r["a"] + r["m"] - 1 + length]) for r in wanted_runs]
+                rows = [(r["anchor"], r["hash"], r["shard"], r["shards"], r["m"], r["p"], text[r["a"] : r["a"] + r["m"] - 1 + length]) for r in wanted_runs]
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "hash", "shard", "shards", "m", "bytes"])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "hash", "shard", "shards", "m", "p", "bytes"])
 
-    return joined.mapInArrow(run, "anchor bigint, hash bigint, shard int, shards int, m int, bytes binary")
+    return joined.mapInArrow(run, "anchor bigint, hash bigint, shard int, shards int, m int, p int, bytes binary")
+
+
+def shared_parts(group: list[tuple]) -> list[tuple[int, int]]:
+    """For fragments of one anchor (place of the anchor, bytes): the stretch that some other fragment may share.
+
+    A repeated string holds the anchor, so it lies between the longest context to the
+    left that any other fragment has too and the longest one to the right; these are
+    found between neighbours in sorted order.
+    """
+    reach = []
+    for sides in ([data[p::-1] for p, data in group], [data[p:] for p, data in group]):
+        order = sorted(range(len(sides)), key=sides.__getitem__)
+        near = [0] * len(sides)
+        for i, j in zip(order, order[1:], strict=False):
+            same = len(commonprefix([sides[i], sides[j]]))
+            near[i], near[j] = max(near[i], same), max(near[j], same)
+        reach.append(near)
+    return [(p + 1 - left, p + right) for (p, _), left, right in zip(group, *reach, strict=True)]
 
 
 def repeated(shard: list[tuple], length: int) -> list[np.ndarray]:
-    """For every fragment of a shard (anchor, hash, shards, m, bytes): which of its starts repeat in the shard."""
-    parts, starts, at = [], [], 0
-    for *_, data in shard:
-        parts += [np.frombuffer(data, np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
-        starts.append(at)
-        at += len(data) + 1
-    codes = np.concatenate(parts)
-    order = suffix_array(codes)
-    shared = common_prefixes(codes, order, length)
-    flag = np.zeros(len(codes), bool)
-    flag[order] = (shared >= length) | (np.append(shared[1:], 0) >= length)
-    return [flag[s : s + row[3]] for s, row in zip(starts, shard, strict=True)]
+    """For every fragment of a shard (anchor, hash, shards, m, p, bytes): which of its starts repeat in the shard."""
+    flags, parts, starts, at = [np.zeros(row[3], bool) for row in shard], [], [], 0
+    for _, rows in groupby(range(len(shard)), key=lambda i: shard[i][0]):
+        rows = list(rows)
+        for i, (low, high) in zip(rows, shared_parts([shard[i][4:] for i in rows]), strict=True):
+            if high - low >= length:
+                parts += [np.frombuffer(shard[i][5][low:high], np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
+                starts.append((i, low, high, at))
+                at += high - low + 1
+    if starts:
+        codes = np.concatenate(parts)
+        order = suffix_array(codes)
+        shared = common_prefixes(codes, order, length)
+        flag = np.zeros(len(codes), bool)
+        flag[order] = (shared >= length) | (np.append(shared[1:], 0) >= length)
+        for i, low, high, at in starts:
+            stop = min(high - length + 1, len(flags[i]))
+            flags[i][low:stop] = flag[at : at + stop - low]
+    return flags
 
 
 def sorted_shards(dealt: DataFrame, length: int) -> DataFrame:
     """Starts that repeat (``digest`` null), and of split anchors every other start and one of each that repeats, with its digest."""
 
     def intervals(shard, rolling):
-        for (anchor, code, shards, m, data), flag in zip(shard, repeated(shard, length), strict=True):
+        for (anchor, code, shards, m, _, data), flag in zip(shard, repeated(shard, length), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]])))
             for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 yield anchor, code, s, e, None, None
@@ -166,14 +194,14 @@ def sorted_shards(dealt: DataFrame, length: int) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["anchor", "hash", "s", "e", "digest", "source"])
 
         for part in parts:
-            for anchor, code, number, shards, m, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for anchor, code, number, shards, m, p, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 here = (anchor, number)
                 if shard and here != last and held > SHARD_BYTES:
                     yield from flush()
                     shard, held = [], 0
                 if last == here and shard and shard[-1][1] == code:
                     continue
-                shard.append((anchor, code, shards, m, data))
+                shard.append((anchor, code, shards, m, p, data))
                 held, last = held + len(data), here
         if shard:
             yield from flush()
@@ -226,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stored(all_runs(frame, length), "runs")
     anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("n > 1")
     open_runs = stored(found.join(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "anchor"), "open-runs")
-    kinds = open_runs.groupBy("anchor", "hash", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "body", "a", "m")).alias("one"))
+    kinds = open_runs.groupBy("anchor", "hash", "differ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "body", "a", "m", "p")).alias("one"))
     kinds = stored(kinds, "kinds")
     many = kinds.where("differ").groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / SHARD_FRAGMENTS).cast("int").alias("shards"))
     wanted = kinds.where("differ").join(many, "anchor").select(
