@@ -38,8 +38,9 @@ from shelfmark.llm.suffix_array import common_prefixes, suffix_array
 GRAM = 32
 #: Bytes of a text looked at together; positions inside it take the low bits of a hash.
 STRETCH_BITS = 18
-#: Different fragments of an anchor that one shard takes, and bytes that are sorted together.
-SHARD_FRAGMENTS, SHARD_BYTES = 2000, 2 << 20
+#: Different fragments of an anchor that one shard takes (about 5 MB, which take 300 MB while they
+#: are sorted), and bytes after which a shard of several anchors is full.
+SHARD_FRAGMENTS, SHARD_BYTES = 8000, 2 << 20
 #: Parts of the digests of one anchor when its shards are merged.
 MERGE_PARTS = 64
 
@@ -148,9 +149,11 @@ def shared_parts(group: list[tuple]) -> list[tuple[int, int]]:
     return [(p + 1 - left, p + right) for (p, _), left, right in zip(group, *reach, strict=True)]
 
 
-def repeated(shard: list[tuple], length: int) -> list[np.ndarray]:
-    """For every fragment of a shard (anchor, hash, shards, m, p, bytes): which of its starts repeat in the shard."""
+def repeated(shard: list[tuple], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For every fragment of a shard (anchor, hash, shards, m, p, bytes): which of its starts repeat in the shard,
+    and which stand for their string when shards are merged: those that do not repeat, and one of each string that does."""
     flags, parts, starts, at = [np.zeros(row[3], bool) for row in shard], [], [], 0
+    stand = [np.ones(row[3], bool) for row in shard]
     for _, rows in groupby(range(len(shard)), key=lambda i: shard[i][0]):
         rows = list(rows)
         for i, (low, high) in zip(rows, shared_parts([shard[i][4:] for i in rows]), strict=True):
@@ -162,25 +165,27 @@ def repeated(shard: list[tuple], length: int) -> list[np.ndarray]:
         codes = np.concatenate(parts)
         order = suffix_array(codes)
         shared = common_prefixes(codes, order, length)
-        flag = np.zeros(len(codes), bool)
+        flag, again = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+        again[order] = shared >= length
         flag[order] = (shared >= length) | (np.append(shared[1:], 0) >= length)
         for i, low, high, at in starts:
             stop = min(high - length + 1, len(flags[i]))
             flags[i][low:stop] = flag[at : at + stop - low]
-    return flags
+            stand[i][low:stop] = ~again[at : at + stop - low]
+    return flags, stand
 
 
 def sorted_shards(dealt: DataFrame, length: int) -> DataFrame:
     """Starts that repeat (``digest`` null), and of split anchors every other start and one of each that repeats, with its digest."""
 
     def intervals(shard, rolling):
-        for (anchor, code, shards, m, _, data), flag in zip(shard, repeated(shard, length), strict=True):
+        for (anchor, code, shards, _, _, data), flag, stand in zip(shard, *repeated(shard, length), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]])))
             for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 yield anchor, code, s, e, None, None
             if shards > 1:
                 digests = rolling(np.frombuffer(data, np.uint8), length).view(np.int64)
-                for s in range(m):
+                for s in np.flatnonzero(stand).tolist():
                     yield anchor, code, s, s + 1, int(digests[s]), code
 
     def run(parts):
