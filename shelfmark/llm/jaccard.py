@@ -16,9 +16,12 @@ sketch of bounded size), where relations between sets save most of the work:
    if the leaders' distance, less the members' distances to them, leaves room for
    similarity (Jaccard distance is a metric), and then compared exactly.
 
-No link between different sets that could join two components is lost; links
-inside a component already found are not enumerated.  Classes are identified by
-(64-bit hash of the set, size).
+No link between different sets that could join two components is lost;
+``links_and_classes``, which serves the components, does not enumerate links inside a
+component already found.  ``all_links`` gives every link: groups that leave room (a
+group always does for itself) are dealt in blocks, salted by their leader, and all
+pairs of two blocks are compared exactly.  Classes are identified by (64-bit hash of
+the set, size).
 
 Defined cases: texts that are null or have no words have an empty set and no
 links; rows with a null id take part, but their id names no component unless
@@ -49,6 +52,8 @@ ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 #: Members compared with one copy of their leader's text.
 MEMBERS_PER_COPY = 512
+#: Sets and shingles of a block (about) when all pairs of two blocks are compared, and columns of the product.
+BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 8192
 
 
 def batches(texts: pa.Array):
@@ -167,6 +172,15 @@ def passing(prefixes: DataFrame, lists: DataFrame) -> DataFrame:
     return prefixes.mapInArrow(run, prefixes.schema)
 
 
+def texts_of(named: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node`` and ``text`` of one document for each class named."""
+    where = stored(classes.join(named, "node").select("node", F.col("rep.id").alias("r_id"), F.col("rep.body").alias("r_body")), "named")
+    small = where.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).join(
+        F.broadcast(where) if small else where, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("body") == F.col("r_body")))
+    return stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
 def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Exact intersections: ``pairs`` (a, b: structs of fp and n) with ``inter`` added.
 
@@ -174,12 +188,7 @@ def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     a ``b`` with many members is copied to several tasks.
     """
     known = stored(pairs.distinct(), "pairs")
-    named = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    where = stored(classes.join(named, "node").select("node", F.col("rep.id").alias("r_id"), F.col("rep.body").alias("r_body")), "named")
-    small = where.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).join(
-        F.broadcast(where) if small else where, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("body") == F.col("r_body")))
-    texts = stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = texts_of(known.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, id_col, text_col)
     copies = known.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_COPY).cast("int").alias("copies"))
     members = known.join(copies, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int").alias("copy"))
     members = members.join(texts, F.col("a") == F.col("node")).select("b", "copy", F.lit(1).alias("side"), "a", "text")
@@ -212,8 +221,18 @@ def union_size(a: Column, b: Column) -> Column:
     return a["n"] + b["n"] - F.col("inter")
 
 
-def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Links (``a``, ``b``, ``inter``) that connect every component, and the class ``node`` of each document."""
+def rules(percent: int):
+    """Whether two sizes fit, the lists that similar classes share at least, and the similar pairs."""
+    fits = lambda x, y: (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+    enough = lambda x, y: (F.ceil((x + y) * percent / (100 + percent) - 1e-9))
+    # Lists that two classes, the sizes of which lie between these bounds, share at least if they are similar.
+    meetings = lambda lo_x, hi_x, lo_y, hi_y: (F.greatest(F.lit(1), enough(lo_x, lo_y) - F.ceil(F.greatest(hi_x, hi_y) * percent / 100 - 1e-9) + 1))
+    similar = lambda df: df.where(100 * F.col("inter") >= percent * union_size(F.col("a"), F.col("b")))
+    return fits, meetings, similar
+
+
+def indexed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The class of each document, one document of each class, and the index lists of several classes."""
     node = F.struct("fp", "n")
     summary = stored(summaries(docs, id_col, text_col, size), "sets")
     members = summary.where("chunk IS NULL").select("id", "body", node.alias("node"))
@@ -221,12 +240,14 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prefixes = stored(postings(docs, text_col, rarity(summary), size, percent), "prefixes")
     lists = stored(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "lists")
     index = passing(prefixes, lists).join(lists, "token").groupBy("token", "fp", "n", "pos").agg(F.lit(1).alias("one")).select("token", node.alias("node"), "pos")
+    return members, classes, index
 
-    fits = lambda x, y: (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
-    enough = lambda x, y: (F.ceil((x + y) * percent / (100 + percent) - 1e-9))
-    # Lists that two classes, the sizes of which lie between these bounds, share at least if they are similar.
-    meetings = lambda lo_x, hi_x, lo_y, hi_y: (F.greatest(F.lit(1), enough(lo_x, lo_y) - F.ceil(F.greatest(hi_x, hi_y) * percent / 100 - 1e-9) + 1))
-    similar = lambda df: df.where(100 * F.col("inter") >= percent * union_size(F.col("a"), F.col("b")))
+
+def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Links (``a``, ``b``, ``inter``) that connect every component, and the class ``node`` of each document."""
+    members, classes, index = indexed(docs, id_col, text_col, size, percent)
+
+    fits, meetings, similar = rules(percent)
 
     # One leader for each class and round: the top of those of its lists it shares most of its prefix with.
     stars = links = roots = None
@@ -295,6 +316,150 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return links.unionByName(similar(rest)), members
 
 
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``xs`` with every set of ``ys``."""
+    every = [np.concatenate(s) for s in (xs, ys)]
+    row = [np.repeat(np.arange(len(s)), [len(t) for t in s]) for s in (xs, ys)]
+    shared = np.intersect1d(*every)
+    found = np.zeros((len(xs), len(ys)), np.int64)
+    if not len(shared):
+        return found
+    at = []
+    for tokens, rows in zip(every, row, strict=True):
+        place = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+        held = shared[place] == tokens
+        order = np.argsort(place[held], kind="stable")
+        at.append((place[held][order], rows[held][order]))
+    for low in range(0, len(shared), COLUMNS):
+        sides = []
+        for (place, rows), n in zip(at, (len(xs), len(ys)), strict=True):
+            a, b = np.searchsorted(place, (low, low + COLUMNS))
+            side = np.zeros((n, COLUMNS), np.float32)
+            side[rows[a:b], place[a:b] - low] = 1
+            sides.append(side)
+        found += (sides[0] @ sides[1].T).astype(np.int64)
+    return found
+
+
+def between_blocks(hubs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links between the sets of a hub's two sides: ``hubs`` has ``hub``, ``side``, ``node``, ``own`` (of the hub's group).
+
+    Each side is cut into blocks; a pair of blocks is a task's work, so a group of any
+    size is dealt over many tasks.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("node.n") / BLOCK_SHINGLES)).cast("int")
+    counts = hubs.groupBy("hub").pivot("side", [0, 1]).agg(blocks).withColumnsRenamed({"0": "blocks_0", "1": "blocks_1"})
+    mine = F.when(F.col("side") == 0, F.col("blocks_0")).otherwise(F.col("blocks_1"))
+    other = F.when(F.col("side") == 0, F.col("blocks_1")).otherwise(F.col("blocks_0"))
+    dealt = hubs.join(counts, "hub").join(texts, "node").select(
+        "hub", "side", "node", "own", "text", F.pmod(F.xxhash64("node", F.lit(1)), mine).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), other - 1)).alias("against"))
+    left, right = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("against")), F.when(F.col("side") == 0, F.col("against")).otherwise(F.col("block"))
+    dealt = dealt.select("hub.fp", "hub.n", left.alias("i"), right.alias("j"), "side", F.col("node.fp").alias("a_fp"), F.col("node.n").alias("a_n"), "own", "text")
+    dealt = dealt.repartition(partitions(hubs.sparkSession), "fp", "n", "i", "j").sortWithinPartitions("fp", "n", "i", "j", "side")
+
+    def linked(sides):
+        if not sides[0] or not sides[1]:
+            return
+        inter = overlaps([t for *_, t in sides[0]], [t for *_, t in sides[1]])
+        fp, n = ([np.array([r[c] for r in s], np.int64) for s in sides] for c in (0, 1))
+        union = n[0][:, None] + n[1][None, :] - inter
+        first = (fp[0][:, None] < fp[1][None, :]) | ((fp[0][:, None] == fp[1][None, :]) & (n[0][:, None] < n[1][None, :]))
+        own = np.array([r[2] for r in sides[1]], bool)
+        x, y = np.nonzero((100 * inter >= percent * union) & (first | ~own[None, :]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(fp[0][x]), pa.array(n[0][x], pa.int32()), pa.array(fp[1][y]), pa.array(n[1][y], pa.int32()), pa.array(inter[x, y], pa.int32())],
+            ["a_fp", "a_n", "b_fp", "b_n", "inter"])
+
+    def run(parts):
+        words, key, sides = WordHashes(), None, ([], [])
+        for part in parts:
+            columns = [part.column(i) for i in range(9)]
+            for fp, n, i, j, side, a_fp, a_n, own, text in zip(*(x.to_pylist() for x in columns), strict=True):
+                if (fp, n, i, j) != key:
+                    yield from linked(sides)
+                    key, sides = (fp, n, i, j), ([], [])
+                sides[side].append((a_fp, a_n, own, shingle_set(text, words, size)))
+        yield from linked(sides)
+
+    found = dealt.mapInArrow(run, "a_fp bigint, a_n int, b_fp bigint, b_n int, inter int")
+    x, y = F.struct(F.col("a_fp").alias("fp"), F.col("a_n").alias("n")), F.struct(F.col("b_fp").alias("fp"), F.col("b_n").alias("n"))
+    return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "inter")
+
+
+def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets (classes ``a`` < ``b``, ``inter``), and per document ``id``, ``body``, ``node`` and ``n_links``.
+
+    ``n_links`` counts the other rows with an equal or a similar set; rows without words have none.
+    """
+    members, classes, index = indexed(docs, id_col, text_col, size, percent)
+    index = stored(index, "index")
+    fits, meetings, similar = rules(percent)
+
+    # Groups around leaders: in each round, what has no group yet meets leaders of its own lists.
+    free, group = index, None
+    for turn in range(ROUNDS):
+        top = free.groupBy("token").agg(F.min(F.struct(F.xxhash64("node.fp", F.lit(turn)).alias("h"), "node")).alias("top"))
+        met = free.join(top, "token").where("node != top.node").groupBy("node", F.col("top.node").alias("top")).agg(F.count(F.lit(1)).alias("k"))
+        likely = fits(F.col("node"), F.col("top")) & (F.col("k") >= meetings(F.col("node.n"), F.col("node.n"), F.col("top.n"), F.col("top.n")))
+        best = met.where(likely).groupBy("node").agg(F.max(F.struct("k", "top")).alias("best")).select(F.col("node").alias("a"), F.col("best.top").alias("b"))
+        stars = stored(similar(compared(best, classes, docs, id_col, text_col, size)), "stars")
+        if stars.isEmpty():
+            break
+        leaders = stars.select(F.col("b").alias("node")).distinct()
+        followers = stars.join(leaders.select(F.col("node").alias("a")), "a", "left_anti").select(
+            F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("inter") / union_size(F.col("a"), F.col("b"))).alias("far"))
+        grouped = stored(leaders.select("node", F.col("node").alias("leader"), F.lit(0.0).alias("far")).unionByName(followers), "grouped")
+        group = grouped if group is None else group.unionByName(grouped)
+        free = stored(free.join(grouped.select("node"), "node", "left_anti").select("token", "node", "pos"), "free")
+    every = index.select("node").distinct()
+    if group is None:
+        group = every.select("node", F.col("node").alias("leader"), F.lit(0.0).alias("far"))
+    else:
+        group = every.join(group, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    group = stored(group, "groups")
+    sizes = stored(group.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far")), "group-sizes")
+
+    # Pairs of groups that meet in enough lists, and the exact distance of their leaders.
+    blocks = stored(index.join(group, "node").groupBy("token", "leader").agg(
+        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max(F.col("node.n") - F.col("pos")).alias("rest")), "blocks")
+    side = lambda s: blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"))
+    met = side("x").join(side("y"), "token").where(
+        (F.col("leader_x") < F.col("leader_y")) & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x")))
+    met = met.groupBy(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")).agg(
+        F.count(F.lit(1)).alias("k"), F.max(F.least("rest_x", "rest_y")).alias("rest"), F.min("least_x").alias("lo_a"), F.max("most_x").alias("hi_a"),
+        F.min("least_y").alias("lo_b"), F.max("most_y").alias("hi_b")).where(
+        (F.col("k") >= meetings(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")))
+        & (F.col("rest") * (100 + percent) >= percent * (F.col("lo_a") + F.col("lo_b"))))
+    between = compared(met.select("a", "b"), classes, docs, id_col, text_col, size)
+    size_of = lambda s: sizes.select(F.col("leader").alias(s), F.col("m").alias(f"m_{s}"), F.col("far").alias(f"far_{s}"))
+    between = stored(between.join(size_of("a"), "a").join(size_of("b"), "b"), "between")
+    lone = (F.col("m_a") == 1) & (F.col("m_b") == 1)
+    links = similar(between.where(lone)).select("a", "b", "inter")
+
+    # The larger group of a pair is the hub; its members meet those of all its partners, and each other.
+    limit = 1 - percent / 100
+    apart = 1 - F.col("inter") / union_size(F.col("a"), F.col("b"))
+    swap = F.col("m_a") < F.col("m_b")
+    pick = lambda name, turned: F.when(swap != F.lit(turned), F.col(f"{name}b")).otherwise(F.col(f"{name}a"))
+    near = between.where(~lone & (apart <= limit + F.col("far_a") + F.col("far_b") + 1e-9)).select(
+        pick("", False).alias("hub"), pick("", True).alias("leader"), (apart - pick("far_", False)).alias("apart"))
+    alone = sizes.where("m > 1").select(F.col("leader").alias("hub"), "leader", F.lit(0.0).alias("apart"))
+    near = stored(near.unionByName(alone), "near")
+    guests = near.join(group, "leader").where(F.col("apart") <= limit + F.col("far") + 1e-9).select(
+        "hub", F.lit(1).alias("side"), "node", (F.col("hub") == F.col("leader")).alias("own"))
+    hosts = near.select("hub").distinct().join(group, F.col("hub") == F.col("leader")).select("hub", F.lit(0).alias("side"), "node", F.lit(True).alias("own"))
+    hubs = stored(hosts.unionByName(guests), "hubs")
+    texts = texts_of(hubs.select("node").distinct(), classes, docs, id_col, text_col)
+    links = stored(links.unionByName(between_blocks(hubs, texts, size, percent)), "all-links")
+
+    copies = members.where("node.n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    others = ends.join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
+    per_class = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return links, members.join(per_class, "node", "left").select("id", "body", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``body``, ``n_shingles`` and ``component`` (smallest id reachable)."""
     links, members = links_and_classes(docs, id_col, text_col, size, percent)
