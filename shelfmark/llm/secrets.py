@@ -27,6 +27,12 @@ from shelfmark.llm.spans import regex_spans
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "slack", "jwt", "private_key")
+#: What follows a key's first line: all up to its END line, or else the header lines and base64 that are there.
+GAP = r"(?:[\x20\x09-\x0D]|\\[nr])"
+KEY_BODY = (
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END \1-----"
+    rf"|(?:{GAP}++(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\r\n\\]*+|[A-Za-z0-9+/=]{{16,}}+))++"
+    r"(?:[\x20\x09]*+(?:\r?\n|\\n)[A-Za-z0-9+/=]++(?![\x20\x09]*+[^\x20\x09\r\n\\]))?+)?+")
 #: Java patterns of the rules; possessive repeats and the look-behind change no match.
 PATTERNS = {
     "assign": r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -35,7 +41,7 @@ PATTERNS = {
     "github": r"gh[pousr]_[A-Za-z0-9]{36,}+",
     "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}+",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+",
-    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?)-----" + KEY_BODY,
 }
 #: Alternatives that a query may have; beyond, the rule scans fully.
 ALTERNATIVES = 64
