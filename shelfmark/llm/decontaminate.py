@@ -8,7 +8,9 @@ In a document, windows as long as an item (in words) get a 64-bit SimHash of the
 word shingles, repeated shingles counting as often.  Five Hamming blocks index the
 items' fingerprints: within a distance of 17, one block differs in three bits at
 most, and all such values are listed, so no fingerprint within the radius is missed.
-Candidates are verified by the exact weighted Jaccard similarity of the shingles.
+A fingerprint may lie outside the radius although the shingles are similar; windows
+beyond it that hold enough of an item's shingles to be similar are candidates too,
+so the result is exact.  Candidates are verified by the exact weighted Jaccard similarity of the shingles.
 
 A window can only verify if it holds a shingle of the item, so fingerprints are
 made for windows around such shingles only; that loses nothing.
@@ -128,8 +130,35 @@ class Items:
                     low, high = similarity(sequence[start : start + w], self.sequences[item])
                     if 100 * low >= percent * high and (item not in best or low * best[item][3] > best[item][2] * high):
                         best[item] = (start, min(self.words[item], len(words)), low, high)
+        self.beyond(sequence, near, lo, hi, len(words), percent, best)
         return [(item, *best[item]) for item in sorted(best)]
 
+    def beyond(self, sequence: np.ndarray, near: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_words: int, percent: int, best: dict[int, tuple]) -> None:
+        """Add to ``best`` what the radius misses: windows that hold as many of an item's shingles as similarity takes."""
+        total = hi - lo
+        owned = np.repeat(lo - np.cumsum(total) + total, total) + np.arange(total.sum())
+        pairs = np.unique(self.owner[owned] * len(sequence) + np.repeat(near, total))
+        item_of, place = np.divmod(pairs, len(sequence))
+        items, first, counts = np.unique(item_of, return_index=True, return_counts=True)
+        for item, at, count in zip(items.tolist(), first.tolist(), counts.tolist(), strict=True):
+            w = min(int(self.width[item]), len(sequence))
+            need = -(-percent * (int(self.width[item]) + w) // (100 + percent))
+            if count < need:
+                continue
+            p = place[at : at + count]
+            # Of the windows that are full enough, each starts at most a window before a place.
+            starts = np.unique(np.clip(p[:, None] - np.arange(w), 0, len(sequence) - w))
+            starts = starts[np.searchsorted(p, starts + w) - np.searchsorted(p, starts) >= need]
+            if not len(starts):
+                continue
+            for start in starts[np.bitwise_count(simhashes(sequence, starts, w) ^ self.prints[item]) > RADIUS].tolist():
+                low, high = similarity(sequence[start : start + w], self.sequences[item])
+                if 100 * low < percent * high:
+                    continue
+                old = best.get(item)
+                if old is None or low * old[3] > old[2] * high or (low * old[3] == old[2] * high and start < old[0]):
+                    best[item] = (start, min(self.words[item], n_words), low, high)
+
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
     """The benchmark in blocks that hold a bounded number of items and characters each."""
