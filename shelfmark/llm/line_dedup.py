@@ -86,3 +86,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
     """All documents without the dropped lines, in the columns of the input; none is removed."""
     return with_text(docs, text_col, dedup_lines(docs, id_col, text_col, depth, min_docs), F.col("clean_text"))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
+    """As ``drop_lines``, but a document that loses all its words is dropped; those blank on input stay."""
+    found = dedup_lines(docs, id_col, text_col, depth, min_docs)
+    left = found.where((F.col("n_removed") == 0) | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"))
+    return with_text(docs, text_col, left, F.col("clean_text"))
