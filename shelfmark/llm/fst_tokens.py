@@ -19,13 +19,13 @@ short or very long, cost the same per character.
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +33,21 @@ from pyspark.sql import functions as F
 CLOSED, LETTER, NUMBER, MARK, WHITE, LEAD, ONE, TWO = range(8)
 #: Symbols: the first three as the states; white space inside a run; its last, a space or another; apostrophes before 's' or 're'; end of text.
 S_LETTER, S_NUMBER, S_MARK, S_INNER, S_SPACE, S_LAST, S_APOS1, S_APOS2, S_RESET = range(9)
-#: White space of the pattern (fixed by Unicode).
-WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CHUNK = 4096
 
 
 @cache
 def classes() -> np.ndarray:
-    """Letter, number, mark or white space of every code point."""
-    kind = {"L": S_LETTER, "N": S_NUMBER}
-    table = np.fromiter((kind.get(unicodedata.category(chr(c))[0], S_MARK) for c in range(0x110000)), np.uint8, 0x110000)
-    table[WHITE_SPACE] = S_INNER
+    """Letter, number, mark or white space of every code point, as the splitter's own pattern engine knows them.
+
+    An encoding whose tokens are single bytes returns exactly the bytes that its pattern
+    matches, so one call per class lists the class; Python's tables are of another Unicode version.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    table = np.full(0x110000, S_MARK, np.uint8)
+    for pattern, symbol in ((r"\p{L}", S_LETTER), (r"\p{N}", S_NUMBER), (r"\s", S_INNER)):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(probe.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = symbol
     return table
 
 

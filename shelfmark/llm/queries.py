@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import pii, secrets, sql
+from shelfmark.llm.bpe_tree import decode_documents, encode_documents
 from shelfmark.llm.chat import chat_windows, read_back
 from shelfmark.llm.common import table
 from shelfmark.llm.decontaminate import contaminated
@@ -19,6 +20,7 @@ from shelfmark.llm.spans import digest, joined
 from shelfmark.llm.suffix_dedup import remove_repeats
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +93,17 @@ def op10_fst_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
 
 
+def op11_bpe_monoid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    return decode_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks).select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_hilbert_packing, op3_simhash_decontamination, op4_quality_rules, op5_chat_windows,
-    op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_pii, op9_secret_scan, op10_fst_token_counts)}
+    op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_pii, op9_secret_scan, op10_fst_token_counts,
+    op11_bpe_monoid_tree)}
 #: Positions of matches, token ids, fingerprinted bytes and greedy windows are left to the tests' plain Python.
 SQL = {
     "op1_line_dedup": sql.OP1, "op3_simhash_decontamination": sql.OP3, "op4_quality_rules": sql.OP4, "op6_ngram_jaccard_join": sql.OP6,
