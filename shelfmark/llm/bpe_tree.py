@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import cache
 
 import numpy as np
@@ -36,10 +37,12 @@ from shelfmark.llm.fst_tokens import pieces, slices
 
 #: Byte strings up to this length are encoded directly; longer ones are halved.
 LEAF = 24
-#: Ids joined at once at the leaves of a decoding tree.
-DECODE_LEAF = 4096
-#: Bytes of pieces that a worker remembers, and the longest piece that it does.
-REMEMBERED_BYTES, LONGEST_REMEMBERED = 64 << 20, 1024
+#: The rank of a pair that is no token.
+NONE = 1 << 40
+#: Ids looked up at once at the leaves of a decoding tree.
+DECODE_LEAF = 1 << 16
+#: Bytes of memory for the pieces that a worker remembers, what one takes besides its own bytes, and the longest piece that it does.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_REMEMBERED = 128 << 20, 200, 1024
 
 
 class Ranks:
@@ -59,21 +62,16 @@ class Ranks:
         """Encode directly: the adjacent pair of lowest rank first, the leftmost of equals."""
         if len(data) > 4 * LEAF:
             return self.merge_long(data)
-        rank, parts = self.rank, [data[i : i + 1] for i in range(len(data))]
-        ranks = [rank.get(data[i : i + 2]) for i in range(len(data) - 1)]
-        while True:
-            best, at = None, -1
-            for i, r in enumerate(ranks):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return [rank[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
+        get, cuts = self.rank.get, list(range(len(data) + 1))
+        ranks = [get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while ranks and (best := min(ranks)) != NONE:
+            at = ranks.index(best)
+            del cuts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank.get(parts[at - 1] + parts[at])
+                ranks[at - 1] = get(data[cuts[at - 1] : cuts[at + 1]], NONE)
             if at < len(ranks):
-                ranks[at] = rank.get(parts[at] + parts[at + 1])
+                ranks[at] = get(data[cuts[at] : cuts[at + 2]], NONE)
+        return [self.rank[data[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def merge_long(self, data: bytes) -> list[int]:
         """The same for a wide window, with a heap of candidate pairs over linked parts."""
@@ -136,23 +134,23 @@ class Ranks:
 
     def piece(self, text: str) -> bytes:
         """Ids of one match of the splitting pattern as 32-bit bytes; a piece that is a token is that token."""
-        found = self.known.get(text)
-        if found is None:
-            data = text.encode()
-            whole = self.rank.get(data)
-            found = np.array(self.reduce(data, {}) if whole is None else [whole], np.int32).tobytes()
-            if len(data) <= LONGEST_REMEMBERED:
-                if self.held > REMEMBERED_BYTES:
-                    self.known.clear()
-                    self.held = 0
-                self.known[text] = found
-                self.held += len(data) + len(found)
+        data = text.encode()
+        whole = self.rank.get(data)
+        found = array("i", self.reduce(data, {}) if whole is None else (whole,)).tobytes()
+        if len(data) <= LONGEST_REMEMBERED:
+            if self.held > REMEMBERED_BYTES:
+                self.known.clear()
+                self.held = 0
+            self.known[text] = found
+            self.held += len(data) + len(found) + ENTRY_BYTES
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
         found, each = pieces(texts)
-        emitted = list(map(self.piece, found))
+        emitted = list(map(self.known.get, found))
+        if None in emitted:
+            emitted = [self.known.get(p) or self.piece(p) if e is None else e for p, e in zip(found, emitted, strict=True)]
         ends = np.append(0, np.cumsum(np.fromiter(map(len, emitted), np.int64, len(emitted)) // 4))
         last = np.cumsum(each)
         return np.frombuffer(b"".join(emitted), np.int32), ends[last] - ends[last - each]
@@ -193,7 +191,9 @@ def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
     def run(parts):
         table = ranks_of(ranks)
         for part in parts:
-            decoded = [table.decode(x or []) for x in part.column(1).to_pylist()]
+            lists = part.column(1)
+            ids, offsets = lists.values.to_numpy(), lists.offsets.to_pylist()
+            decoded = [table.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
     return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")
