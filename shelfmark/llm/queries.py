@@ -15,6 +15,7 @@ from shelfmark.llm.fst_tokens import token_counts
 from shelfmark.llm.jaccard import jaccard_components
 from shelfmark.llm.line_dedup import dedup_lines
 from shelfmark.llm.packing import pack
+from shelfmark.llm.prefix_trie import prefix_trie
 from shelfmark.llm.quality import quality_rules
 from shelfmark.llm.spans import digest, joined
 from shelfmark.llm.suffix_dedup import remove_repeats
@@ -100,11 +101,17 @@ def op11_bpe_monoid_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_hilbert_packing, op3_simhash_decontamination, op4_quality_rules, op5_chat_windows,
     op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_pii, op9_secret_scan, op10_fst_token_counts,
-    op11_bpe_monoid_tree)}
+    op11_bpe_monoid_tree, op12_conversation_prefix_trie)}
 #: Positions of matches, token ids, fingerprinted bytes and greedy windows are left to the tests' plain Python.
 SQL = {
     "op1_line_dedup": sql.OP1, "op3_simhash_decontamination": sql.OP3, "op4_quality_rules": sql.OP4, "op6_ngram_jaccard_join": sql.OP6,
+    "op12_conversation_prefix_trie": sql.OP12,
 }

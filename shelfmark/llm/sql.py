@@ -94,3 +94,38 @@ links AS (
   GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
 reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, b FROM reached JOIN links ON a = other)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(other) AS component_id FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n"""
+
+#: CRC-32 byte by byte; a prefix is the row of the digests of its turns.
+OP12 = r"""
+WITH turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+keyed AS (
+  SELECT c, turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words, sha256(length(role)::VARCHAR || ':' || role || text) AS k FROM turns),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM keyed),
+convs AS (
+  SELECT c, max(p) AS own, c - c % 20 AS b, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(length(c::VARCHAR)), lambda i: ascii((c::VARCHAR)[i + 1])::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda v, nth: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 4 AS h
+  FROM placed GROUP BY c),
+plans AS (SELECT x.c, x.b, x.h, x.own, least(x.h, coalesce(y.own, 0)) AS m FROM convs x LEFT JOIN convs y ON y.c = x.b),
+rebuilt AS (
+  SELECT q.c, t.p AS d, t.k, t.n_words FROM plans q JOIN placed t ON t.c = q.b AND t.p <= q.h
+  UNION ALL SELECT q.c, t.p - q.h + q.m, t.k, t.n_words FROM plans q JOIN placed t ON t.c = q.c AND t.p > q.h
+  UNION ALL SELECT c, 0, '', 0 FROM plans),
+prefixes AS (
+  SELECT c, d, n_words, sha256(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS f, d = max(d) OVER (PARTITION BY c) AS whole FROM rebuilt),
+nodes AS (
+  SELECT d, f, min(c) AS c, count(*) AS n, max(n_words) AS n_words, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE whole), '') AS ends FROM prefixes GROUP BY d, f),
+linked AS (
+  SELECT x.*, y.f AS above, z.c AS parent FROM nodes x LEFT JOIN prefixes y ON y.c = x.c AND y.d = x.d - 1 LEFT JOIN nodes z ON z.d = y.d AND z.f = y.f),
+children AS (SELECT d - 1 AS d, above AS f, count(*) AS n FROM linked WHERE d > 0 GROUP BY ALL),
+valued AS (
+  SELECT x.*, coalesce(y.n, 0) AS branches FROM linked x LEFT JOIN children y ON y.d = x.d AND y.f = x.f),
+below AS (
+  SELECT a.d, a.f, sum(CASE WHEN x.branches = 0 THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.n_words) AS saved
+  FROM valued x JOIN prefixes a ON a.c = x.c AND a.d <= x.d GROUP BY ALL)
+SELECT x.c AS conv_id, x.d::BIGINT AS depth, x.parent AS parent_conv_id, x.n AS n_convs, x.branches AS n_children, b.leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM valued x JOIN below b ON b.d = x.d AND b.f = x.f
+"""
