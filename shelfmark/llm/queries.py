@@ -19,6 +19,7 @@ from shelfmark.llm.prefix_trie import prefix_trie
 from shelfmark.llm.quality import quality_rules
 from shelfmark.llm.spans import digest, joined
 from shelfmark.llm.suffix_dedup import remove_repeats
+from shelfmark.llm.whitening import whiten
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -106,10 +107,16 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
         F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).select(
+        "id", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "identity_error", F.posexplode(F.arrays_zip("whitened", "explained"))).select(
+        F.col("id").alias("vec_id"), (F.col("pos") + 1).alias("component"), "n", "deviation", "col.whitened", "col.explained", "identity_error")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_hilbert_packing, op3_simhash_decontamination, op4_quality_rules, op5_chat_windows,
     op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_pii, op9_secret_scan, op10_fst_token_counts,
-    op11_bpe_monoid_tree, op12_conversation_prefix_trie)}
+    op11_bpe_monoid_tree, op12_conversation_prefix_trie, op13_embedding_whitening)}
 #: Positions of matches, token ids, fingerprinted bytes and greedy windows are left to the tests' plain Python.
 SQL = {
     "op1_line_dedup": sql.OP1, "op3_simhash_decontamination": sql.OP3, "op4_quality_rules": sql.OP4, "op6_ngram_jaccard_join": sql.OP6,
