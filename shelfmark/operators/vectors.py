@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,30 +28,59 @@ TILE_SCORES = 8 * 1024 * 1024
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
-def _token_steps(token: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dimensions and signs of a token: sixteen two-byte numbers of its SHA-256, the parity of the first byte as sign."""
-    numbers = np.frombuffer(hashlib.sha256(token.encode()).digest(), ">u2").astype(np.int64)
-    return numbers % dims, np.where((numbers >> 8) % 2 == 0, 1, -1)
-
-
-def _hashed(pieces: pd.Series, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Touched dimensions and normalised values of every row; a token of the batch is hashed once."""
-    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for tokens in pieces:
-        at, step = [], []
-        for token, n in Counter(tokens).items():
-            if token not in known:
-                known[token] = _token_steps(token, dims)
-            where, sign = known[token]
-            at.append(where)
-            step.append(n * sign)
-        if not at:
-            yield np.zeros(0, np.int64), np.zeros(0)
-            continue
-        touched, place = np.unique(np.concatenate(at), return_inverse=True)
-        raw = np.bincount(place, weights=np.concatenate(step))
-        length = np.sqrt((raw * raw).sum())
-        yield touched, raw / length if length else raw
+class _Steps:
+    """Dimensions and signs of tokens: sixteen two-byte numbers of the SHA-256, the parity of the first byte as sign.
+
+    A worker keeps what it has hashed, up to a bound.
+    """
+
+    BOUND = 500_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.numbers = np.empty((1024, 16), np.uint16)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """One row of sixteen numbers per token."""
+        if len(self.known) + len(tokens) > self.BOUND:
+            self.known.clear()
+        places = np.empty(len(tokens), np.int64)
+        for i, token in enumerate(tokens):
+            at = self.known.get(token)
+            if at is None:
+                at = self.known[token] = len(self.known)
+                if at >= len(self.numbers):
+                    self.numbers = np.concatenate([self.numbers, np.empty_like(self.numbers)])
+                self.numbers[at] = np.frombuffer(hashlib.sha256(token.encode()).digest(), ">u2")
+            places[i] = at
+        return self.numbers[places]
+
+
+_STEPS = _Steps()
+# Tokens and cells of the dense matrix that are worked on at once.
+STEP_TOKENS, STEP_CELLS = 200_000, 4_000_000
+
+
+def _hashed(pieces: pa.Array, dims: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, touched cells and normalised values (rows x dims) of one run of rows after another."""
+    coded = pieces.values.dictionary_encode()
+    numbers = _STEPS.of(coded.dictionary.to_pylist())
+    at, sign = (numbers % dims).astype(np.int64), np.where((numbers >> 8) % 2 == 0, 1.0, -1.0)
+    tokens, ends = coded.indices.to_numpy(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+    tokens, first, n = tokens[pieces.offsets[0].as_py():], 0, len(pieces)
+    while first < n:
+        last = max(first + 1, min(int(np.searchsorted(ends, ends[first] + STEP_TOKENS, "right")) - 1, first + STEP_CELLS // dims, n))
+        count, raw = np.zeros((last - first) * dims, np.int64), np.zeros((last - first) * dims)
+        row = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1])) * dims
+        for start in range(0, len(row), STEP_TOKENS):  # a long text by itself goes in several steps
+            some = tokens[ends[first] + start : min(ends[first] + start + STEP_TOKENS, ends[last])]
+            cells = (row[start : start + STEP_TOKENS, None] + at[some]).ravel()
+            count += np.bincount(cells, minlength=len(count))
+            raw += np.bincount(cells, sign[some].ravel(), len(raw))
+        raw = raw.reshape(-1, dims)
+        length = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+        yield first, count.reshape(-1, dims) > 0, np.divide(raw, length, out=raw, where=length > 0)
+        first = last
 
 
 def _pieces(text: Column) -> Column:
@@ -59,25 +88,39 @@ def _pieces(text: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lower(text))).otherwise(found)
 
 
+def _to_pieces(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pieces) of the rows that have a text; a table in one small file is spread over the cores first."""
+    return scale.spread(texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(
+        "id", _pieces(F.col("text")).alias("pieces"))
+
+
 def hash_components(texts: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
-    """Touched components (id, dim, value) of the normalised hash vector (V1), row by row: texts are not moved."""
-    @F.pandas_udf("array<struct<dim:int,value:double>>")
-    def cells(pieces: pd.Series) -> pd.Series:
-        return pd.Series([[{"dim": int(d), "value": float(v)} for d, v in zip(*row, strict=True)] for row in _hashed(pieces, dims)])
+    """Touched components (id, dim, value) of the normalised hash vector (V1)."""
+    frame = _to_pieces(texts, id_col, text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, touched, values in _hashed(part.column(1), dims):
+                ends = pa.array(np.append(0, np.cumsum(touched.sum(axis=1))), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.nonzero(touched)[1].astype(np.int32), values[touched])]
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, len(touched)), *lists], ["id", "dim", "value"])
 
-    return texts.where(F.col(text_col).isNotNull()).select(id_col, F.inline(cells(_pieces(F.col(text_col)))))
+    schema = f"id {frame.schema['id'].dataType.simpleString()}, dim array<int>, value array<double>"
+    return frame.mapInArrow(run, schema).select(F.col("id").alias(id_col), F.inline(F.arrays_zip("dim", "value")))
 
 
 def hash_embedding(texts: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
     """Dense hash vectors: (id, embedding array<double>)."""
-    @F.pandas_udf("array<double>")
-    def dense(pieces: pd.Series) -> pd.Series:
-        out = np.zeros((len(pieces), dims))
-        for i, (touched, values) in enumerate(_hashed(pieces, dims)):
-            out[i, touched] = values
-        return pd.Series(list(out))
-
-    return texts.where(F.col(text_col).isNotNull()).select(id_col, dense(_pieces(F.col(text_col))).alias("embedding"))
+    frame = _to_pieces(texts, id_col, text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, touched, values in _hashed(part.column(1), dims):
+                ends = pa.array(np.arange(len(touched) + 1, dtype=np.int32) * dims)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).slice(first, len(touched)), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], ["id", "embedding"])
+
+    return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, embedding array<double>").withColumnRenamed("id", id_col)
 
 
 def column_embedder(encode: Callable[[Column], Column]) -> Embedder:
