@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from registry import ranking_sql as rs
 from registry import views as v
-from registry.core import query
-from shelfmark.operators import fuzzy, lexical
+from registry.core import SQL, query
+from shelfmark import scale
+from shelfmark.operators import fuzzy, inverted, lexical
 from shelfmark.operators.lexical import Strategy
 from shelfmark.plans import strategies as st
 
@@ -200,3 +203,27 @@ _TUNED = st.tunable("boosted_bm25", {**st.BOOSTED_BOOSTS, "title": 6.0})
 @query(f"{CAT}{rs.ranking([_TUNED], 10)} {RANKED}")
 def tunable_search(spark, d):
     return shown(lexical.rank(v.catalog(spark, d), v.catalog_queries(spark, d), [_TUNED], 10))
+
+
+def stored_index(spark, docs, kinds=None):
+    """The inverted index of a corpus, stored anew for the query."""
+    return inverted.write_index(docs, f"{scale.ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", kinds)
+
+
+@query(f"WITH {DOCS.strip()}, {rs.ranking([MATCH], 10, 'docs')} {RANKED}")
+def indexed_match_topk(spark, d):
+    """The text search from stored postings, pruned by score bounds."""
+    index = stored_index(spark, v.documents(spark, d), {"body": "text"})
+    return shown(inverted.search(index, v.text_queries(spark, d), [MATCH], 10))
+
+
+@query(_catalog_ranking(st.EVALUATED))
+def indexed_strategies(spark, d):
+    index = stored_index(spark, v.catalog(spark, d))
+    return shown(inverted.search(index, v.catalog_queries(spark, d), [st.strategy(n) for n in st.EVALUATED], 10, v.as_of()))
+
+
+@query(SQL["filtered_search"])
+def indexed_requests(spark, d):
+    """Filtered and text-free requests from the stored index; equal filters share one list."""
+    return shown(inverted.search(stored_index(spark, v.catalog(spark, d)), requests(spark, d), [_BOOSTED], 10, v.as_of()))

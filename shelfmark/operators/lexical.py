@@ -10,7 +10,7 @@ keeps only its own best rows per query, and only those meet in the last shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,17 +78,17 @@ def _field_rows(docs: DataFrame, kinds: dict[str, str], keep: Sequence[str], mat
         for name, kind in kinds.items()
     ]
     if match_all:
-        cells.append(F.struct(F.lit(ANY).alias("field"), filter_keys().alias("terms")))
+        keys = filter_keys(normalise(F.col("category")), normalise(F.col("brand")), F.col("availability"))
+        cells.append(F.struct(F.lit(ANY).alias("field"), keys.alias("terms")))
     return docs.select(*keep, F.inline(F.array(*cells)))
 
 
-def filter_keys() -> Column:
-    """The filter combinations a document answers to, each part set or open."""
+def filter_keys(category: Column, brand: Column, availability: Column, mark: str = "*") -> Column:
+    """The filter combinations a document answers to, each part set or open (``mark``)."""
     def part(value: Column) -> Column:
-        return F.array(F.lit("*"), F.coalesce(value, F.lit("")))
+        return F.array(F.lit(mark), F.coalesce(value, F.lit("")))
 
-    category, brand, availability = (
-        part(normalise(F.col("category"))), part(normalise(F.col("brand"))), part(F.col("availability")))
+    category, brand, availability = part(category), part(brand), part(availability)
     combine = F.transform(category, lambda c: F.transform(brand, lambda b: F.transform(
         availability, lambda a: F.concat_ws("\x1f", c, b, a))))
     return F.array_distinct(F.flatten(F.flatten(combine)))
@@ -136,6 +136,13 @@ def term_statistics(docs: DataFrame, kinds: dict[str, str], terms: scale.Settled
         F.count(F.lit(1)).alias("df"), F.sum("dl").cast("bigint").alias("total"))
 
 
+def term_lengths(docs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(field, n, avgdl): documents that have the field, and their mean length in terms."""
+    size = F.size("terms")
+    return _field_rows(docs.select(*dict.fromkeys(kinds)), kinds, []).where(size > 0).groupBy("field").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(size.cast("bigint")) / F.count(F.lit(1))).alias("avgdl"))
+
+
 def clauses(queries: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
     """Query terms per strategy and field, with how many of them must match."""
     plan = F.array(*(
@@ -214,15 +221,22 @@ class Prepared:
         return replace(self.weights, df=self.weights.df.select(*columns).distinct())
 
 
-def _numbered(weights: DataFrame) -> scale.Settled:
+def term_number(seed: int) -> Column:
+    """The number of a term, a hash of field and term."""
+    return F.xxhash64(F.lit(seed), "field", "term")
+
+
+def _numbered(weights: DataFrame, term_seed: int | None = None) -> scale.Settled:
     """Settle the weights with a number for each term, slot and clause.
 
     Numbers are hashes; that no two things share one is checked, and another
-    seed is taken should it ever happen.
+    seed is taken should it ever happen.  Terms of a stored index keep its seed.
     """
     groups = {"tid": ("field", "term"), "slot": ("qid", "field", "fuzzy"), "cid": ("field", "clause")}
     for seed in range(8):
         numbers = {name: F.xxhash64(F.lit(seed), *parts) for name, parts in groups.items()}
+        if term_seed is not None:
+            numbers["tid"] = term_number(term_seed)
         settled = scale.settle(weights.withColumns(numbers))
         cells = F.array(*(
             F.struct(F.lit(name).alias("kind"), F.col(name).alias("number"), F.to_json(F.struct(*parts)).alias("thing"))
@@ -250,10 +264,14 @@ def _match_all_weights(queries: DataFrame, strategies: Sequence[Strategy]) -> Da
 
 
 def prepare(
-    docs: DataFrame, queries: DataFrame, strategies: Sequence[Strategy], partial_fields: bool = False,
+    docs: DataFrame | None, queries: DataFrame, strategies: Sequence[Strategy], partial_fields: bool = False,
+    vocabulary: Callable[[scale.Settled], DataFrame] | None = None, term_seed: int | None = None,
 ) -> Prepared:
     """First stage: statistics of the asked terms and the weighted query terms.
 
+    ``vocabulary`` gives (field, term, df, n, avgdl, ...) for the asked clauses from
+    elsewhere, such as a stored index, instead of counting ``docs``.
+
     A field whose vocabulary lacks too many of a query's terms cannot match, so
     its remaining terms, often the frequent ones, are not looked up at all;
     ``partial_fields`` keeps them for an explanation.
@@ -265,21 +283,22 @@ def prepare(
     filters = [c for c in FILTERS if c in queries.columns]
     wanted = scale.settle(clauses(queries, strategies))
     any_fuzzy = any(s.fuzzy for s in strategies)
+    known = None if vocabulary is None else vocabulary(wanted)
     if any_fuzzy:
-        weighted = _fuzzy_weights(docs, kinds, wanted)
+        weighted = _fuzzy_weights(docs, kinds, wanted, known)
     else:
-        weighted = _exact_weights(docs, kinds, wanted)
+        weighted = _exact_weights(docs, kinds, wanted, known)
     weights = weighted.withColumn("idf", idf(F.col("df"), F.col("n"))).select(
         "strategy", "qid", *filters, "field", "kind", "fuzzy", "clause", "clause_no", "term", "needed",
         (F.col("qtf") * F.col("weight") * F.col("idf")).alias("w"),
-        "avgdl", "df", "idf", "boost", "distance",
+        "avgdl", "df", "idf", "boost", "distance", *(c for c in ("share",) if c in weighted.columns),
     )
     if not partial_fields:
         in_slot = Window.partitionBy("strategy", "qid", "field")
         present = F.size(F.collect_set("clause").over(in_slot))
         weights = weights.withColumn("_present", present).where(F.col("_present") >= F.col("needed")).drop("_present")
     blank = queries.where(F.coalesce(strip("query"), F.lit("")) == "")
-    match_all = not blank.isEmpty()
+    match_all = vocabulary is None and not blank.isEmpty()
     if match_all:
         weights = weights.unionByName(_match_all_weights(queries, strategies))
     carry: list[str] = []
@@ -288,11 +307,13 @@ def prepare(
     if filters:
         carry += ["_category", "_brand", "_availability", "_price"]
     longest = wanted.df.agg(F.coalesce(F.max("clause_no"), F.lit(0)) + 1).head()[0] if any_fuzzy else 0
-    return Prepared(_numbered(weights), tuple(carry), match_all, any_fuzzy, longest)
+    return Prepared(_numbered(weights, term_seed), tuple(carry), match_all, any_fuzzy, longest)
 
 
-def _exact_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled) -> DataFrame:
+def _exact_weights(docs: DataFrame | None, kinds: dict[str, str], wanted: scale.Settled, known: DataFrame | None = None) -> DataFrame:
     """Clauses with the statistics of their own term, counting asked terms only."""
+    if known is not None:
+        return _own_terms(known, wanted)
     heads = [F.struct(F.lit(f).alias("field"), F.lit("").alias("term")) for f in kinds]
     pairs = wanted.df.select("field", F.col("clause").alias("term")).unionByName(
         wanted.df.sparkSession.range(1).select(F.inline(F.array(*heads)))).distinct()
@@ -307,18 +328,22 @@ def _exact_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled
         }).where(~is_head).drop("total")
     else:
         vocabulary = _with_heads(scale.settle(stats).df)
+    return _own_terms(vocabulary, wanted)
+
+
+def _own_terms(vocabulary: DataFrame, wanted: scale.Settled) -> DataFrame:
     return scale.join_settled(
         vocabulary, replace(wanted, df=wanted.df.withColumn("term", F.col("clause"))), ["field", "term"],
     ).withColumns({"weight": F.lit(1.0), "distance": F.lit(0)})
 
 
-def _fuzzy_weights(docs: DataFrame, kinds: dict[str, str], wanted: scale.Settled) -> DataFrame:
+def _fuzzy_weights(docs: DataFrame | None, kinds: dict[str, str], wanted: scale.Settled, known: DataFrame | None = None) -> DataFrame:
     """Clauses joined with every vocabulary term within their edit distance.
 
     Expansions share the largest document frequency among them, so that a rare
     misspelling does not outrank the word itself.
     """
-    vocabulary = _with_heads(scale.settle(term_statistics(docs, kinds)).df)
+    vocabulary = _with_heads(scale.settle(term_statistics(docs, kinds)).df) if known is None else known
     exact = wanted.df.where(~F.col("fuzzy")).withColumn("term", F.col("clause")).join(
         vocabulary, ["field", "term"]).withColumns({"weight": F.lit(1.0), "distance": F.lit(0)})
     clauses_fuzzy = wanted.df.where("fuzzy")
@@ -338,17 +363,23 @@ def _with_heads(stats: DataFrame) -> DataFrame:
 
 def contributions(docs: DataFrame, prepared: Prepared, kinds: dict[str, str], id_col: str = "product_id") -> DataFrame:
     """Score of every matching (slot, clause, document, term)."""
-    source = docs
-    if any(c.startswith("_") for c in prepared.carry):
-        source = docs.withColumns({
-            "_category": normalise(F.col("category")), "_brand": normalise(F.col("brand")),
-            "_availability": F.col("availability"), "_price": F.col("price"),
-        })
+    source = with_filter_values(docs) if any(c.startswith("_") for c in prepared.carry) else docs
     found = postings(source, kinds, id_col, prepared.carry, prepared.terms, prepared.match_all)
     joined = scale.join_settled(found, prepared.scoring, ["tid"], salt_by=id_col)
-    tf_part = F.when(F.col("kind") == "keyword", F.lit(1.0)).otherwise(
-        saturation(F.col("tf"), F.col("dl"), F.col("avgdl")))
-    return joined.withColumn("contribution", F.col("w") * tf_part)
+    return joined.withColumn("contribution", F.col("w") * term_part(F.col("avgdl")))
+
+
+def with_filter_values(docs: DataFrame) -> DataFrame:
+    """The columns that requests filter by, folded as they are compared."""
+    return docs.withColumns({
+        "_category": normalise(F.col("category")), "_brand": normalise(F.col("brand")),
+        "_availability": F.col("availability"), "_price": F.col("price"),
+    })
+
+
+def term_part(avgdl: Column) -> Column:
+    """What a posting's counts make of its term's weight; a keyword just matches."""
+    return F.when(F.col("kind") == "keyword", F.lit(1.0)).otherwise(saturation(F.col("tf"), F.col("dl"), avgdl))
 
 
 def _passes(filters: Sequence[str]) -> Column:
@@ -425,8 +456,14 @@ def score(
 ) -> DataFrame:
     """Final score of every matching (strategy, query, document)."""
     kinds = {name: s.kinds[name] for s in strategies for name in s.boosts}
+    return document_scores(field_scores(contributions(docs, prepared, kinds, id_col), prepared, id_col), prepared, strategies, as_of, id_col)
+
+
+def document_scores(
+    fields: DataFrame, prepared: Prepared, strategies: Sequence[Strategy], as_of: Column | None = None, id_col: str = "product_id",
+) -> DataFrame:
+    """The best field of every (strategy, query, document), with the document's boosts."""
     carry = [c for c in prepared.carry if not c.startswith("_")]
-    fields = field_scores(contributions(docs, prepared, kinds, id_col), prepared, id_col)
     best = fields.groupBy("strategy", "qid", id_col, *carry).agg(F.max("field_score").alias("score"))
     if any(s.boosted for s in strategies):
         if as_of is None:
