@@ -44,8 +44,9 @@ def product_errors(df: DataFrame) -> DataFrame:
     """
     rules = {name: _filled(name) for name in ("product_id", "title", "brand", "category", "seller_id")}
     rules |= {
-        "price": F.col("price") >= 0,
-        "popularity_score": F.col("popularity_score") >= 0,
+        # Spark counts NaN as larger than any number.
+        "price": (F.col("price") >= 0) & ~F.isnan("price"),
+        "popularity_score": (F.col("popularity_score") >= 0) & ~F.isnan("popularity_score"),
         "currency": F.length("currency") == 3,
         "availability": F.col("availability").isin(*AVAILABILITY),
         "updated_at": zoned_timestamp(F.col("updated_at")).isNotNull(),
@@ -92,6 +93,8 @@ def event_errors(df: DataFrame) -> DataFrame:
     }
     if "extra_fields" in df.columns:
         rules["extra_fields"] = F.size(F.coalesce("extra_fields", F.array().cast("array<string>"))) == 0
+    if "wrong_types" in df.columns:
+        rules["wrong_types"] = F.size("wrong_types") == 0
     return df.withColumn("errors", _errors(rules)).withColumn("event_time", zoned_timestamp(F.col("event_time")))
 
 

@@ -16,9 +16,11 @@ PRODUCT_SCHEMA = (
     "product_id string, title string, description string, brand string, category string, "
     "attributes string, price string, currency string, availability string, "
     "popularity_score string, seller_id string, updated_at string")
+PRODUCT_TEXTS = ("product_id", "title", "description", "brand", "category", "currency", "availability", "seller_id")
 EVENT_SCHEMA = (
     "event_id string, product_id string, source_system string, event_type string, event_time string, "
-    "payload string, source_version bigint")
+    "payload string, source_version string")
+EVENT_TEXTS = ("event_id", "product_id", "source_system", "event_type")
 JUDGMENT_SCHEMA = "query string, product_id string, label string, grade int, relevance int"
 
 
@@ -41,16 +43,45 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse(lines: DataFrame, schema: str) -> DataFrame:
-    names = F.array(*(F.lit(name) for name in T.StructType.fromDDL(schema).fieldNames()))
-    found = F.coalesce(F.json_object_keys("value"), F.array(F.lit("not a JSON object")))
-    return lines.select(
-        "path", "line_no", F.from_json("value", schema).alias("row"), F.array_except(found, names).alias("extra_fields")
-    ).select("path", "line_no", "row.*", "extra_fields")
+    """Fields of every line as text or as the schema says, with ``extra_fields`` and ``kinds``: the JSON type of each field.
+
+    A line is also parsed as a VARIANT, which knows whether a value was a text, a number, a list or null;
+    a field that is not there has no kind.
+    """
+    names = T.StructType.fromDDL(schema).fieldNames()
+    whole = F.try_parse_json("value")
+    is_object = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
+    found = F.when(is_object, F.json_object_keys("value")).otherwise(F.array(F.lit("not a JSON object")))
+    return lines.select("*", whole.alias("whole")).select(
+        "path", "line_no", F.from_json("value", schema).alias("row"), F.array_except(found, F.array(*map(F.lit, names))).alias("extra_fields"),
+        F.struct(*(F.schema_of_variant(F.try_variant_get("whole", f"$.{name}", "variant")).alias(name) for name in names)).alias("kinds"),
+    ).select("path", "line_no", "row.*", "extra_fields", "kinds")
+
+
+NUMBER = r"^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"
+
+
+def _kind_errors(allowed: dict[str, str]) -> Column:
+    """Names of the fields whose JSON type does not match its pattern; a missing field breaks no rule here."""
+    wrong = [F.when(~F.col(f"kinds.{name}").rlike(pattern), F.lit(name)) for name, pattern in allowed.items()]
+    return F.array_compact(F.array(*wrong))
+
+
+def _moment(name: str) -> Column:
+    """Text of a time; a number is seconds, or milliseconds beyond 2e10, since 1970."""
+    n = F.col(name).try_cast("double")
+    at = F.timestamp_micros((F.when(F.abs(n) > 2e10, n / 1000).otherwise(n) * 1_000_000).cast("bigint"))
+    return F.when(F.col(f"kinds.{name}").rlike(NUMBER), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).otherwise(F.col(name))
+
+
+def _amount(name: str) -> Column:
+    """A number, or a text or truth value that stands for one."""
+    return F.coalesce(strip(name).try_cast("double"), F.when(F.col(f"kinds.{name}") == "BOOLEAN", F.col(name).try_cast("boolean").cast("double")))
 
 
 def _checked(df: DataFrame, strict: bool, what: str) -> DataFrame:
     done = validate.required(df, f"{what} on line") if strict else df
-    return done.drop("extra_fields")
+    return done.drop("extra_fields", "wrong_types")
 
 
 def read_products(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -61,11 +92,14 @@ def read_products(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     """
     rows = _parse(numbered_lines(spark, path), PRODUCT_SCHEMA)
     numbers = ("price", "popularity_score")
-    wrong = {c: F.col(c).isNotNull() & strip(c).try_cast("double").isNull() for c in numbers}
-    wrong["attributes"] = F.col("attributes").isNotNull() & ~strip("attributes").startswith("{")
-    typed = rows.withColumn("wrong_types", F.array_compact(F.array(*(F.when(bad, F.lit(c)) for c, bad in wrong.items()))))
-    typed = typed.withColumns({c: strip(c).try_cast("double") for c in numbers} | {"attributes": F.from_json("attributes", "map<string,string>")})
-    return _checked(validate.product_errors(typed), strict, "product")
+    # A null where a value is required breaks the field's own rule.
+    allowed = dict.fromkeys(PRODUCT_TEXTS, "^(STRING|VOID)") | dict.fromkeys(numbers, f"^STRING|^BOOLEAN|^VOID|{NUMBER}") | {
+        "description": "^STRING", "attributes": "^(OBJECT|VOID)", "updated_at": f"^STRING|^VOID|{NUMBER}"}
+    no_number = [F.when(F.col(c).isNotNull() & _amount(c).isNull() & F.col(f"kinds.{c}").rlike(allowed[c]), F.lit(c)) for c in numbers]
+    typed = rows.withColumn("wrong_types", F.concat(_kind_errors(allowed), F.array_compact(F.array(*no_number))))
+    typed = typed.withColumns(
+        {c: _amount(c) for c in numbers} | {"updated_at": _moment("updated_at"), "attributes": F.from_json("attributes", "map<string,string>")})
+    return _checked(validate.product_errors(typed.drop("kinds")), strict, "product")
 
 
 def arrival(lines: DataFrame) -> DataFrame:
@@ -86,7 +120,13 @@ def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     """
     lines = numbered_lines(spark, path)
     order = arrival(lines).select("path", "line_no", "seq")
-    parsed = validate.event_errors(_parse(lines, EVENT_SCHEMA)).join(order, ["path", "line_no"])
+    allowed = dict.fromkeys(EVENT_TEXTS, "^(STRING|VOID)") | {
+        "payload": "^OBJECT", "event_time": f"^STRING|^VOID|{NUMBER}", "source_version": f"^STRING|^BOOLEAN|^VOID|{NUMBER}"}
+    version = _amount("source_version")  # whole numbers only
+    rows = _parse(lines, EVENT_SCHEMA).withColumns({
+        "wrong_types": _kind_errors(allowed), "event_time": _moment("event_time"),
+        "source_version": F.when(version == F.floor(version), version.try_cast("bigint"))})
+    parsed = validate.event_errors(rows.drop("kinds")).join(order, ["path", "line_no"])
     return _checked(parsed, strict, "product event")
 
 

@@ -228,3 +228,31 @@ def test_repeated_updates_last_wins(spark):
     updates = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("z", "w", 3)], "product_id string, embedding string, seq int")
     done, failed = update_column(catalog, updates)
     assert sorted(map(tuple, done.collect())) == [("a", "y"), ("b", None)] and failed.count() == 1
+
+
+def test_json_types_of_every_product_field(spark, tmp_path):
+    """A number, list, truth value or null where a text belongs, and numbers that are none."""
+    bad = {
+        "title": 5, "brand": ["x"], "category": True, "description": None, "seller_id": {"a": 1}, "currency": 123, "attributes": "oops", "price": "nan",
+        "popularity_score": "much", "updated_at": [1]}
+    good = [{**GOOD, "product_id": "g1", "price": "1.5"}, {**GOOD, "product_id": "g2", "price": True}, {**GOOD, "product_id": "g3", "updated_at": 1_700_000_000}]
+    path = put(tmp_path / "p.jsonl", *({**GOOD, "product_id": name, name: value} for name, value in bad.items()), *good, "[1]", '{"price": NaN}')
+    got = {r.product_id: r for r in lines.read_products(spark, path, strict=False).collect()}
+    for name in bad:
+        assert got[name].errors, name
+        assert ("wrong_types" in got[name].errors) == (name != "price") and got[name].product_id == name
+    assert "price" in got["price"].errors
+    assert [got[g["product_id"]].errors for g in good] == [[], [], []]
+    assert (got["g1"].price, got["g2"].price) == (1.5, 1.0) and got["g3"].updated_at.year == 2023
+    assert "extra_fields" in got[None].errors
+
+
+def test_json_types_of_every_event_field(spark, tmp_path):
+    event = {"event_id": "e", "product_id": "p", "source_system": "s", "event_type": "product_deleted_or_unavailable",
+             "event_time": "2026-05-01T00:00:00Z", "payload": {}, "source_version": 3}
+    cases = [({}, []), ({"event_id": 7}, ["wrong_types"]), ({"payload": "x"}, ["payload", "wrong_types"]), ({"source_version": "4"}, []), ({"source_version": 4.0}, []),
+             ({"source_version": 4.5}, ["source_version"]), ({"source_version": [1]}, ["source_version", "wrong_types"]), ({"product_id": None}, ["product_id"])]
+    path = put(tmp_path / "e.jsonl", *({**event, **change} for change, _ in cases))
+    got = lines.read_events(spark, path, strict=False).orderBy("seq").collect()
+    assert [r.errors for r in got] == [errors for _, errors in cases]
+    assert [r.source_version for r in got[3:5]] == [4, 4]
