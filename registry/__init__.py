@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from registry import product_queries, result_queries, text_queries  # noqa: F401
+    from registry import product_queries, result_queries, source_queries, text_queries  # noqa: F401
 
 
 def all_queries():
