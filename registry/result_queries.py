@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from registry import ranking_sql as rs
 from registry import views as v
-from registry.core import query
+from registry.core import SQL, query
 from registry.text_queries import CAT, DOCS, MATCH, map_text
 from shelfmark import scale
 from shelfmark.functions.text import utc_text
 from shelfmark.operators import events as ev
-from shelfmark.operators import gate, latency, lexical, metrics, rerank, tune, vectors
+from shelfmark.operators import gate, latency, lexical, metrics, rerank, tune, vector_index, vectors
 from shelfmark.plans import evaluate, hybrid
 from shelfmark.plans import strategies as st
 from shelfmark.sources.buckets import BucketedTable
@@ -74,6 +74,25 @@ def knn_topk(spark, d):
         "qid", "product_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
+@query(SQL["knn_topk"])
+def indexed_knn(spark, d):
+    """The same from a stored vector index that is asked for every candidate."""
+    return _candidates(spark, d, centres(spark, d), 1 << 40)
+
+
+@query()
+def knn_candidates(spark, d):
+    """Neighbours among 300 candidates for every hundredth vector; recall against the exact search is tested."""
+    asked = v.table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return _candidates(spark, d, asked, 300)
+
+
+def _candidates(spark, d, asked, candidates):
+    corpus = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("product_id"), "embedding")
+    index = vector_index.write_vector_index(scale.spread(corpus), f"{scale.ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    return vector_index.search(index, asked, 10, candidates).select("qid", "product_id", F.col("rank").cast("bigint").alias("rank"), "score")
+
+
 EMBED_TEXT = """
 embed_text AS (SELECT product_id, title || ' ' || brand || ' ' || category || ' ' || description AS text FROM catalog)"""
 
