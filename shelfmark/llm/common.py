@@ -56,7 +56,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*steps: DataFrame) -> None:
+    """Remove stored steps whose last reader has itself been stored; what is not a stored step is left alone."""
+    for step in steps:
+        path = getattr(step, "_stored_at", None)
+        if path:
+            spark = step.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import partitions, stored
+from shelfmark.llm.common import discard, partitions, stored
 from shelfmark.llm.components import components
 from shelfmark.llm.shingles import WordHashes, shingle_set
 
@@ -176,9 +176,11 @@ def texts_of(named: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     """``node`` and ``text`` of one document for each class named."""
     where = stored(classes.join(named, "node").select("node", F.col("rep.id").alias("r_id"), F.col("rep.body").alias("r_body")), "named")
     small = where.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).join(
+    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.col(text_col).alias("text")).join(
         F.broadcast(where) if small else where, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("body") == F.col("r_body")))
-    return stored(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = stored(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    discard(where)
+    return texts
 
 
 def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -213,8 +215,10 @@ def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                     [pa.array(c, pa.int64() if i in (0, 2) else pa.int32()) for i, c in enumerate(columns)], ["a_fp", "a_n", "b_fp", "b_n", "inter"])
 
     found = flat.mapInArrow(run, "a_fp bigint, a_n int, b_fp bigint, b_n int, inter int")
-    return stored(found.select(
+    done = stored(found.select(
         F.struct(F.col("a_fp").alias("fp"), F.col("a_n").alias("n")).alias("a"), F.struct(F.col("b_fp").alias("fp"), F.col("b_n").alias("n")).alias("b"), "inter"), "compared")
+    discard(known, texts)
+    return done
 
 
 def union_size(a: Column, b: Column) -> Column:
@@ -232,14 +236,16 @@ def rules(percent: int):
 
 
 def indexed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The class of each document, one document of each class, and the index lists of several classes."""
+    """The class of each document, one document of each class, and the index lists of several classes (stored)."""
     node = F.struct("fp", "n")
     summary = stored(summaries(docs, id_col, text_col, size), "sets")
     members = summary.where("chunk IS NULL").select("id", "body", node.alias("node"))
     classes = members.groupBy("node").agg(F.min(F.struct("id", "body")).alias("rep"))
     prefixes = stored(postings(docs, text_col, rarity(summary), size, percent), "prefixes")
     lists = stored(prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "lists")
-    index = passing(prefixes, lists).join(lists, "token").groupBy("token", "fp", "n", "pos").agg(F.lit(1).alias("one")).select("token", node.alias("node"), "pos")
+    index = stored(
+        passing(prefixes, lists).join(lists, "token").groupBy("token", "fp", "n", "pos").agg(F.lit(1).alias("one")).select("token", node.alias("node"), "pos"), "index")
+    discard(prefixes, lists)
     return members, classes, index
 
 
@@ -250,18 +256,19 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     fits, meetings, similar = rules(percent)
 
     # One leader for each class and round: the top of those of its lists it shares most of its prefix with.
+    # Of the index only postings in lists of several components are kept from round to round.
     stars = links = roots = None
     for turn in range(ROUNDS):
-        at = index.select("token", "node", "pos")
-        at = at.withColumn("root", F.col("node")) if roots is None else at.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        at = stored(at, "index")
-        top = at.groupBy("token").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node.fp", F.lit(turn)).alias("h"), "node", "root")).alias("top"))
-        index = stored(at.join(top.where("lo != hi").select("token", "top"), "token"), "mixed-lists")
-        met = index.where("root != top.root").groupBy("node", F.col("top.node").alias("top")).agg(F.count(F.lit(1)).alias("k"))
+        at = index.withColumn("root", F.col("node")) if roots is None else index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        top = stored(at.groupBy("token").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node.fp", F.lit(turn)).alias("h"), "node", "root")).alias("top")).where("lo != hi")
+            .select("token", F.col("top.node").alias("top"), F.col("top.root").alias("top_root")), "tops")
+        met = at.join(top, "token").where("root != top_root").groupBy("node", "top").agg(F.count(F.lit(1)).alias("k"))
         likely = fits(F.col("node"), F.col("top")) & (F.col("k") >= meetings(F.col("node.n"), F.col("node.n"), F.col("top.n"), F.col("top.n")))
         best = met.where(likely).groupBy("node").agg(F.max(F.struct("k", "top")).alias("best")).select(F.col("node").alias("a"), F.col("best.top").alias("b"))
         found = stored(similar(compared(best, classes, docs, id_col, text_col, size)), "links")
+        left, index = index, stored(index.join(top.select("token"), "token", "left_semi"), "mixed-lists")
+        discard(left, top)
         stars = found if stars is None else stars
         links = found if links is None else links.unionByName(found)
         roots = components(links.select("a", "b"))
@@ -274,13 +281,14 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     group = stored(group.select("node", "root", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far")), "groups")
 
     # Blocks of the index lists: one per list and group.
-    placed = stored(index.select("token", "node", "pos").join(group, "node", "left").select(
+    placed = index.select("token", "node", "pos").join(group, "node", "left").select(
         "token", "node", (F.col("node.n") - F.col("pos")).alias("rest"), F.coalesce("leader", "node").alias("leader"),
-        F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far")), "placed")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    blocks = placed.join(mixed, "token", "left_semi").groupBy("token", "leader", "root").agg(
-        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max("rest").alias("rest"), F.max("far").alias("far"))
-    blocks = stored(blocks, "blocks")
+        F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far"))
+    every = stored(placed.groupBy("token", "leader", "root").agg(
+        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max("rest").alias("rest"), F.max("far").alias("far")), "every-block")
+    mixed = every.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+    blocks = stored(every.join(mixed, "token", "left_semi"), "blocks")
+    discard(every)
     side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "token"))
     x, y = side(blocks, "x"), side(blocks, "y")
     met = x.join(y, "token").where(
@@ -295,25 +303,33 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # Members of two groups, still in different components, whose leaders' distance leaves room.
     limit = 1 - percent / 100
-    links = links.unionByName(similar(between))
+    links = links.unionByName(stored(similar(between), "between"))
     roots = components(links.select("a", "b"))
     root_of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
     apart = between.join(met, ["a", "b"]).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    room = apart.withColumn("apart", 1 - F.col("inter") / union_size(F.col("a"), F.col("b"))).where(
-        (F.col("far_a") + F.col("far_b") > 0) & (F.col("apart") <= limit + F.col("far_a") + F.col("far_b") + 1e-9))
-    room = stored(room.select(F.col("a").alias("leader_x"), F.col("b").alias("leader_y"), "apart"), "room")
-    wide = placed.join(room.select(F.explode(F.array("leader_x", "leader_y")).alias("leader")).distinct(), "leader", "left_semi")
-    p, q = side(wide, "x"), side(wide, "y")
-    pairs = (p.join(room, "leader_x").join(q, ["token", "leader_y"])
-             .where(fits(F.col("node_x"), F.col("node_y"))
-                    & (F.col("apart") <= limit + F.col("far_x") + F.col("far_y") + 1e-9)
-                    & ((F.col("node_x") != F.col("leader_x")) | (F.col("node_y") != F.col("leader_y"))))
-             .groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.least("rest_x", "rest_y")).alias("rest"))
-             .where((F.col("k") >= meetings(F.col("a.n"), F.col("a.n"), F.col("b.n"), F.col("b.n")))
-                    & (F.col("rest") * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))).select("a", "b"))
-    rest = compared(pairs, classes, docs, id_col, text_col, size)
-    return links.unionByName(similar(rest)), members
+    room = stored(apart.withColumn("apart", 1 - F.col("inter") / union_size(F.col("a"), F.col("b"))).where(
+        (F.col("far_a") + F.col("far_b") > 0) & (F.col("apart") <= limit + F.col("far_a") + F.col("far_b") + 1e-9)).select("a", "b", "apart"), "room")
+    # Members are dealt, not their postings: the larger group is the hub, and its members meet those of its
+    # partners that the distances leave room for, block by block.
+    # A class without links is a group of its own.
+    kept = stored(room.select(F.explode(F.array("a", "b")).alias("leader")).distinct().join(group.drop("root"), "leader", "left").select(
+        "leader", F.coalesce("node", "leader").alias("node"), F.coalesce("far", F.lit(0.0)).alias("far")), "kept")
+    sizes = kept.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.max("far").alias("far"))
+    size_of = lambda s: sizes.select(F.col("leader").alias(s), F.col("m").alias(f"m_{s}"), F.col("far").alias(f"far_{s}"))
+    swap = F.col("m_a") < F.col("m_b")
+    pick = lambda name, turned: F.when(swap != F.lit(turned), F.col(f"{name}b")).otherwise(F.col(f"{name}a"))
+    near = stored(room.join(size_of("a"), "a").join(size_of("b"), "b").select(
+        pick("", False).alias("hub"), pick("", True).alias("leader"), "apart", pick("far_", False).alias("reach")), "near")
+    guests = near.join(kept, "leader").where(F.col("apart") <= limit + F.col("far") + F.col("reach") + 1e-9).select("hub", F.lit(1).alias("side"), "node")
+    # A member of the hub takes part if its own distance leaves room with the widest partner.
+    widest = near.join(sizes.select("leader", F.col("far").alias("wide")), "leader").groupBy("hub").agg(F.min(F.col("apart") - F.col("wide")).alias("gap"))
+    hosts = widest.join(kept, F.col("hub") == F.col("leader")).where(F.col("gap") <= limit + F.col("far") + 1e-9).select("hub", F.lit(0).alias("side"), "node")
+    hubs = stored(hosts.unionByName(guests).withColumn("own", F.lit(False)).distinct(), "hubs")
+    texts = texts_of(hubs.select("node").distinct(), classes, docs, id_col, text_col)
+    rest = stored(between_blocks(hubs, texts, size, percent), "rest")
+    discard(index, blocks, met, between, room, kept, near, hubs, texts)
+    return links.unionByName(rest), members
 
 
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -393,7 +409,6 @@ def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ``n_links`` counts the other rows with an equal or a similar set; rows without words have none.
     """
     members, classes, index = indexed(docs, id_col, text_col, size, percent)
-    index = stored(index, "index")
     fits, meetings, similar = rules(percent)
 
     # Groups around leaders: in each round, what has no group yet meets leaders of its own lists.
