@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import stored
 from shelfmark.llm.decontaminate import without_contaminated
 from shelfmark.llm.jaccard import keep_one
-from shelfmark.llm.line_dedup import drop_lines, drop_repeats
+from shelfmark.llm.line_dedup import drop_repeats
 from shelfmark.llm.packing import pack
 from shelfmark.llm.quality import keep_good
 
@@ -20,12 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines whose template an earlier document has."""
-    return drop_lines(docs)
-
-
-def lines_and_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same without documents that lose all their words by it: the copies in groups of three or more."""
+    """Documents without lines whose template an earlier document has; those that lose all their words by it go, as later copies do."""
     return drop_repeats(docs)
 
 
@@ -55,8 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the table of documents, where line dedup also drops the documents that it empties."""
+    """The stages in order over the table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored((lines_and_documents if stage is lines else stage)(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
