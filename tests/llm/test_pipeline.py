@@ -2,9 +2,13 @@
 
 import collections
 import re
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
 from tests_llm_brute import brute_components, brute_lines, sequence, words
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 
@@ -32,7 +36,8 @@ def test_stages(spark, folder):
     before, after = map(texts, frames[0])
     assert {d for d, t in before.items() if len(re.findall(r"\S+", t)) < 50}.isdisjoint(after) and set(range(300, 330)) <= set(after)
     before, after = map(texts, frames[1])
-    assert after == brute_lines(list(before.items()))
+    lines = brute_lines(list(before.items()))
+    assert after == {d: t for d, t in lines.items() if t.split() or not before[d].split()}
     before, after = map(texts, frames[2])
     roots, sets = brute_components(list(before.items()))
     assert set(after) == {d for d in before if roots[d] == d} and all(after[d] == before[d] for d in after)
@@ -52,5 +57,19 @@ def test_stages(spark, folder):
 
 
 def test_run_is_the_stages(spark, folder):
-    rows = corpus_pipeline.run(spark, folder[0]).collect()
-    assert len({r.doc_id for r in rows}) > 100 and sum(r.length for r in rows) > 1000
+    """The whole output of run() equals the stages one by one, each checked above, and the tokens are the library's."""
+    sf_dir, _ = folder
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{sf_dir}/again{i}")
+        docs = spark.read.parquet(f"{sf_dir}/again{i}")
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: [*model.encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect()}
+    got, places = collections.defaultdict(dict), []
+    for r in rows:
+        got[r.doc_id][r.start] = np.frombuffer(r.ids, np.uint16).tolist()
+        places += [(r.sequence_id, r.offset + k) for k in range(r.length)]
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.frombuffer(r.ids, np.uint16).astype("<u4").tobytes())
+    assert {d: [x for _, part in sorted(parts.items()) for x in part] for d, parts in got.items()} == want and len(want) > 100
+    assert sorted(places) == [divmod(k, 1024) for k in range(len(places))]
