@@ -206,3 +206,26 @@ def test_experiment_store(spark, tmp_path):
     assert store.best().head()["timestamp"] == "2026-01-01T00:00:00Z"
     table = TableExperimentStore(store.all().withColumn("gate_passed", F.lit(False)))
     assert table.best().count() == 0
+
+
+@pytest.mark.parametrize("ranked", [5, 100_000])
+def test_percentiles_in_rounds(spark, monkeypatch, ranked):
+    """Constant, skewed, tied and spread latencies; brackets narrowed to a few rows give the same as one ranking."""
+    import numpy as np
+
+    from shelfmark.operators import latency
+
+    monkeypatch.setattr(latency, "RANKED_ROWS", ranked)
+    monkeypatch.setattr(latency, "SKETCH_ACCURACY", 20)
+    draw = np.random.default_rng(2)
+    samples = {
+        "constant": np.full(700, 3.5), "half": np.concatenate([np.full(500, 1.0), draw.random(500)]), "skewed": draw.lognormal(0, 3, 1500),
+        "two": np.array([1.0, 2.0] * 200), "one": np.array([7.0]), "spread": np.arange(1200) / 7}
+    rows = [(k, float(x)) for k, xs in samples.items() for x in xs]
+    random.Random(1).shuffle(rows)
+    found = latency.percentiles(spark.createDataFrame(rows, "strategy string, ms double"), ["strategy"], "ms", (0, 50, 95, 99, 100)).collect()
+    got = {(r.strategy, r["rank"]): r.value for r in found}
+    assert len(got) == len(found) == 5 * len(samples)
+    for k, xs in samples.items():
+        for p in (0, 50, 95, 99, 100):
+            assert got[k, p] == pytest.approx(np.percentile(xs, p), rel=1e-12), (k, p)
