@@ -227,3 +227,19 @@ def indexed_strategies(spark, d):
 def indexed_requests(spark, d):
     """Filtered and text-free requests from the stored index; equal filters share one list."""
     return shown(inverted.search(stored_index(spark, v.catalog(spark, d)), requests(spark, d), [_BOOSTED], 10, v.as_of()))
+
+
+_MIXED = "CASE length(qid) % 3 WHEN 0 THEN 'baseline_bm25' WHEN 1 THEN 'boosted_bm25' ELSE 'enriched_profile' END"
+
+
+@query(f"""{CAT}{rs.ranking([st.strategy(n) for n in st.EVALUATED], 50)},
+totals AS (SELECT strategy, qid, count(*) AS total FROM matched GROUP BY strategy, qid)
+SELECT r.strategy, r.qid, CAST(total AS BIGINT) AS total, CAST(least(total, 1 + length(r.qid) % 12) AS BIGINT) AS "count", CAST(rank AS BIGINT) AS rank, score,
+  product_id AS "productId" FROM ranking r JOIN totals t ON r.strategy = t.strategy AND r.qid = t.qid
+WHERE r.strategy = {_MIXED.replace('qid', 'r.qid')} AND rank <= 1 + length(r.qid) % 12""")
+def search_requests(spark, d):
+    """Every request with its own strategy and size, in one scoring."""
+    queries = v.catalog_queries(spark, d)
+    asked = queries.select("qid", "query", F.expr(_MIXED).alias("strategy"), (F.length("qid") % 12 + 1).alias("size"))
+    rows = st.search_requests(v.catalog(spark, d), asked, v.as_of())
+    return rows.select("strategy", "qid", "total", "count", F.col("rank").cast("bigint").alias("rank"), "score", "productId")

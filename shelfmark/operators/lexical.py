@@ -10,9 +10,11 @@ keeps only its own best rows per query, and only those meet in the last shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,7 +146,10 @@ def term_lengths(docs: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def clauses(queries: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
-    """Query terms per strategy and field, with how many of them must match."""
+    """Query terms per strategy and field, with how many of them must match.
+
+    Queries that name a ``strategy`` get that one, others all.
+    """
     plan = F.array(*(
         F.struct(
             F.lit(s.name).alias("strategy"), F.lit(name).alias("field"), F.lit(s.kinds[name]).alias("kind"),
@@ -154,9 +159,8 @@ def clauses(queries: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
         for s in strategies for name, boost in sorted(s.boosts.items())
     ))
     filters = [c for c in FILTERS if c in queries.columns]
-    cells = queries.where(strip("query") != "").select(
-        "qid", F.col("query"), *filters, F.inline(plan)
-    ).withColumn(
+    asked = queries.where(strip("query") != "").select("qid", F.col("query"), *filters, _asked(queries), F.inline(plan))
+    cells = asked.where(F.coalesce("_asked", "strategy") == F.col("strategy")).drop("_asked").withColumn(
         "terms",
         F.when(F.col("kind") == "text", tokens(F.col("query")))
         .otherwise(F.array_compact(F.array(non_empty(normalise(strip("query")))))),
@@ -177,6 +181,10 @@ def clauses(queries: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
     ).drop("terms")
 
 
+def _asked(queries: DataFrame) -> Column:
+    return (F.col("strategy") if "strategy" in queries.columns else F.lit(None).cast("string")).alias("_asked")
+
+
 def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -255,8 +263,9 @@ def _match_all_weights(queries: DataFrame, strategies: Sequence[Strategy]) -> Da
     names = F.explode(F.array(*(F.lit(s.name) for s in strategies)))
     filters = [c for c in FILTERS if c in queries.columns]
     key = F.concat_ws("\x1f", part("f_category"), part("f_brand"), part("f_availability"))
-    return queries.where(F.coalesce(strip("query"), F.lit("")) == "").select(
-        names.alias("strategy"), "qid", *filters, F.lit(ANY).alias("field"), F.lit("keyword").alias("kind"),
+    blank = queries.where(F.coalesce(strip("query"), F.lit("")) == "").select("qid", *filters, _asked(queries), names.alias("strategy"))
+    return blank.where(F.coalesce("_asked", "strategy") == F.col("strategy")).select(
+        "strategy", "qid", *filters, F.lit(ANY).alias("field"), F.lit("keyword").alias("kind"),
         F.lit(False).alias("fuzzy"), key.alias("clause"), F.lit(0).alias("clause_no"), key.alias("term"), F.lit(1).alias("needed"), F.lit(1.0).alias("w"),
         F.lit(1.0).alias("avgdl"), F.lit(0).cast("bigint").alias("df"), F.lit(1.0).alias("idf"),
         F.lit(1.0).alias("boost"), F.lit(0).alias("distance"),
@@ -478,6 +487,47 @@ def top_k(scored: DataFrame, size: int, keys: Sequence[str] = ("strategy", "qid"
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
 
 
+# Rows of best hits that a task holds before it hands them on.
+HELD_ROWS = 2_000_000
+
+
+def hits_and_totals(scored: DataFrame, limit: int, id_col: str = "product_id") -> tuple[scale.Settled, scale.Settled]:
+    """The best ``limit`` rows and the number of all rows per (strategy, query), from one scoring.
+
+    Each task counts its rows and hands on only its own best; these are settled, and both results are taken from them.
+    """
+    rows = scored.select("strategy", "qid", id_col, "score")
+    keys = ["strategy", "qid"]
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        ordered = part.sort_values([*keys, "score", id_col], ascending=[True, True, False, True])
+        return ordered[ordered.groupby(keys, sort=False).cumcount() < limit]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, counts = None, None
+        for part in parts:
+            n = part.groupby(keys).size()
+            counts = n if counts is None else counts.add(n, fill_value=0)
+            own = best(part)
+            kept = own if kept is None else best(pd.concat([kept, own]))
+            if len(kept) > HELD_ROWS:
+                yield counted(kept, counts)
+                kept, counts = None, None
+        if kept is not None:
+            yield counted(kept, counts)
+
+    def counted(kept: pd.DataFrame, counts: pd.Series) -> pd.DataFrame:
+        """The count goes with the first row of each list."""
+        first = ~kept.duplicated(keys)
+        n = counts.reindex(pd.MultiIndex.from_frame(kept[keys])).to_numpy()
+        return kept.assign(n=np.where(first, n, 0).astype("int64"))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", n bigint"
+    partial = scale.settle(rows.mapInPandas(run, schema))
+    totals = replace(partial, df=partial.df.groupBy(*keys).agg(F.sum("n").alias("total")))
+    return replace(partial, df=top_k(partial.df.drop("n"), limit, id_col=id_col)), totals
+
+
 def rank(
     docs: DataFrame,
     queries: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,17 +62,42 @@ def search_products(
     """Shaped result rows with the total and returned counts per query."""
     chosen = [strategy(name)]
     prepared = lexical.prepare(catalog, queries, chosen)
-    scored = lexical.score(catalog, prepared, chosen, as_of)
-    totals = scored.groupBy("strategy", "qid").agg(F.count(F.lit(1)).alias("total"))
-    hits = scale.settle(lexical.top_k(scored, size))
+    hits, totals = lexical.hits_and_totals(lexical.score(catalog, prepared, chosen, as_of), size)
     return _shape(catalog, hits, totals)
 
 
-def _shape(catalog: DataFrame, hits: scale.Settled, totals: DataFrame) -> DataFrame:
+def _shape(catalog: DataFrame, hits: scale.Settled, totals: scale.Settled) -> DataFrame:
     rows = scale.join_settled(catalog, hits, ["product_id"])
-    counts = hits.df.groupBy("strategy", "qid").agg(F.count(F.lit(1)).alias("count"))
-    return rows.join(counts, ["strategy", "qid"]).join(totals, ["strategy", "qid"]).select(
-        "strategy", "qid", "total", "count", "rank", "score", *shaped_product(catalog))
+    counts = replace(hits, df=hits.df.groupBy("strategy", "qid").agg(F.count(F.lit(1)).alias("count")))
+    rows = scale.join_settled(scale.join_settled(rows, counts, ["strategy", "qid"]), totals, ["strategy", "qid"])
+    return rows.select("strategy", "qid", "total", "count", "rank", "score", *shaped_product(catalog))
+
+
+def search_requests(catalog: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Search over a request table where every row names its own strategy, size and filters.
+
+    ``requests`` has ``qid`` and ``query`` and may have ``strategy``, ``size`` and the filter columns; what is missing or
+    null takes its default.  One scoring serves all strategies and gives hits and totals.  A size
+    outside 1 to ``MAX_SIZE`` or an unknown strategy fails; a request that matches nothing has no row.
+    """
+    def given(name: str, default: Column) -> Column:
+        return F.coalesce(F.col(name), default) if name in requests.columns else default
+
+    known = F.col("strategy").isin(*STRATEGIES)
+    fair = F.col("size").between(1, MAX_SIZE)
+    bad = F.raise_error(F.format_string("request %s: strategy or size is not allowed", F.col("qid").cast("string"))).cast("boolean")
+    asked = scale.settle(requests.withColumns({"strategy": given("strategy", F.lit(DEFAULT_STRATEGY)), "size": given("size", F.lit(10))}).where(
+        F.when(known & fair, F.lit(True)).otherwise(bad)))
+    # At most as many as there are strategies.
+    names = sorted(r[0] for r in asked.df.select("strategy").distinct().collect())
+    if not names:
+        names = [DEFAULT_STRATEGY]
+    chosen = [strategy(n) for n in names]
+    prepared = lexical.prepare(catalog, asked.df, chosen)
+    hits, totals = lexical.hits_and_totals(lexical.score(catalog, prepared, chosen, as_of), MAX_SIZE)
+    sizes = replace(asked, df=asked.df.select("strategy", "qid", "size"))
+    cut = scale.join_settled(hits.df, sizes, ["strategy", "qid"]).where(F.col("rank") <= F.col("size")).drop("size")
+    return _shape(catalog, replace(hits, df=cut), totals)
 
 
 def product_search(

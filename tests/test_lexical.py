@@ -189,3 +189,30 @@ def test_corpus_is_shuffled_once(spark, catalog):
     assert physical.count("REPARTITION_BY_NUM") == 1
     assert physical.count("WindowGroupLimit") >= 2
     assert "CartesianProduct" not in physical and "BroadcastNestedLoopJoin" not in physical
+
+
+def test_requests_with_their_own_strategy_and_size(spark, catalog):
+    asked = spark.createDataFrame([
+        ("a", "coffee", "baseline_bm25", 1, None), ("b", "red cofee", "boosted_bm25", 2, None), ("c", "coffee", None, None, None), ("d", "", "boosted_lexical", 3, None),
+        ("e", "nothing like it", "baseline_bm25", 5, None)], "qid string, query string, strategy string, size int, f_brand string")
+    at = F.lit("2026-02-01").cast("timestamp")
+    got = {}
+    for r in st.search_requests(catalog, asked, at).orderBy("rank").collect():
+        got.setdefault((r.qid, r.strategy, r.total), []).append((r.productId, r.score))
+    for qid, text, name, size in (("a", "coffee", "baseline_bm25", 1), ("b", "red cofee", "boosted_bm25", 2), ("c", "coffee", "enriched_profile", 10), ("d", "", "boosted_lexical", 3)):
+        one = spark.createDataFrame([(qid, text)], "qid string, query string")
+        every = lexical.rank(catalog, one, [st.strategy(name)], 1000, at).orderBy("rank").collect()
+        assert got[qid, name, len(every)] == [(r.product_id, r.score) for r in every[:size]] and every
+    assert {k[0] for k in got} == set("abcd")
+    with pytest.raises(Exception, match="not allowed"):
+        st.search_requests(catalog, asked.where("qid = 'a'").withColumn("size", F.lit(51)), at)
+
+
+def test_hits_and_totals_hand_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "HELD_ROWS", 3)
+    rows = spark.range(500).select(F.lit("s").alias("strategy"), (F.col("id") % 7).alias("qid"), F.col("id").cast("string").alias("product_id"), (F.col("id") % 50).cast("double").alias("score"))
+    monkeypatch.setattr(lexical, "HELD_ROWS", 3)
+    hits, totals = lexical.hits_and_totals(rows.repartition(3), 4)
+    want = lexical.top_k(rows, 4).orderBy("qid", "rank").collect()
+    assert [tuple(r) for r in hits.df.orderBy("qid", "rank").collect()] == [tuple(r) for r in want]
+    assert {r.qid: r.total for r in totals.df.collect()} == {q: len(range(q, 500, 7)) for q in range(7)}
