@@ -14,9 +14,10 @@ from shelfmark import scale
 from shelfmark.functions.text import utc_text
 from shelfmark.operators import events as ev
 from shelfmark.operators import gate, latency, lexical, metrics, rerank, tune, vector_index, vectors
-from shelfmark.plans import evaluate, hybrid
+from shelfmark.plans import evaluate, hybrid, tuning
 from shelfmark.plans import strategies as st
 from shelfmark.sources.buckets import BucketedTable
+from shelfmark.sources.experiments import ExperimentStore
 from shelfmark.streaming.keyed import KeyedReplay
 from shelfmark.streaming.replay import StreamReplay
 
@@ -476,6 +477,17 @@ def tune_decisions(spark, d):
         "candidate_no", "key", "precision_at_5", "delta", "gate_passed", "kept", "reason")
 
 
+@query()
+def tune_rounds(spark, d):
+    """Two rounds over one log: the second proposes what the first did not try.  What is proposed depends on what was kept; tested against the rules."""
+    log = ExperimentStore(spark, f"{scale.ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}")
+    for day in (1, 2):
+        tuning.tune_round(
+            log, v.catalog(spark, d), v.catalog_queries(spark, d).select("qid", "query"), v.judgments(spark, d), _TUNED,
+            F.lit(f"2026-01-0{day}T00:00:00Z"), 0.4, 0.3, judged_by="qid")
+    return log.all().select("id", "timestamp", F.round(F.col("metrics")["precision_at_5"], 9).alias("precision_at_5"), "gate_passed", "note")
+
+
 # --- change replay ----------------------------------------------------------------
 
 REPLAY = f"WITH {v.CHANGES.strip()}, {v.TARGET.strip()}"
