@@ -7,6 +7,15 @@ from collections.abc import Sequence
 from registry.views import AS_OF
 from shelfmark.operators.lexical import Strategy
 
+# Fixed values, written out again so that a change of a boost or an option in the library turns a row red.
+EXPECTED = {s.name: s for s in (
+    Strategy("baseline_bm25", {"title": 4.0, "brand": 2.0, "category": 1.5, "description": 0.8, "catalog_text": 0.5}, "and"),
+    Strategy("boosted_bm25", {"title": 4.0, "brand": 2.0, "category": 1.5, "description": 1.0, "catalog_text": 0.8}, "or", 75, True, 0.01, 0.1),
+    Strategy("enriched_profile", {"search_profile": 3.0, "title": 2.0, "category": 1.5, "brand": 1.0, "description": 0.5}, "or", 70, True),
+    Strategy("baseline_lexical", {"title": 4.0, "brand": 2.0, "category": 1.5, "description": 0.8, "catalog_text": 0.5}, "and"),
+    Strategy("boosted_lexical", {"title": 4.0, "brand": 2.0, "category": 1.5, "description": 0.8, "catalog_text": 0.5}, "and", None, False, 0.02, 0.2),
+)}
+
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 
 

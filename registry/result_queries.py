@@ -120,12 +120,12 @@ def fused(df):
     return df.select("qid", "product_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 9).alias("score"))
 
 
-@query(f"""{CAT}{rs.ranking([st.strategy('boosted_lexical')], 10)}, {near_sql(10)}, {fused_sql('ranking', 'near', 10)}""")
+@query(f"""{CAT}{rs.ranking([rs.EXPECTED['boosted_lexical']], 10)}, {near_sql(10)}, {fused_sql('ranking', 'near', 10)}""")
 def hybrid_rrf(spark, d):
     return fused(hybrid.hybrid(v.catalog(spark, d), v.catalog_queries(spark, d), v.as_of()))
 
 
-@query(f"""{CAT}{rs.ranking([st.strategy('baseline_lexical')], 50)}, {near_sql(50)}, {fused_sql('ranking', 'near', 10)}""")
+@query(f"""{CAT}{rs.ranking([rs.EXPECTED['baseline_lexical']], 50)}, {near_sql(50)}, {fused_sql('ranking', 'near', 10)}""")
 def windowed_rrf(spark, d):
     return fused(hybrid.hybrid(v.catalog(spark, d), v.catalog_queries(spark, d), v.as_of(), window=50))
 
@@ -265,7 +265,7 @@ def rerank_summary(spark, d):
 
 # --- metrics --------------------------------------------------------------------
 
-_STRATS = [st.strategy(n) for n in st.EVALUATED]
+_STRATS = [rs.EXPECTED[n] for n in st.EVALUATED]
 EVAL = f"{CAT}{rs.ranking(_STRATS, 10)}, {v.JUDGMENTS.strip()}, {metric_sql('ranking', repr(list(st.EVALUATED))).strip()}"
 REPORT = ", ".join(f"{r9(m)} AS {m}" for m in metrics.REPORT_METRICS)
 

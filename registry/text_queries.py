@@ -28,8 +28,7 @@ def shown(ranking):
 
 
 def _catalog_ranking(names, size=10):
-    chosen = [st.strategy(n) for n in names]
-    return f"{CAT}{rs.ranking(chosen, size)} {RANKED}"
+    return f"{CAT}{rs.ranking([rs.EXPECTED[n] for n in names], size)} {RANKED}"
 
 
 @query(f"WITH {DOCS.strip()}, {rs.ranking([MATCH], 10, 'docs')} {RANKED}")
@@ -61,7 +60,7 @@ def baseline_bm25(spark, d):
     return shown(st.search_all(v.catalog(spark, d), v.catalog_queries(spark, d), ["baseline_bm25"]))
 
 
-@query(f"{CAT}{rs.ranking([MSM], 10)} {RANKED}")
+@query(f"{CAT}{rs.ranking([Strategy('msm_75', rs.EXPECTED['baseline_bm25'].boosts, match_percent=75)], 10)} {RANKED}")
 def minimum_should_match(spark, d):
     return shown(lexical.rank(v.catalog(spark, d), v.catalog_queries(spark, d), [MSM], 10))
 
@@ -134,13 +133,13 @@ _BOOSTED = st.strategy("boosted_lexical")
 
 
 @query(f"""WITH {v.CATALOG.strip()}, {REQUESTS.strip()},
-queries AS (SELECT qid, query FROM requests), {rs.scored([_BOOSTED])},
+queries AS (SELECT qid, query FROM requests), {rs.scored([rs.EXPECTED['boosted_lexical']])},
 best AS (
   SELECT strategy, qid, product_id, max(field_score) AS top FROM fields GROUP BY ALL
   UNION ALL
   SELECT 'boosted_lexical', qid, product_id, 1.0 FROM requests, catalog WHERE trim(requests.query) = ''),
 matched AS (
-  SELECT strategy, best.qid, best.product_id, round(top + {rs.boost_sql([_BOOSTED])}, 6) AS score
+  SELECT strategy, best.qid, best.product_id, round(top + {rs.boost_sql([rs.EXPECTED['boosted_lexical']])}, 6) AS score
   FROM best JOIN catalog c ON best.product_id = c.product_id JOIN requests r ON best.qid = r.qid
   WHERE (f_category IS NULL OR lower(c.category) = lower(f_category)) AND (f_brand IS NULL OR lower(c.brand) = lower(f_brand))
     AND (f_availability IS NULL OR c.availability = f_availability)
@@ -153,7 +152,7 @@ def filtered_search(spark, d):
     return shown(st.product_search(v.catalog(spark, d), requests(spark, d), True, 10, v.as_of()))
 
 
-@query(f"""{CAT}{rs.ranking([st.strategy('enriched_profile')], 10)},
+@query(f"""{CAT}{rs.ranking([rs.EXPECTED['enriched_profile']], 10)},
 totals AS (SELECT qid, count(*) AS total FROM matched GROUP BY qid),
 counts AS (SELECT qid, count(*) AS n FROM ranking GROUP BY qid)
 SELECT r.strategy, r.qid, CAST(total AS BIGINT) AS total, CAST(n AS BIGINT) AS "count", CAST(rank AS BIGINT) AS rank, score,
@@ -173,7 +172,7 @@ def map_text(name):
     return F.array_join(cells, ";")
 
 
-@query(f"""{CAT}{rs.ranking([st.strategy('enriched_profile')], 3)},
+@query(f"""{CAT}{rs.ranking([rs.EXPECTED['enriched_profile']], 3)},
 shown AS (
   SELECT h.strategy, h.qid, h.product_id, r.rank, h.field, h.clause, h.term, h.tf, h.df, h.idf, h.boost, h.contribution,
     round(f.field_score, 6) AS field_score
@@ -200,7 +199,10 @@ def facet_brand(spark, d):
 _TUNED = st.tunable("boosted_bm25", {**st.BOOSTED_BOOSTS, "title": 6.0})
 
 
-@query(f"{CAT}{rs.ranking([_TUNED], 10)} {RANKED}")
+_TUNED_SQL = Strategy("boosted_bm25", {**rs.EXPECTED["boosted_bm25"].boosts, "title": 6.0}, "or", 75, True)
+
+
+@query(f"{CAT}{rs.ranking([_TUNED_SQL], 10)} {RANKED}")
 def tunable_search(spark, d):
     return shown(lexical.rank(v.catalog(spark, d), v.catalog_queries(spark, d), [_TUNED], 10))
 
@@ -232,7 +234,7 @@ def indexed_requests(spark, d):
 _MIXED = "CASE length(qid) % 3 WHEN 0 THEN 'baseline_bm25' WHEN 1 THEN 'boosted_bm25' ELSE 'enriched_profile' END"
 
 
-@query(f"""{CAT}{rs.ranking([st.strategy(n) for n in st.EVALUATED], 50)},
+@query(f"""{CAT}{rs.ranking([rs.EXPECTED[n] for n in st.EVALUATED], 50)},
 totals AS (SELECT strategy, qid, count(*) AS total FROM matched GROUP BY strategy, qid)
 SELECT r.strategy, r.qid, CAST(total AS BIGINT) AS total, CAST(least(total, 1 + length(r.qid) % 12) AS BIGINT) AS "count", CAST(rank AS BIGINT) AS rank, score,
   product_id AS "productId" FROM ranking r JOIN totals t ON r.strategy = t.strategy AND r.qid = t.qid

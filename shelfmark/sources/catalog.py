@@ -58,7 +58,12 @@ def update_column(
     the updates must not repeat an id in different versions.
     """
     value = F.struct(F.col(column).alias("v"))
-    newest = F.max_by(value, seq) if seq in updates.columns else F.first(value)
+    if seq in updates.columns:
+        newest = F.max_by(value, seq)
+    else:
+        version = F.xxhash64(column)
+        clash = F.raise_error(F.format_string("updates of %s differ and have no order", F.first(F.col(id_col).cast("string"))))
+        newest = F.when(F.min(version) == F.max(version), F.first(value)).otherwise(clash.cast(updates.select(value.alias("v")).schema["v"].dataType))
     new = updates.groupBy(id_col).agg(newest.alias("_new"))
     joined = catalog.join(new, id_col, "left")
     old = F.col(column) if column in catalog.columns else F.lit(None)

@@ -256,3 +256,13 @@ def test_json_types_of_every_event_field(spark, tmp_path):
     got = lines.read_events(spark, path, strict=False).orderBy("seq").collect()
     assert [r.errors for r in got] == [errors for _, errors in cases]
     assert [r.source_version for r in got[3:5]] == [4, 4]
+
+
+def test_updates_without_order_must_agree(spark):
+    from shelfmark.sources.catalog import update_column
+
+    catalog = spark.createDataFrame([("a",), ("b",)], "product_id string")
+    same = spark.createDataFrame([("a", [1.0]), ("a", [1.0])], "product_id string, embedding array<double>")
+    assert {r.product_id: r.embedding for r in update_column(catalog, same)[0].collect()} == {"a": [1.0], "b": None}
+    with pytest.raises(Exception, match="have no order"):
+        update_column(catalog, same.unionByName(spark.createDataFrame([("a", [2.0])], same.schema)))[0].collect()
