@@ -107,6 +107,28 @@ def opened(index: VectorIndex, queries: np.ndarray, num_candidates: int) -> np.n
     return out
 
 
+def calibrate(index: VectorIndex, k: int, recall: float = 0.95, queries: int = 200) -> int:
+    """Candidates with which a search finds about this share of the true ``k`` nearest.
+
+    Measured on at most ``queries`` of the stored rows against the exact search over all rows: for each
+    true neighbour, how many candidates must be allowed until its folder is opened.
+    """
+    rows = index.rows.select(F.col(index.id_col).alias("id"), "vector", "list")
+    asked = scale.settle(rows.orderBy(F.xxhash64(F.lit(11), "id")).limit(queries).select(F.col("id").alias("qid"), "vector")).df
+    near = vectors.knn(rows, asked, k, "id", "qid", "vector").select("qid", "id")
+    where = near.join(rows.select("id", "list"), "id").select("qid", "list").toPandas()  # queries * k rows
+    if not len(where):
+        return k
+    sample = asked.toPandas()
+    scores = vectors._unit_rows(sample["vector"]) @ index.centroids.T
+    order = np.argsort(-scores, axis=1, kind="stable")
+    before = np.zeros(scores.shape, np.int64)
+    np.put_along_axis(before, order, np.cumsum(index.sizes[order], axis=1) - index.sizes[order], axis=1)
+    place = {q: i for i, q in enumerate(sample["qid"])}
+    needed = np.sort([before[place[q], f] + 1 for q, f in zip(where["qid"], where["list"], strict=True)])
+    return max(k, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]))
+
+
 def search(
     index: VectorIndex, queries: DataFrame, k: int, num_candidates: int = 100, qid_col: str = "qid", vector: str = "embedding", block_bytes: int | None = None,
 ) -> DataFrame:

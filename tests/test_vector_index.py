@@ -67,3 +67,28 @@ def test_copies_and_empty(spark, tmp_path):
     assert [r.product_id for r in got] == ["p00000", "p00200", "p00201", "p00202", "p00203"]
     none = vi.write_vector_index(docs.where("false"), str(tmp_path / "b"))
     assert vi.search(none, asked(docs), 5).collect() == [] and vi.search(index, asked(docs).where("false"), 5).collect() == []
+
+
+@pytest.mark.parametrize("spread", [0.2, 3.0])
+def test_calibrated_recall(spark, tmp_path, spread):
+    """Clear clusters need few candidates, near noise needs many; either way the recall asked for is reached."""
+    draw = np.random.default_rng(9)
+    rows = draw.standard_normal((20, 12))[draw.integers(0, 20, 1500)] + spread * draw.standard_normal((1500, 12))
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "product_id bigint, embedding array<double>")
+    index = vi.write_vector_index(docs, str(tmp_path))
+    candidates = vi.calibrate(index, 10, 0.95, 150)
+    asked_ = docs.where("product_id % 10 = 0").select(F.col("product_id").alias("qid"), "embedding")
+    exact = {(r.qid, r.product_id) for r in vectors.knn(docs, asked_, 10).collect()}
+    found = {(r.qid, r.product_id) for r in vi.search(index, asked_, 10, candidates).collect()}
+    assert len(found & exact) >= 0.9 * len(exact) and candidates < len(rows)
+
+
+def test_registered_recall(spark):
+    from registry import all_queries
+
+    folder = "/root/testdata/sf0.01"
+    found = {(r.qid, r.product_id) for r in all_queries()["knn_candidates"](spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    exact = vectors.knn(rows.select(F.col("vec_id").alias("product_id"), "embedding"), rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 10)
+    exact = {(r.qid, r.product_id) for r in exact.collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
