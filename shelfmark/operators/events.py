@@ -7,6 +7,7 @@ running maximum per (product, source).
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +64,56 @@ def known_versions(catalog: DataFrame) -> DataFrame:
         "product_id", "source_system", parse_version(F.col("text")).alias("current"))
 
 
+def arrival_slices(events: DataFrame, slices: int, rounds: int = 4) -> DataFrame:
+    """Events with ``_slice``: successive stretches of the arrival order that hold like numbers of rows.
+
+    The cuts are quantiles of a sketch, so gaps and clusters in ``seq`` do not
+    matter.  An exact count checks them: a slice of more than twice its share is
+    cut again, unless it holds one ``seq`` only.  Cuts never change an outcome.
+    """
+    seq = events.select("seq").where("seq IS NOT NULL")
+
+    def quantiles(column: Column, parts: int) -> Column:
+        return F.percentile_approx(column, [i / parts for i in range(1, parts)], max(1000, 4 * parts))
+
+    def sliced(df: DataFrame, cuts: list[float]) -> DataFrame:
+        ends = [float("-inf"), *cuts, float("inf")]
+        if len(ends) < 3:
+            return df.withColumn("_slice", F.when(F.col("seq").isNotNull(), F.lit(0)))
+        cut = Bucketizer(splits=ends, inputCol="seq", outputCol="_slice", handleInvalid="keep").transform(df)
+        return cut.withColumn("_slice", F.when(F.col("seq").isNotNull(), F.col("_slice").cast("int")))
+
+    if slices < 2:
+        return sliced(events, [])
+    cuts = sorted(set(map(float, seq.agg(quantiles(F.col("seq"), slices)).head()[0] or [])))
+    for _ in range(rounds):
+        sizes = sliced(seq, cuts).groupBy("_slice").agg(
+            F.count(F.lit(1)).alias("n"), (F.min("seq").cast("double") < F.max("seq").cast("double")).alias("several")).collect()
+        share = sum(r["n"] for r in sizes) / slices
+        large = {r["_slice"]: -int(-r["n"] // share) for r in sizes if r["n"] > 2 * share and r["several"]}
+        if not large:
+            break
+        again = sliced(seq, cuts).where(F.col("_slice").isin(list(large))).groupBy("_slice").agg(
+            quantiles(F.col("seq"), max(large.values())).alias("cuts"), F.min("seq").alias("low"))
+        # The lowest value can't part a slice, so the next one up does where a quantile falls on it.
+        more = {float(c) if c > r["low"] else float(c) + 1 for r in again.collect() for c in r["cuts"]}
+        if more <= set(cuts):
+            break
+        cuts = sorted({*cuts, *more})
+    return sliced(events, cuts)
+
+
 def outcomes(events: DataFrame, catalog: DataFrame, slices: int | None = None) -> DataFrame:
     """Events with ``outcome`` updated / skipped_stale / failed.
 
     The running maximum is taken in two steps: inside a slice of the arrival
-    order, and over the slices' own maxima (at most ``slices`` rows per product
-    and source).  A product with a large share of all changes is thereby spread
+    order, and over the slices' own maxima (about ``slices`` rows per product
+    and source).  Slices hold like numbers of rows (``arrival_slices``).  A product with a large share of all changes is thereby spread
     over the slices (by default as many as shuffle partitions) instead of being
     sorted in one task.  Catalog facts join the maxima, not the changes.
     """
     slices = slices or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    span = events.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).head()
-    first, last = int(span["a"] or 0), int(span["b"] or 0)
-    width = max(1, -(-(last - first + 1) // slices))
-    sliced = events.withColumn("_slice", ((F.col("seq") - F.lit(first)) / F.lit(width)).cast("int"))
+    sliced = arrival_slices(events, slices)
 
     key = ["product_id", "source_system"]
     in_slice = Window.partitionBy(*key, "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -123,3 +123,37 @@ def test_stream_equals_batch(spark, catalog, tmp_path):
     assert {r["seq"]: r["outcome"] for r in replay.outcomes().collect()} == batch
     expected = ev.replay(catalog, ev.outcomes(df, catalog), as_of()).orderBy("product_id").collect()
     assert replay.current_catalog(as_of()).orderBy("product_id").collect() == expected
+
+
+def test_clustered_arrival_is_cut_into_slices_of_like_size(spark):
+    seqs = [*range(5000), *range(10**12, 10**12 + 300), 10**15, *range(-40, -20)]
+    df = spark.createDataFrame([(x,) for x in seqs], "seq long").repartition(6)
+    got = ev.arrival_slices(df, 20).groupBy("_slice").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("_slice").collect()
+    assert sum(r["n"] for r in got) == len(seqs)
+    assert len(got) >= 15 and max(r["n"] for r in got) <= 2 * len(seqs) / 20
+    assert all(x["b"] < y["a"] for x, y in zip(got, got[1:]))
+
+
+def test_slices_of_repeated_missing_and_no_arrival_numbers(spark):
+    hot = spark.createDataFrame([*((7,) for _ in range(600)), *((7 + i,) for i in range(400)), (None,)], "seq long")
+    got = {r["_slice"]: (r["n"], r["a"]) for r in ev.arrival_slices(hot, 10).groupBy("_slice").agg(F.count("*").alias("n"), F.min("seq").alias("a")).collect()}
+    assert got.pop(None) == (1, None)
+    assert sorted(got.values(), key=lambda x: x[1])[0][1] == 7 and sum(n for n, _ in got.values()) == 1000
+    assert sum(n > 200 for n, _ in got.values()) == 1
+    assert ev.arrival_slices(hot.limit(0), 10).count() == 0
+    assert {r["_slice"] for r in ev.arrival_slices(hot, 1).collect()} == {None, 0}
+
+
+def test_outcomes_of_clustered_arrival_equal_the_loop(spark):
+    catalog = spark.createDataFrame([product("p1"), product("p2", {"a": "3"})], PRODUCT)
+    rng = random.Random(5)
+    seqs = sorted(rng.sample(range(400), 200) + rng.sample(range(10**9, 10**9 + 90), 60))
+    data = [(q, rng.choice(["p1", "p1", "p2", "p9"]), rng.choice("ab"), ev.PRICE, when("2026-05-01 09:00:00"), "{}", rng.randint(1, 30)) for q in seqs]
+    seen, expected = {("p2", "a"): 3}, []
+    for _, p, s, *_, v in data:
+        known = seen.get((p, s))
+        expected.append("failed" if p == "p9" else "skipped_stale" if known is not None and known >= v else "updated")
+        if expected[-1] == "updated":
+            seen[p, s] = v
+    got = ev.outcomes(spark.createDataFrame(data, EVENT).repartition(5), catalog, 9).orderBy("seq").collect()
+    assert [r["outcome"] for r in got] == expected
