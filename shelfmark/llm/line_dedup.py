@@ -5,7 +5,8 @@ generalised first.  In a leaf a template is the line itself, or the line with on
 of three segments of its remaining tokens generalised: lines of a leaf that differ
 inside one segment only share that template.  A template that recurs in
 ``min_docs`` documents stays in the first of them (smallest id) and is dropped from
-every other one.
+every other one; a long one (``long_line`` tokens or more) does so from its second
+document on, as it hardly recurs by chance.
 
 Templates are two hashes of 96 bits in all, counted with map-side partial sums, so
 a line found in a third of all documents is a few rows per task.  What may recur
@@ -14,7 +15,8 @@ exactly.  No group of lines is ever gathered.
 
 Defined cases: a null text stays null, an empty one empty; blank lines stay;
 repeats inside one document stay; rows that share an id are one document (those
-without an id too), and each is cut by its own lines.
+without an id too), and each is cut by its own lines; a very long line is hashed as
+it stands, whatever its length, and a very long text is a row per line.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ NUMERIC = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 UNEVEN = r"[0-9\x09-\x0D]|\x20\x20|^\x20|\x20$"
 FIELD = "<*>"
 SEGMENTS = 3
+#: Tokens from which a line is long.
+LONG_LINE = 20
 
 
 def even(line: Column) -> Column:
@@ -45,8 +49,8 @@ def templates(line: Column, n: Column, depth: int) -> list[Column]:
     return [F.xxhash64(F.lit(0), line), *(F.xxhash64(F.lit(j + 1), head(cut[j]), head(cut[j + 1] - n)) for j in range(SEGMENTS))]
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """One row per document, line and template: ``id``, ``body`` (a hash of the text), ``line``, ``leaf``, ``key``."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int, long_line: int) -> DataFrame:
+    """One row per document, line and template: ``id``, ``body`` (a hash of the text), ``line``, ``long``, ``leaf``, ``key``."""
     lines = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "t"))
     tokens = lines.select("id", "body", "line", even(F.col("t")).alias("t")).where("t != ''")
@@ -54,26 +58,27 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int) -> Data
     exact, *general = templates(F.col("t"), F.col("n"), depth)
     keys = F.when(F.col("n") - depth < SEGMENTS, F.array(exact)).otherwise(F.array(exact, *general))
     leaf = F.hash("n", F.substring_index("t", " ", depth))
-    return counted.select("id", "body", "line", leaf.alias("leaf"), F.explode(keys).alias("key"))
+    return counted.select("id", "body", "line", (F.col("n") >= long_line).alias("long"), leaf.alias("leaf"), F.explode(keys).alias("key"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3, long_line: int = LONG_LINE) -> DataFrame:
     """``id``, ``body`` and the numbers of the lines to drop, for the documents that have any."""
-    lines = occurrences(docs, id_col, text_col, depth)
+    lines = occurrences(docs, id_col, text_col, depth, long_line)
     counts = lines.groupBy("leaf", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("named"))
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("named"), F.bool_and("long").alias("long"))
     several = (F.col("first") != F.col("last")) | ((F.col("named") > 0) & (F.col("named") < F.col("n")))
-    likely = stored(counts.where((F.col("n") >= min_docs) & several).select("leaf", "key", "first"), "likely-templates")
-    hits = stored(lines.join(likely, ["leaf", "key"]), "template-lines")
-    known = hits.select("leaf", "key", "id").distinct().groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    needed = F.when(F.col("long"), min(2, min_docs)).otherwise(min_docs)
+    likely = stored(counts.where((F.col("n") >= needed) & several).select("leaf", "key", "first", needed.alias("needed")), "likely-templates")
+    hits = stored(lines.drop("long").join(likely, ["leaf", "key"]), "template-lines")
+    known = hits.select("leaf", "key", "needed", "id").distinct().groupBy("leaf", "key", "needed").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= F.col("needed"))
     later = ~F.col("id").eqNullSafe(F.col("first"))
     return hits.join(known, ["leaf", "key"], "left_semi").where(later).groupBy("id", "body").agg(F.collect_set("line").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3, long_line: int = LONG_LINE) -> DataFrame:
     """One row per document: ``row`` (its columns), ``id``, ``n_lines``, ``n_removed`` and ``clean_text``."""
     all_rows = rows_of(docs, id_col, text_col).withColumn("body", F.xxhash64("text"))
-    drop = dropped_lines(docs, id_col, text_col, depth, min_docs).select(F.col("id").alias("d_id"), F.col("body").alias("d_body"), "drop")
+    drop = dropped_lines(docs, id_col, text_col, depth, min_docs, long_line).select(F.col("id").alias("d_id"), F.col("body").alias("d_body"), "drop")
     joined = all_rows.join(drop, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("body") == F.col("d_body")), "left")
     lines = F.split("text", "\n", -1)
     clean = F.when(F.col("drop").isNull(), F.col("text")).otherwise(let(F.struct(lines.alias("l"), F.col("drop").alias("d")), lambda x: F.array_join(
@@ -83,13 +88,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"), clean.alias("clean_text"))
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3, long_line: int = LONG_LINE) -> DataFrame:
     """All documents without the dropped lines, in the columns of the input; none is removed."""
-    return with_text(docs, text_col, dedup_lines(docs, id_col, text_col, depth, min_docs), F.col("clean_text"))
+    return with_text(docs, text_col, dedup_lines(docs, id_col, text_col, depth, min_docs, long_line), F.col("clean_text"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3, long_line: int = LONG_LINE) -> DataFrame:
     """As ``drop_lines``, but a document that loses all its words is dropped; those blank on input stay."""
-    found = dedup_lines(docs, id_col, text_col, depth, min_docs)
+    found = dedup_lines(docs, id_col, text_col, depth, min_docs, long_line)
     left = found.where((F.col("n_removed") == 0) | F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"))
     return with_text(docs, text_col, left, F.col("clean_text"))

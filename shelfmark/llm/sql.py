@@ -14,7 +14,7 @@ cuts AS (SELECT doc_id, i, len(w) AS n, w, [2 + (len(w) - 2) * j // 3 FOR j IN r
 keys AS (
   SELECT doc_id, i, n, unnest(list_concat(['0 ' || array_to_string(w, ' ')], CASE WHEN n < 5 THEN [] ELSE [
     j || ' ' || array_to_string(w[1:c[j]], ' ') || chr(1) || array_to_string(w[c[j + 1] + 1:n], ' ') FOR j IN [1, 2, 3]] END)) AS k FROM cuts),
-known AS (SELECT n, k, min(doc_id) AS first FROM keys GROUP BY n, k HAVING count(DISTINCT doc_id) >= 3),
+known AS (SELECT n, k, min(doc_id) AS first FROM keys GROUP BY n, k HAVING count(DISTINCT doc_id) >= CASE WHEN n >= 20 THEN 2 ELSE 3 END),
 dropped AS (SELECT DISTINCT doc_id, i FROM keys JOIN known USING (n, k) WHERE doc_id <> first),
 kept AS (
   SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(d.i) AS BIGINT) AS n_removed,

@@ -39,13 +39,13 @@ def template_keys(line):
     return keys
 
 
-def brute_lines(docs, min_docs=3):
+def brute_lines(docs, min_docs=3, long_line=20):
     holders = collections.defaultdict(set)
     for d, t in docs:
         for line in t.split("\n"):
             for k in template_keys(line):
                 holders[k].add(d)
-    first = {k: min(v) for k, v in holders.items() if len(v) >= min_docs}
+    first = {k: min(v) for k, v in holders.items() if len(v) >= (min(2, min_docs) if k[0] >= long_line else min_docs)}
     return {d: "\n".join(x for x in t.split("\n") if all(first.get(k, d) == d for k in template_keys(x))) for d, t in docs}
 
 
