@@ -38,6 +38,8 @@ BLOCK_ITEMS, BLOCK_CHARS = 4096, 16_000_000
 #: ASCII punctuation and control characters part words.
 PARTING = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 FILTER_BITS = 20
+#: Window starts of a text that are looked at together.
+STRETCH = 1 << 14
 
 
 def hashes(text: str | None, known: WordHashes) -> np.ndarray:
@@ -55,13 +57,42 @@ def simhashes(sequence: np.ndarray, starts: np.ndarray, width: int) -> np.ndarra
     return np.packbits(2 * ones > width, axis=1).view(np.uint64).ravel()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Weighted Jaccard of two shingle sequences, as (sum of minima, sum of maxima)."""
-    x, nx = np.unique(a, return_counts=True)
-    y, ny = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    low = int(np.minimum(nx[i], ny[j]).sum())
-    return low, len(a) + len(b) - low
+def starts_around(places: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Starts of the windows of ``width`` that hold one of the sorted ``places``, of ``n`` positions in all."""
+    low, high = np.maximum(places - width + 1, 0), np.minimum(places, n - width)
+    low = np.maximum(low, np.append(0, high[:-1] + 1))
+    count = np.maximum(high - low + 1, 0)
+    return np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def stretches(starts: np.ndarray, width: int):
+    """Sorted starts in pieces whose windows lie together and span a bounded part of the text."""
+    cut = np.append(True, (np.diff(starts) > width) | (np.diff(starts // STRETCH) > 0)) if len(starts) else np.zeros(0, bool)
+    return np.split(starts, np.flatnonzero(cut)[1:]) if len(starts) else []
+
+
+def overlaps(sequence: np.ndarray, starts: np.ndarray, width: int, item: np.ndarray) -> np.ndarray:
+    """Sum of minima of the windows' and the item's shingle counts, for all ``starts`` at once.
+
+    A shingle that the item holds k times counts in a window for its first k
+    places there, so each place counts for an interval of starts: from behind the
+    k-th place before it up to itself.
+    """
+    first = int(starts[0])
+    part = sequence[first : int(starts[-1]) + width]
+    kinds, held = np.unique(item, return_counts=True)
+    kind = np.minimum(np.searchsorted(kinds, part), len(kinds) - 1)
+    place = np.flatnonzero(kinds[kind] == part)
+    order = np.argsort(kind[place], kind="stable")
+    place, kind = place[order], kind[place][order]
+    before = np.arange(len(place)) - held[kind]
+    same = (before >= 0) & (kind[before] == kind)
+    low = np.maximum(np.where(same, place[before] + 1, 0), np.maximum(place - width + 1, 0))
+    n = len(part) - width + 1
+    high = np.minimum(place, n - 1)
+    counts = low <= high
+    change = np.bincount(low[counts], minlength=n + 1) - np.bincount(high[counts] + 1, minlength=n + 1)
+    return np.cumsum(change)[starts - first]
 
 
 class Items:
@@ -70,10 +101,11 @@ class Items:
     def __init__(self, rows: list[tuple], size: int):
         known = WordHashes()
         self.size = size
-        found = [(i, h) for i, t in rows if len(h := hashes(t, known))]
-        self.ids = [i for i, _ in found]
-        self.words = [len(h) for _, h in found]
-        self.sequences = [shingle_sequence(h, size) for _, h in found]
+        found = [(i, h, *n) for i, t, *n in rows if len(h := hashes(t, known))]
+        self.ids = [row[0] for row in found]
+        self.words = [len(row[1]) for row in found]
+        self.times = [row[2] if len(row) > 2 else 1 for row in found]
+        self.sequences = [shingle_sequence(row[1], size) for row in found]
         self.width = np.array([len(s) for s in self.sequences], np.int64)
         owner = np.repeat(np.arange(len(found)), self.width)
         every = np.concatenate(self.sequences) if found else np.zeros(0, np.uint64)
@@ -121,15 +153,14 @@ class Items:
         best: dict[int, tuple] = {}
         for width, places in hits.items():
             w = min(width, len(sequence))
-            p = np.array(sorted(places))
-            starts = np.unique(np.clip(p[:, None] - np.arange(w), 0, len(sequence) - w))
-            for start, value in zip(starts.tolist(), simhashes(sequence, starts, w), strict=True):
-                for item in self.candidates(value).tolist():
-                    if self.width[item] != width:
-                        continue
-                    low, high = similarity(sequence[start : start + w], self.sequences[item])
-                    if 100 * low >= percent * high and (item not in best or low * best[item][3] > best[item][2] * high):
-                        best[item] = (start, min(self.words[item], len(words)), low, high)
+            for starts in stretches(starts_around(np.array(sorted(places)), w, len(sequence)), w):
+                near_starts: dict[int, list] = {}
+                for start, value in zip(starts.tolist(), simhashes(sequence, starts, w), strict=True):
+                    for item in self.candidates(value).tolist():
+                        if self.width[item] == width:
+                            near_starts.setdefault(item, []).append(start)
+                for item, at in near_starts.items():
+                    self.verify(sequence, np.array(at), item, len(words), percent, best)
         self.beyond(sequence, near, lo, hi, len(words), percent, best)
         return [(item, *best[item]) for item in sorted(best)]
 
@@ -147,22 +178,29 @@ class Items:
                 continue
             p = place[at : at + count]
             # Of the windows that are full enough, each starts at most a window before a place.
-            starts = np.unique(np.clip(p[:, None] - np.arange(w), 0, len(sequence) - w))
+            starts = starts_around(p, w, len(sequence))
             starts = starts[np.searchsorted(p, starts + w) - np.searchsorted(p, starts) >= need]
-            if not len(starts):
-                continue
-            for start in starts[np.bitwise_count(simhashes(sequence, starts, w) ^ self.prints[item]) > RADIUS].tolist():
-                low, high = similarity(sequence[start : start + w], self.sequences[item])
-                if 100 * low < percent * high:
-                    continue
-                old = best.get(item)
-                if old is None or low * old[3] > old[2] * high or (low * old[3] == old[2] * high and start < old[0]):
-                    best[item] = (start, min(self.words[item], n_words), low, high)
+            for piece in stretches(starts, w):
+                far = piece[np.bitwise_count(simhashes(sequence, piece, w) ^ self.prints[item]) > RADIUS]
+                if len(far):
+                    self.verify(sequence, far, item, n_words, percent, best)
+
+    def verify(self, sequence: np.ndarray, starts: np.ndarray, item: int, n_words: int, percent: int, best: dict[int, tuple]) -> None:
+        """Put the most similar window (the first of equals) of ``starts`` into ``best`` if it is similar enough."""
+        own = self.sequences[item]
+        w = min(len(own), len(sequence))
+        for piece in stretches(starts, w):
+            low = overlaps(sequence, piece, w, own)
+            at = int(low.argmax())
+            start, most, total = int(piece[at]), int(low[at]), w + len(own)
+            old = best.get(item)
+            if 100 * most >= percent * (total - most) and (old is None or most > old[2] or (most == old[2] and start < old[0])):
+                best[item] = (start, min(self.words[item], n_words), most, total - most)
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
-    """The benchmark in blocks that hold a bounded number of items and characters each."""
-    rows = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    """The benchmark in blocks that hold a bounded number of different items and characters each, with their numbers of equal rows."""
+    rows = benchmark.groupBy(F.col(item_col).alias("item"), F.col(text_col).alias("text")).agg(F.count(F.lit(1)).alias("times"))
     n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
     count = max(1, -(-2 * n // BLOCK_ITEMS) if n > BLOCK_ITEMS else 1, -(-2 * chars // BLOCK_CHARS) if chars > BLOCK_CHARS else 1)
     for b in range(count):
@@ -187,8 +225,8 @@ def contaminated(
                 out, of = [], []
                 for i, text in enumerate(batch.column(2)):
                     for item, start, n, low, high in items.matches(text.as_py(), known, percent):
-                        out.append((items.ids[item], start, n, low / high))
-                        of.append(i)
+                        out += [(items.ids[item], start, n, low / high)] * items.times[item]
+                        of += [i] * items.times[item]
                 if out:
                     columns, take = list(zip(*out, strict=True)), pa.array(of)
                     yield pa.RecordBatch.from_arrays([
