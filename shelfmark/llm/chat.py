@@ -6,6 +6,11 @@ turn and the repeated history fit the budget.  Every window but the first repeat
 the system turn (a first turn with that role) and a limited history; repeated
 turns are masked, so each assistant text is a target exactly once.
 
+A turn counts as many tokens as its written form has UTF-8 bytes.  No byte-level
+tokenizer takes more, so no window of several turns exceeds the budget, whatever
+the script.  Exact counts can be given as a column; then only marks, role and
+escapes count by their bytes, and windows are fuller.
+
 A turn is written ``<s>role[INST]text[/INST]</s>``.  Inside roles and texts a control
 string gets a backslash before its last character, and one that has backslashes
 there gets one more; taking one away is the exact inverse.
@@ -16,7 +21,8 @@ of conversations.
 
 Defined cases: a null role or text is empty; turns with equal numbers are ordered
 by role and text, null numbers come first; a turn above the budget has a window of
-its own.
+its own; a missing or negative token count is taken by bytes; other columns of the
+input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +36,6 @@ from shelfmark.llm.common import let
 OPEN, BODY, SHUT, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = r"(</?s|\[/?INST)(\\*)([>\]])"
 ESCAPED = r"(</?s|\[/?INST)\\(\\*)([>\]])"
-#: Estimated tokens: stretches of letters and digits, and other marks; and those of a turn's own marks.
-TOKEN, MARKS = r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]", 8
 
 
 def escape(text: Column) -> Column:
@@ -42,14 +46,17 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
-def turns_of(conversations: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+def turns_of(conversations: DataFrame, conv: str, turn: str, role: str, text: str, tokens: str | None) -> DataFrame:
     """``conv`` and its turns in order, each with its written form and prefix sums of tokens and characters."""
+    given = F.col(tokens).cast("long") if tokens else F.lit(None).cast("long")
     rows = conversations.select(
-        F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+        F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"),
+        F.when(given >= 0, given).alias("given"))
     written = rows.select(
-        "conv", "turn", "role", "text", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(BODY)).alias("head"), escape(F.col("text")).alias("body"),
-        (F.regexp_count("text", F.lit(TOKEN)) + MARKS).cast("long").alias("tokens"))
+        "conv", "turn", "role", "text", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(BODY)).alias("head"), escape(F.col("text")).alias("body"), "given")
     piece = F.concat("head", "body", F.lit(SHUT + CLOSE))
+    size = F.octet_length(piece).cast("long")
+    written = written.withColumn("tokens", F.coalesce(F.col("given") + size - F.octet_length("text"), size))
     order = W.partitionBy("conv").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = written.select(
         "conv", piece.alias("piece"), F.length("head").cast("long").alias("at"), F.length("body").cast("long").alias("length"),
@@ -97,10 +104,13 @@ def written_window(t: Column, start: Column, stop: Column, number: Column, histo
 
 def chat_windows(
     conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    budget: int = 2048, history: int = 512, history_turns: int = 4,
+    budget: int = 2048, history: int = 512, history_turns: int = 4, tokens: str | None = None,
 ) -> DataFrame:
-    """One row per window: ``conv``, ``window``, ``text``, ``loss`` (start, length in code points), ``n_repeated``, ``n_tokens``."""
-    turns = turns_of(conversations, conv, turn, role, text)
+    """One row per window: ``conv``, ``window``, ``text``, ``loss`` (start, length in code points), ``n_repeated``, ``n_tokens``.
+
+    ``tokens`` names a column with each text's exact number of tokens, if there is one.
+    """
+    turns = turns_of(conversations, conv, turn, role, text, tokens)
     windows = let(F.struct(F.col("t"), window_starts(F.col("t"), budget, history).alias("starts")), lambda x: F.transform(
         x["starts"], lambda s, k: written_window(
             x["t"], s, F.coalesce(F.get(x["starts"], k + 1) - 1, F.size(x["t"])), k, history, history_turns)))
