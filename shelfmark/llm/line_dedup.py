@@ -8,7 +8,7 @@ inside one segment only share that template.  A template that recurs in
 every other one; a long one (``long_line`` tokens or more) does so from its second
 document on, as it hardly recurs by chance.
 
-Templates are two hashes of 96 bits in all, counted with map-side partial sums, so
+Templates are two hashes of 95 bits in all, counted with map-side partial sums, so
 a line found in a third of all documents is a few rows per task.  What may recur
 (several occurrences, several ids) is joined back and its documents are counted
 exactly.  No group of lines is ever gathered.
@@ -50,27 +50,27 @@ def templates(line: Column, n: Column, depth: int) -> list[Column]:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, depth: int, long_line: int) -> DataFrame:
-    """One row per document, line and template: ``id``, ``body`` (a hash of the text), ``line``, ``long``, ``leaf``, ``key``."""
+    """One row per document, line and template: ``id``, ``body`` (a hash of the text), ``line``, ``leaf``, ``key``."""
     lines = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "t"))
     tokens = lines.select("id", "body", "line", even(F.col("t")).alias("t")).where("t != ''")
     counted = tokens.select("*", (F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).alias("n"))
     exact, *general = templates(F.col("t"), F.col("n"), depth)
     keys = F.when(F.col("n") - depth < SEGMENTS, F.array(exact)).otherwise(F.array(exact, *general))
-    leaf = F.hash("n", F.substring_index("t", " ", depth))
-    return counted.select("id", "body", "line", (F.col("n") >= long_line).alias("long"), leaf.alias("leaf"), F.explode(keys).alias("key"))
+    leaf = F.shiftleft(F.hash("n", F.substring_index("t", " ", depth)), 1).bitwiseOR((F.col("n") >= long_line).cast("int"))
+    return counted.select("id", "body", "line", leaf.alias("leaf"), F.explode(keys).alias("key"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, min_docs: int = 3, long_line: int = LONG_LINE) -> DataFrame:
     """``id``, ``body`` and the numbers of the lines to drop, for the documents that have any."""
     lines = occurrences(docs, id_col, text_col, depth, long_line)
     counts = lines.groupBy("leaf", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("named"), F.bool_and("long").alias("long"))
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.count("id").alias("named"))
     several = (F.col("first") != F.col("last")) | ((F.col("named") > 0) & (F.col("named") < F.col("n")))
-    needed = F.when(F.col("long"), min(2, min_docs)).otherwise(min_docs)
-    likely = stored(counts.where((F.col("n") >= needed) & several).select("leaf", "key", "first", needed.alias("needed")), "likely-templates")
-    hits = stored(lines.drop("long").join(likely, ["leaf", "key"]), "template-lines")
-    known = hits.select("leaf", "key", "needed", "id").distinct().groupBy("leaf", "key", "needed").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= F.col("needed"))
+    needed = F.when(F.col("leaf").bitwiseAND(1) == 1, min(2, min_docs)).otherwise(min_docs)
+    likely = stored(counts.where((F.col("n") >= needed) & several).select("leaf", "key", "first"), "likely-templates")
+    hits = stored(lines.join(likely, ["leaf", "key"]), "template-lines")
+    known = hits.select("leaf", "key", "id").distinct().groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= needed)
     later = ~F.col("id").eqNullSafe(F.col("first"))
     return hits.join(known, ["leaf", "key"], "left_semi").where(later).groupBy("id", "body").agg(F.collect_set("line").alias("drop"))
 
