@@ -85,8 +85,9 @@ def overlaps(sequence: np.ndarray, starts: np.ndarray, width: int, item: np.ndar
     place = np.flatnonzero(kinds[kind] == part)
     order = np.argsort(kind[place], kind="stable")
     place, kind = place[order], kind[place][order]
-    before = np.arange(len(place)) - held[kind]
-    same = (before >= 0) & (kind[before] == kind)
+    back = np.arange(len(place)) - held[kind]
+    before = np.maximum(back, 0)
+    same = (back >= 0) & (kind[before] == kind)
     low = np.maximum(np.where(same, place[before] + 1, 0), np.maximum(place - width + 1, 0))
     n = len(part) - width + 1
     high = np.minimum(place, n - 1)

@@ -63,3 +63,8 @@ def test_equal_items_are_one_entry_and_a_row_each(spark):
     bench = spark.createDataFrame([(7, text)] * 3 + [(8, text), (9, None), (None, text)], "item_id bigint, text string")
     assert sorted((r.id, r.item or 0) for r in decontaminate.contaminated(docs, bench).collect()) == [(1, 0), (1, 7), (1, 7), (1, 7), (1, 8)]
     assert sum(len(b) for b in decontaminate.blocks_of(bench, "item_id", "text")) == 4
+
+
+def test_an_item_that_holds_a_shingle_more_often_than_the_text():
+    assert decontaminate.Items([(0, "again " * 30)], 5).matches("again " * 28, WordHashes(), 80) == [(0, 0, 28, 24, 26)]
+    assert decontaminate.Items([(0, "again " * 300)], 5).matches("again " * 28, WordHashes(), 80) == []
