@@ -61,8 +61,7 @@ def search_products(
 ) -> DataFrame:
     """Shaped result rows with the total and returned counts per query."""
     chosen = [strategy(name)]
-    prepared = lexical.prepare(catalog, queries, chosen)
-    hits, totals = lexical.hits_and_totals(lexical.score(catalog, prepared, chosen, as_of), size)
+    hits, totals = lexical.search(catalog, queries, chosen, size, as_of)
     return _shape(catalog, hits, totals)
 
 
@@ -93,8 +92,7 @@ def search_requests(catalog: DataFrame, requests: DataFrame, as_of: Column) -> D
     if not names:
         names = [DEFAULT_STRATEGY]
     chosen = [strategy(n) for n in names]
-    prepared = lexical.prepare(catalog, asked.df, chosen)
-    hits, totals = lexical.hits_and_totals(lexical.score(catalog, prepared, chosen, as_of), MAX_SIZE)
+    hits, totals = lexical.search(catalog, asked.df, chosen, MAX_SIZE, as_of)
     sizes = replace(asked, df=asked.df.select("strategy", "qid", "size"))
     cut = scale.join_settled(hits.df, sizes, ["strategy", "qid"]).where(F.col("rank") <= F.col("size")).drop("size")
     return _shape(catalog, replace(hits, df=cut), totals)
