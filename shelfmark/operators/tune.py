@@ -57,15 +57,20 @@ def evaluate_configs(
     """
     base = tunable(strategy)
     plain = [base.with_boosts({f: 1.0 for f in base.boosts})]
-    prepared = lexical.prepare(catalog, queries, plain)
-    fields = lexical.field_scores(lexical.contributions(catalog, prepared, base.kinds_used), prepared)
+    texts = lexical.distinct_texts(catalog, plain)
+    docs, id_col = (catalog, "product_id") if texts is None else (texts.docs, lexical.TEXT)
+    prepared = lexical.prepare(docs, queries, plain)
+    fields = lexical.field_scores(lexical.contributions(docs, prepared, base.kinds_used, id_col), prepared, id_col)
     weights = scale.settle(configs.select("key", F.explode("boosts").alias("field", "boost")))
     scored = (
-        scale.join_settled(fields, weights, ["field"], salt_by="product_id")
-        .groupBy("key", "qid", "product_id")
+        scale.join_settled(fields, weights, ["field"], salt_by=id_col)
+        .groupBy("key", "qid", id_col)
         .agg(F.round(F.max(F.col("field_score") * F.col("boost")), 6).alias("score"))
     )
-    ranked = lexical.top_k(scored, size, keys=("key", "qid"))
+    ranked = lexical.top_k(scored, size, keys=("key", "qid"), id_col=id_col)
+    if texts is not None:
+        hits = scale.settle(ranked.select("key", "qid", id_col, F.col("score").alias("text_score")))
+        ranked = lexical.top_documents(texts, hits, plain, size, keys=("key", "qid"))
     named = ranked.join(queries, "qid").select(F.col("key").alias("strategy"), F.col(judged_by).alias("query"), "product_id", "rank")
     keys = configs.select(F.collect_set("key")).scalar()
     rows = metrics.evaluation_rows(named, judgments, keys)
