@@ -568,17 +568,19 @@ _WHOLE = OUTCOMES.replace("FROM events", "FROM (SELECT * FROM events WHERE event
 @query(f"""SELECT *, '' AS errors FROM ({_WHOLE})
 UNION ALL SELECT seq, product_id, source_system, kind, k, 'rejected', 'event_time' FROM ({REPLAY} SELECT * FROM changes) WHERE seq % 29 = 0""")
 def keyed_stream(spark, d):
-    """The events in four micro-batches with keyed state, checked on arrival; the query stops and starts again half-way."""
+    """The events in four micro-batches with keyed state, checked on arrival; the query stops and starts again after each.
+
+    Each quarter is one batch, in however many files it was written: batches have to follow the order of the events.
+    """
     root = f"{scale.ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"
     zone = F.when(F.col("seq") % 29 == 0, "").otherwise("Z")
     wire = _changes(spark, d).withColumn("event_time", F.concat(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), zone))
     last = wire.agg(F.coalesce(F.max("seq"), F.lit(0))).head()[0]
     numbered = wire.withColumn("quarter", F.floor(F.col("seq") * 4 / F.lit(last + 1)))
     table = BucketedTable.create(v.change_target(spark, d), f"{root}/catalog")
-    for quarters in ((0, 1), (2, 3)):
-        for number in quarters:
-            numbered.where(F.col("quarter") == number).drop("quarter").write.mode("append").parquet(f"{root}/arriving")
-        stream = spark.readStream.schema(wire.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arriving")
+    for number in range(4):
+        numbered.where(F.col("quarter") == number).drop("quarter").write.mode("append").parquet(f"{root}/arriving")
+        stream = spark.readStream.schema(wire.schema).parquet(f"{root}/arriving")
         replay = KeyedReplay(table, f"{root}/state", v.as_of, slice_width=1000)
         replay.start(stream, available_now=True).awaitTermination()
     return replay.outcomes().select(*_OUT, F.array_join("errors", ",").alias("errors"))

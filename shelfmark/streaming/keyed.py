@@ -1,11 +1,12 @@
 """Change events as a stream with keyed state.
 
-Spark's state store holds, per (product, source), the newest version seen, seeded from
-the catalog.  Events are checked first; broken ones go to quarantine and touch no state.
+Spark's state store holds, per product, the newest version seen from each source.  The versions
+that the catalog held at the first start are stored beside it and meet only the keys that a batch asks for.
+Events are checked first; broken ones go to quarantine and touch no state.
 
 Arrival numbers are cut into slices of fixed width.  Every input partition reduces its
 events to the newest version per (product, source, slice), and only these maxima, a few numbers
-whatever the number of events, are grouped by key and meet the state, which answers each
+whatever the number of events, are grouped by product and meet the state, which answers each
 slice with the newest version before it.  Events themselves are never gathered by key: in the batch
 they look back inside their slice and at the slice's answer.  A product with a third of all
 changes is thereby spread over its slices.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -35,27 +36,22 @@ SLICE = "_slice"
 
 
 class _Versions(StatefulProcessor):
-    """State: the newest version of one (product, source).  Answers each slice with the newest version before it."""
+    """State: the newest version of one product by source.  Answers each slice with the newest version before it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "version bigint")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        # Columns come in their order but, with an initial state, without their names.
-        self.newest.update((int(initialState.iloc[:, 2].max()),))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tops: dict[int, int] = {}
-        for part in rows:
-            for number, top in zip(part.iloc[:, 2], part.iloc[:, 3], strict=True):
-                tops[int(number)] = max(int(top), tops.get(int(number), int(top)))
-        before = self.newest.get()[0] if self.newest.exists() else None
-        out = []
-        for number in sorted(tops):
-            out.append((*key, number, before))
-            before = tops[number] if before is None else max(before, tops[number])
-        self.newest.update((before,))
-        yield pd.DataFrame(out, columns=[*KEY, SLICE, "start"]).astype({"start": "Int64"})
+        self.newest = handle.getValueState("newest", "versions map<string,bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        tops: dict[tuple[str, int], int] = {}
+        for row in rows:
+            place = (row["source_system"], row[SLICE])
+            tops[place] = max(row["top"], tops.get(place, row["top"]))
+        newest = dict(self.newest.get()[0]) if self.newest.exists() else {}
+        for source, number in sorted(tops):
+            before = newest.get(source)
+            yield Row(product_id=key[0], source_system=source, _slice=number, start=before)
+            newest[source] = tops[source, number] if before is None else max(before, tops[source, number])
+        self.newest.update((newest,))
 
     def close(self) -> None:
         pass
@@ -86,21 +82,30 @@ class KeyedReplay:
         checked = event_errors(events).withColumn(SLICE, F.floor(F.col("seq") / F.lit(self.slice_width)))
         good = checked.where(F.size("errors") == 0).select(*KEY, SLICE, "source_version")
         tops = good.mapInPandas(_tops, f"product_id string, source_system string, {SLICE} bigint, top bigint")
-        seeds = ev.known_versions(self.catalog.read()).where("current IS NOT NULL").select(*KEY, F.col("current").alias("version"))
-        starts = tops.groupBy(*KEY).transformWithStateInPandas(
-            _Versions(), f"product_id string, source_system string, {SLICE} bigint, start bigint", "Append", "None", seeds.groupBy(*KEY))
+        self._keep_seeds()
+        starts = tops.groupBy("product_id").transformWithState(
+            _Versions(), f"product_id string, source_system string, {SLICE} bigint, start bigint", "Append", "None")
         both = checked.withColumn("_event", F.lit(True)).unionByName(starts.withColumn("_event", F.lit(False)), allowMissingColumns=True)
         writer = both.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.root}/progress")
         if available_now:
             trigger = {"availableNow": True}
         return (writer.trigger(**trigger) if trigger else writer).start()
 
+    def _keep_seeds(self) -> None:
+        """Store the catalog's versions before the first batch changes them; later starts and repeated batches find the same."""
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/seeds/_SUCCESS")
+        if not done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done):
+            seeds = ev.known_versions(self.catalog.read()).where("current IS NOT NULL")
+            seeds.groupBy(*KEY).agg(F.max("current").alias("seed")).write.mode("overwrite").parquet(f"{self.root}/seeds")
+
     def apply(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         arrived = f"{self.root}/arrived/epoch={epoch}"
         batch.write.mode("overwrite").parquet(arrived)  # the state is asked once
         rows = spark.read.schema(batch.schema).parquet(arrived)
         events, starts = rows.where("_event").drop("_event", "start"), rows.where("NOT _event").select(*KEY, SLICE, "start")
+        seeds = spark.read.schema("product_id string, source_system string, seed bigint").parquet(f"{self.root}/seeds")
+        starts = starts.join(seeds, KEY, "left").withColumn("start", F.greatest("start", "seed")).drop("seed")
         current, _ = self.catalog.holding(events.where("size(errors) = 0"))
         done = f"{self.root}/outcomes/epoch={epoch}"
         judge(events, starts, current).write.mode("overwrite").parquet(done)

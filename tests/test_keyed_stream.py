@@ -87,3 +87,21 @@ def test_an_empty_table_keeps_its_columns(spark, tmp_path):
     assert table.read().columns == ["product_id"] and table.read().count() == 0
     table.upsert(spark.createDataFrame([("a", 1)], "product_id string, seq int"))
     assert [r.product_id for r in table.read().collect()] == ["a"]
+
+
+def test_the_query_takes_a_quarter_of_many_files_as_one_batch(spark, tmp_path):
+    """One file a batch would take files of a quarter in the order in which their writing ended, not in that of the events."""
+    from registry import result_queries, views
+
+    kinds = ("error", "click", "view", "purchase", "signup")
+    rows = [(i, "2024-01-01", i * 7 % 5, kinds[i % 5], 1.0, json.dumps({"k": i * 37 % 100})) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts"))
+    # Files of mixed order, the latest events first.
+    events.repartitionByRange(5, (-F.col("event_id")) % 100).write.parquet(str(tmp_path / "events.parquet"))
+    customers = [(i, f"c{i}", "m", 1.0, 10 * i) for i in range(4)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_mktsegment string, c_acctbal double, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    changes = views.change_events(views.table(spark, str(tmp_path), "events")).where("seq % 29 <> 0")
+    judged = ev.outcomes(changes, views.change_target(spark, str(tmp_path)))
+    want = {r.seq: r.outcome for r in judged.collect()} | {i: "rejected" for i in range(0, 400, 29)}
+    assert {r.seq: r.outcome for r in result_queries.keyed_stream(spark, str(tmp_path)).collect()} == want
+    assert {"updated", "skipped_stale", "failed"} <= set(want.values())
