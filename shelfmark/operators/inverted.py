@@ -238,7 +238,7 @@ def essential(prepared: Prepared, bounds: DataFrame, floors: DataFrame | None, d
 
 
 def skipping(bounds: DataFrame, floors: DataFrame | None, leading: DataFrame, document: float) -> DataFrame:
-    """(slot, least) of the slots whose other clauses only complete what the leading ones find.
+    """(slot, least, n, rows) of the slots whose other clauses only complete what the leading ones find.
 
     A text with less than ``least`` from its leading clauses stays below the floor with all others.  Without a floor
     (null) every text found is completed, in slots where this takes fewer rows than meeting the others' postings.
@@ -256,7 +256,7 @@ def skipping(bounds: DataFrame, floors: DataFrame | None, leading: DataFrame, do
     # A slot that several strategies share keeps what any of them needs.
     slots = each.groupBy("slot").agg(
         F.when(F.count("least") == F.count(F.lit(1)), F.min("least")).alias("least"), *(F.max(c).alias(c) for c in ("led", "rows", "n", "others")))
-    return slots.where((F.col("others") > 0) & (F.col("least").isNotNull() | (2 * F.col("led") * F.col("n") < F.col("rows")))).select("slot", "least")
+    return slots.where((F.col("others") > 0) & (F.col("least").isNotNull() | (2 * F.col("led") * F.col("n") < F.col("rows")))).select("slot", "least", "n", "rows")
 
 
 def pruned_parts(index: Index, asked: Asked, strategies: Sequence[Strategy], size: int) -> list[DataFrame]:
@@ -270,20 +270,28 @@ def pruned_parts(index: Index, asked: Asked, strategies: Sequence[Strategy], siz
         (s.popularity_factor or 0.0) ** 0.5 * index.popularity ** 0.5 + (s.freshness_weight or 0.0) for s in strategies), default=0.0)
     leading = scale.settle(essential(prepared, bounds, floors, document)).df
     slots = scale.settle(skipping(bounds, floors, leading, document))
-    scoring = prepared.scoring
+    scoring, kept = prepared.scoring, None
+    if slots.rows:
+        first = scale.settle(scoring.df.join(slots.df, "slot", "left_semi").join(leading, ["slot", "cid"], "left_semi"))
+        found = matches_by_text(index, replace(asked, values=None), first).groupBy("slot", TEXT).agg(F.sum("contribution").alias("got"))
+        kept = scale.settle(scale.join_settled(found, slots, ["slot"], salt_by=TEXT).where(
+            F.col("least").isNull() | (F.col("got") >= F.col("least"))).select("slot", TEXT))
+        # Where many texts stay in reach, meeting all postings takes less.
+        many = kept.df.groupBy("slot").count().join(slots.df, "slot").where(2 * F.col("count") * F.col("n") >= F.col("rows")).select("slot")
+        slots = scale.settle(slots.df.join(many, "slot", "left_anti"))
     whole = scale.settle(scoring.df.join(slots.df, "slot", "left_anti"))
     parts = [matches_by_text(index, asked, whole)] if whole.rows else []
     if not slots.rows:
         return parts
-    first = scale.settle(scoring.df.join(slots.df, "slot", "left_semi").join(leading, ["slot", "cid"], "left_semi"))
-    found = matches_by_text(index, replace(asked, values=None), first).groupBy("slot", TEXT).agg(F.sum("contribution").alias("got"))
-    kept = scale.settle(scale.join_settled(found, slots, ["slot"], salt_by=TEXT).where(
-        F.col("least").isNull() | (F.col("got") >= F.col("least"))).select("slot", TEXT))
-    # Every term of the texts kept.
-    wanted = scale.settle(kept.df.join(scoring.df, "slot"))
-    more = scale.join_settled(_asked_postings(index, replace(wanted, df=scoring.df.join(slots.df, "slot", "left_semi"))), wanted, ["tid", TEXT])
+    # Every term of the texts kept, where their postings meet; no row per missing term.
+    kept = scale.settle(kept.df.join(slots.df, "slot", "left_semi"))
+    rest = replace(scoring, df=scoring.df.join(slots.df, "slot", "left_semi"))
+    terms, texts = replace(rest, df=rest.df.select("tid").distinct()), replace(kept, df=kept.df.select(TEXT).distinct())
+    more = scale.join_settled(_asked_postings(index, rest), terms, ["tid"], "left_semi", salt_by=TEXT)
+    more = scale.by_key(scale.join_settled(more, texts, [TEXT], "left_semi"), TEXT)
     if asked.values is not None:
         more = scale.join_settled(more, asked.values, [TEXT])
+    more = scale.join_settled(scale.join_settled(more, kept, [TEXT]), rest, ["slot", "tid"], salt_by=TEXT)
     return [*parts, _weighed(more)]
 
 
