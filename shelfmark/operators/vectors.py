@@ -21,8 +21,8 @@ QUERY_BLOCK_BYTES = 128 * 1024 * 1024
 # A block of corpus vectors in the grid that replaces the broadcast.
 CORPUS_BLOCK_BYTES = 256 * 1024 * 1024
 
-# Scores that a task holds at once (64 MB).
-TILE_SCORES = 8 * 1024 * 1024
+# Scores that a task holds at once (8 MB); ranking them takes some copies.
+TILE_SCORES = 1024 * 1024
 
 # (id, text) table -> (id, embedding) table.
 Embedder = Callable[[DataFrame, str, str], DataFrame]
