@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import discard, partitions, stored
 from shelfmark.llm.components import components
-from shelfmark.llm.shingles import WordHashes, shingle_set
+from shelfmark.llm.shingles import shingle_set
 
 #: Counters of the sketch, and pieces in which it is added up.
 COUNTERS, CHUNKS = 1 << 20, 16
+#: Spreads (of the counters of shingles that hardly recur) above the middle from which a counter holds a frequent shingle.
+SPREADS = 4
 #: Bits of the filter that keeps most shingles of one set only out of the second pass, in words of 64.
 FILTER_WORDS = 1 << 18
 #: Rounds in which classes meet leaders, at most.
@@ -76,14 +78,14 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     schema = f"id {id_type}, body bigint, fp bigint, n int, chunk int, counts binary"
 
     def run(parts):
-        known, counts, waiting, held = WordHashes(), np.zeros(COUNTERS, np.int64), [], 0
+        counts, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
         names = ["id", "body", "fp", "n", "chunk", "counts"]
         id_arrow = None
         for part in parts:
             id_arrow = part.column(0).type
             fps, sizes = [], []
             for text in batches(part.column(2)):
-                tokens = shingle_set(text, known, size)
+                tokens = shingle_set(text, size)
                 fps.append(identity(tokens))
                 sizes.append(len(tokens))
                 waiting.append(tokens)
@@ -98,7 +100,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
             return
         if held:
             counts += np.bincount((np.concatenate(waiting) % COUNTERS).astype(np.int64), minlength=COUNTERS)
-        packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, CHUNKS)]
+        packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counts.astype(np.int32 if counts.max() < 1 << 31 else np.int64), CHUNKS)]
         yield pa.RecordBatch.from_arrays([
             pa.nulls(CHUNKS, id_arrow), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int32()),
             pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names)
@@ -106,20 +108,33 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return frame.mapInArrow(run, schema)
 
 
+def counters(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * COUNTERS // CHUNKS else np.int64)
+
+
 def rarity(summary: DataFrame) -> np.ndarray:
-    """A level per counter: 0 for ordinary ones, growing with the logarithm of the count."""
+    """A level per counter: 0 for ordinary ones, growing with the logarithm of what it holds beyond them.
+
+    Shingles that hardly recur fill the counters evenly, so these differ by the root of their middle only, and a shingle
+    stands out with a few such spreads.
+    """
     def add(rows):
         import pandas as pd
 
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows["counts"])
+        total = sum(counters(x).astype(np.int64) for x in rows["counts"])
         return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     parts = summary.where("chunk IS NOT NULL").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("slot"))
     some = parts.groupBy("chunk", "slot").applyInPandas(add, "chunk int, counts binary")
     rows = some.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()  # CHUNKS rows of fixed size
-    counts = np.concatenate([np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64) for r in sorted(rows)]) if rows else np.zeros(COUNTERS, np.int64)
-    usual = counts.mean() + 1
-    return np.where(counts <= 2 * usual + 8, 0, np.log2(np.maximum(counts, 1) / usual) + 1).astype(np.uint8)
+    return levels(np.concatenate([counters(bytes(r.counts)) for r in sorted(rows)]) if rows else np.zeros(COUNTERS, np.int64))
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    middle = float(np.median(counts))
+    beyond = (counts - middle) / (SPREADS * np.sqrt(middle + 1))
+    return np.where(beyond <= 1, 0, np.log2(np.maximum(beyond, 1)) + 1).astype(np.uint8)
 
 
 def filter_words(lists: DataFrame) -> np.ndarray:
@@ -137,11 +152,10 @@ def postings(docs: DataFrame, text_col: str, levels: np.ndarray, size: int, perc
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(parts):
-        known = WordHashes()
         for part in parts:
             tokens_of, fps, sizes = [], [], []
             for text in batches(part.column(0)):
-                tokens = shingle_set(text, known, size)
+                tokens = shingle_set(text, size)
                 n = len(tokens)
                 if n == 0:
                     continue
@@ -200,11 +214,11 @@ def compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     flat = dealt.select("b.fp", "b.n", "side", F.col("a.fp").alias("a_fp"), F.col("a.n").alias("a_n"), "text")
 
     def run(parts):
-        words, leader = WordHashes(), None
+        leader = None
         for part in parts:
             out = []
             for b_fp, b_n, side, a_fp, a_n, text in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                tokens = shingle_set(text, words, size)
+                tokens = shingle_set(text, size)
                 if side == 0:
                     leader = tokens
                 else:
@@ -235,6 +249,12 @@ def rules(percent: int):
     return fits, meetings, similar
 
 
+def reach(percent: int) -> Column:
+    """Whether two blocks of a list can hold similar classes: before the token at most the lower of its two places is shared, from it on the lesser rest."""
+    shared = F.least("pos_x", "pos_y") + F.least("rest_x", "rest_y")
+    return shared * (100 + percent) >= percent * (F.col("least_x") + F.col("least_y"))
+
+
 def indexed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The class of each document, one document of each class, and the index lists of several classes (stored)."""
     node = F.struct("fp", "n")
@@ -282,10 +302,10 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     # Blocks of the index lists: one per list and group.
     placed = index.select("token", "node", "pos").join(group, "node", "left").select(
-        "token", "node", (F.col("node.n") - F.col("pos")).alias("rest"), F.coalesce("leader", "node").alias("leader"),
+        "token", "node", "pos", (F.col("node.n") - F.col("pos")).alias("rest"), F.coalesce("leader", "node").alias("leader"),
         F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far"))
     every = stored(placed.groupBy("token", "leader", "root").agg(
-        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max("rest").alias("rest"), F.max("far").alias("far")), "every-block")
+        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max("pos").alias("pos"), F.max("rest").alias("rest"), F.max("far").alias("far")), "every-block")
     mixed = every.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
     blocks = stored(every.join(mixed, "token", "left_semi"), "blocks")
     discard(every)
@@ -293,7 +313,7 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     x, y = side(blocks, "x"), side(blocks, "y")
     met = x.join(y, "token").where(
         (F.col("leader_x") < F.col("leader_y")) & (F.col("root_x") != F.col("root_y"))
-        & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x")))
+        & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x")) & reach(percent))
     met = stored(met.groupBy(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")).agg(
         F.max("far_x").alias("far_a"), F.max("far_y").alias("far_b"), F.count(F.lit(1)).alias("k"), F.max(F.least("rest_x", "rest_y")).alias("rest"), F.min("least_x").alias("lo_a"), F.max("most_x").alias("hi_a"),
         F.min("least_y").alias("lo_b"), F.max("most_y").alias("hi_b"))
@@ -388,14 +408,14 @@ def between_blocks(hubs: DataFrame, texts: DataFrame, size: int, percent: int) -
             ["a_fp", "a_n", "b_fp", "b_n", "inter"])
 
     def run(parts):
-        words, key, sides = WordHashes(), None, ([], [])
+        key, sides = None, ([], [])
         for part in parts:
             columns = [part.column(i) for i in range(9)]
             for fp, n, i, j, side, a_fp, a_n, own, text in zip(*(x.to_pylist() for x in columns), strict=True):
                 if (fp, n, i, j) != key:
                     yield from linked(sides)
                     key, sides = (fp, n, i, j), ([], [])
-                sides[side].append((a_fp, a_n, own, shingle_set(text, words, size)))
+                sides[side].append((a_fp, a_n, own, shingle_set(text, size)))
         yield from linked(sides)
 
     found = dealt.mapInArrow(run, "a_fp bigint, a_n int, b_fp bigint, b_n int, inter int")
@@ -437,10 +457,10 @@ def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     # Pairs of groups that meet in enough lists, and the exact distance of their leaders.
     blocks = stored(index.join(group, "node").groupBy("token", "leader").agg(
-        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max(F.col("node.n") - F.col("pos")).alias("rest")), "blocks")
+        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max("pos").alias("pos"), F.max(F.col("node.n") - F.col("pos")).alias("rest")), "blocks")
     side = lambda s: blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"))
     met = side("x").join(side("y"), "token").where(
-        (F.col("leader_x") < F.col("leader_y")) & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x")))
+        (F.col("leader_x") < F.col("leader_y")) & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x")) & reach(percent))
     met = met.groupBy(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")).agg(
         F.count(F.lit(1)).alias("k"), F.max(F.least("rest_x", "rest_y")).alias("rest"), F.min("least_x").alias("lo_a"), F.max("most_x").alias("hi_a"),
         F.min("least_y").alias("lo_b"), F.max("most_y").alias("hi_b")).where(
