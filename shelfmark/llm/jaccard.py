@@ -8,10 +8,11 @@ sketch of bounded size), where relations between sets save most of the work:
    with which it shares most of its prefix.  Similar classes form a group around
    their leader, at a known exact distance.  More rounds, with other leaders, join
    what is still apart; lists whose classes are all in one component are left behind.
-3. Index lists hold one block per group, with the range of its sizes and positions.
-   Blocks of one component, blocks whose ranges exclude enough overlap, and pairs of
-   groups that meet in too few lists for their sizes are skipped.  For the remaining
-   pairs of groups the leaders are compared exactly.
+3. Lists of several components hold one block per group, with the range of its sizes
+   and of the tokens that its classes have left in such lists.  Blocks of one component
+   and blocks whose ranges exclude enough overlap are skipped.  For the remaining pairs
+   of groups the leaders are compared exactly.  The classes of a long list are dealt in
+   blocks of sets instead, and all pairs of two blocks are compared exactly.
 4. A member's answers derive from its leader's: a pair of members is looked at only
    if the leaders' distance, less the members' distances to them, leaves room for
    similarity (Jaccard distance is a metric), and then compared exactly.
@@ -35,7 +36,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import discard, partitions, stored
@@ -54,6 +55,8 @@ ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 #: Members compared with one copy of their leader's text.
 MEMBERS_PER_COPY = 512
+#: Classes of an index list from which on they meet block by block.
+LONG = 256
 #: Sets and shingles of a block (about) when all pairs of two blocks are compared, and columns of the product.
 BLOCK_SETS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 8192
 
@@ -255,6 +258,15 @@ def reach(percent: int) -> Column:
     return shared * (100 + percent) >= percent * (F.col("least_x") + F.col("least_y"))
 
 
+def enough_left(left: Column, largest: Column, sizes: Column, percent: int) -> Column:
+    """Whether two classes can be similar that share ``left`` tokens at most inside their prefixes.
+
+    Of the class whose prefix ends first, what it shares beyond is in its own rest, which is no larger than that of the ``largest``.
+    """
+    rest = F.ceil(percent * largest / 100) - 1
+    return (left + rest) * (100 + percent) >= percent * sizes
+
+
 def indexed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The class of each document, one document of each class, and the index lists of several classes (stored)."""
     node = F.struct("fp", "n")
@@ -300,25 +312,31 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     group = roots.join(leaders.distinct().unionByName(followers), "node", "left")
     group = stored(group.select("node", "root", F.coalesce("leader", "node").alias("leader"), F.coalesce("far", F.lit(0.0)).alias("far")), "groups")
 
-    # Blocks of the index lists: one per list and group.
-    placed = index.select("token", "node", "pos").join(group, "node", "left").select(
-        "token", "node", "pos", (F.col("node.n") - F.col("pos")).alias("rest"), F.coalesce("leader", "node").alias("leader"),
-        F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    every = stored(placed.groupBy("token", "leader", "root").agg(
-        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max("pos").alias("pos"), F.max("rest").alias("rest"), F.max("far").alias("far")), "every-block")
-    mixed = every.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    blocks = stored(every.join(mixed, "token", "left_semi"), "blocks")
-    discard(every)
+    # Only lists of several components matter.  A class's tokens in them are put in order, those of shorter lists first; from
+    # the first one that two classes share, neither has more than ``left`` to share with the other inside its prefix.
+    placed = stored(index.select("token", "node").join(group, "node", "left").select(
+        "token", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("root", "node").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far")), "placed")
+    mixed = placed.groupBy("token").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), F.min("node.n").alias("small"), F.max("node.n").alias("large")).where("lo != hi").drop("lo", "hi")
+    ranked = stored(placed.join(mixed, "token").withColumn(
+        "left", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), F.desc("token")))), "ranked")
+    blocks = stored(ranked.where(F.col("k") <= LONG).groupBy("token", "leader", "root").agg(
+        F.min("node.n").alias("least"), F.max("node.n").alias("most"), F.max("left").alias("left"), F.max("far").alias("far")), "blocks")
     side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "token"))
     x, y = side(blocks, "x"), side(blocks, "y")
     met = x.join(y, "token").where(
         (F.col("leader_x") < F.col("leader_y")) & (F.col("root_x") != F.col("root_y"))
-        & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x")) & reach(percent))
-    met = stored(met.groupBy(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")).agg(
-        F.max("far_x").alias("far_a"), F.max("far_y").alias("far_b"), F.count(F.lit(1)).alias("k"), F.max(F.least("rest_x", "rest_y")).alias("rest"), F.min("least_x").alias("lo_a"), F.max("most_x").alias("hi_a"),
-        F.min("least_y").alias("lo_b"), F.max("most_y").alias("hi_b"))
-        .where((F.col("k") >= meetings(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")))
-               & (F.col("rest") * (100 + percent) >= percent * (F.col("lo_a") + F.col("lo_b")))).select("a", "b", "far_a", "far_b"), "met")
+        & (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x"))
+        & enough_left(F.least("left_x", "left_y"), F.greatest("most_x", "most_y"), F.col("least_x") + F.col("least_y"), percent))
+    met = stored(met.groupBy(F.col("leader_x").alias("a"), F.col("leader_y").alias("b")).agg(F.max("far_x").alias("far_a"), F.max("far_y").alias("far_b")), "met")
+
+    # The classes of a long list meet block by block, not pair by pair.
+    n, more, less = F.col("node.n"), F.least(F.col("large"), F.floor(100 * F.col("node.n") / percent)), F.greatest(F.col("small"), F.ceil(percent * F.col("node.n") / 100))
+    crowd = stored(ranked.where(F.col("k") > LONG).where(
+        enough_left(F.col("left") + 1, F.greatest(n, more), n + more, percent) | enough_left(F.col("left") + 1, n, n + less, percent)).select(
+        F.struct(F.col("token").alias("fp"), F.lit(0).alias("n")).alias("hub"), F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "node", F.lit(True).alias("own"), "root"), "crowd")
+    crowd_texts = texts_of(crowd.select("node").distinct(), classes, docs, id_col, text_col)
+    links = links.unionByName(stored(between_blocks(crowd, crowd_texts, size, percent), "crowd-links"))
     between = compared(met.select("a", "b"), classes, docs, id_col, text_col, size)
 
     # Members of two groups, still in different components, whose leaders' distance leaves room.
@@ -348,7 +366,7 @@ def links_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hubs = stored(hosts.unionByName(guests).withColumn("own", F.lit(False)).distinct(), "hubs")
     texts = texts_of(hubs.select("node").distinct(), classes, docs, id_col, text_col)
     rest = stored(between_blocks(hubs, texts, size, percent), "rest")
-    discard(index, blocks, met, between, room, kept, near, hubs, texts)
+    discard(index, placed, ranked, blocks, met, crowd, crowd_texts, between, room, kept, near, hubs, texts)
     return links.unionByName(rest), members
 
 
@@ -380,18 +398,22 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
 def between_blocks(hubs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The links between the sets of a hub's two sides: ``hubs`` has ``hub``, ``side``, ``node``, ``own`` (of the hub's group).
 
-    Each side is cut into blocks; a pair of blocks is a task's work, so a group of any
+    With a ``root`` beside them, one link is given for two roots that meet in a task, and none inside a root.  Each side is cut into blocks; a pair of blocks is a task's work, so a group of any
     size is dealt over many tasks.
     """
+    apart = "root" in hubs.columns
+    if not apart:
+        hubs = hubs.withColumn("root", F.col("node"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("node.n") / BLOCK_SHINGLES)).cast("int")
     counts = hubs.groupBy("hub").pivot("side", [0, 1]).agg(blocks).withColumnsRenamed({"0": "blocks_0", "1": "blocks_1"})
     mine = F.when(F.col("side") == 0, F.col("blocks_0")).otherwise(F.col("blocks_1"))
     other = F.when(F.col("side") == 0, F.col("blocks_1")).otherwise(F.col("blocks_0"))
     dealt = hubs.join(counts, "hub").join(texts, "node").select(
-        "hub", "side", "node", "own", "text", F.pmod(F.xxhash64("node", F.lit(1)), mine).cast("int").alias("block"),
+        "hub", "side", "node", "own", "root", "text", F.pmod(F.xxhash64("node", F.lit(1)), mine).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), other - 1)).alias("against"))
     left, right = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("against")), F.when(F.col("side") == 0, F.col("against")).otherwise(F.col("block"))
-    dealt = dealt.select("hub.fp", "hub.n", left.alias("i"), right.alias("j"), "side", F.col("node.fp").alias("a_fp"), F.col("node.n").alias("a_n"), "own", "text")
+    dealt = dealt.select("hub.fp", "hub.n", left.alias("i"), right.alias("j"), "side", F.col("node.fp").alias("a_fp"), F.col("node.n").alias("a_n"), "own",
+        F.col("root.fp").alias("r_fp"), F.col("root.n").alias("r_n"), "text")
     dealt = dealt.repartition(partitions(hubs.sparkSession), "fp", "n", "i", "j").sortWithinPartitions("fp", "n", "i", "j", "side")
 
     def linked(sides):
@@ -402,7 +424,15 @@ def between_blocks(hubs: DataFrame, texts: DataFrame, size: int, percent: int) -
         union = n[0][:, None] + n[1][None, :] - inter
         first = (fp[0][:, None] < fp[1][None, :]) | ((fp[0][:, None] == fp[1][None, :]) & (n[0][:, None] < n[1][None, :]))
         own = np.array([r[2] for r in sides[1]], bool)
-        x, y = np.nonzero((100 * inter >= percent * union) & (first | ~own[None, :]))
+        similar = (100 * inter >= percent * union) & (first | ~own[None, :])
+        if apart:
+            number = {}
+            root = [np.array([number.setdefault(r[3], len(number)) for r in s], np.int64) for s in sides]
+            similar &= root[0][:, None] != root[1][None, :]
+        x, y = np.nonzero(similar)
+        if apart:
+            _, one = np.unique(root[0][x] * len(number) + root[1][y], return_index=True)
+            x, y = x[one], y[one]
         yield pa.RecordBatch.from_arrays(
             [pa.array(fp[0][x]), pa.array(n[0][x], pa.int32()), pa.array(fp[1][y]), pa.array(n[1][y], pa.int32()), pa.array(inter[x, y], pa.int32())],
             ["a_fp", "a_n", "b_fp", "b_n", "inter"])
@@ -410,12 +440,12 @@ def between_blocks(hubs: DataFrame, texts: DataFrame, size: int, percent: int) -
     def run(parts):
         key, sides = None, ([], [])
         for part in parts:
-            columns = [part.column(i) for i in range(9)]
-            for fp, n, i, j, side, a_fp, a_n, own, text in zip(*(x.to_pylist() for x in columns), strict=True):
+            columns = [part.column(i) for i in range(11)]
+            for fp, n, i, j, side, a_fp, a_n, own, r_fp, r_n, text in zip(*(x.to_pylist() for x in columns), strict=True):
                 if (fp, n, i, j) != key:
                     yield from linked(sides)
                     key, sides = (fp, n, i, j), ([], [])
-                sides[side].append((a_fp, a_n, own, shingle_set(text, size)))
+                sides[side].append((a_fp, a_n, own, (r_fp, r_n), shingle_set(text, size)))
         yield from linked(sides)
 
     found = dealt.mapInArrow(run, "a_fp bigint, a_n int, b_fp bigint, b_n int, inter int")
