@@ -56,6 +56,8 @@ FILTERED = {"f_category": ("_category", "category"), "f_brand": ("_brand", "bran
 
 #: Below this many estimated bytes per core, texts are spread before they are counted.
 COUNTED_BYTES = 4 * 1024 * 1024
+#: Estimated bytes of texts that a task counts, about, where there are more tasks than cores need.
+GATHERED_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,8 @@ def _texts(docs: DataFrame, source: DataFrame, kinds: dict[str, str], id_col: st
 
 def _counted(texts: DataFrame, kinds: dict[str, str], single: bool) -> DataFrame:
     """Blocks of postings by segment.  Where documents share an id, all of an id are counted in one task."""
-    texts = scale.spread(texts, COUNTED_BYTES) if single else scale.by_key(texts, TEXT)
+    # Each task writes into every folder, so a corpus in many small files is not given as many tasks.
+    texts = scale.gather(scale.spread(texts, COUNTED_BYTES), GATHERED_BYTES) if single else scale.by_key(texts, TEXT)
     rows = lexical.field_rows(texts.sortWithinPartitions(TEXT), kinds, [TEXT, COPIES]).where(F.size("terms") > 0)
     kind = texts.schema[TEXT].dataType.simpleString()
     return rows.select(TEXT, COPIES, "field", "terms").mapInArrow(
